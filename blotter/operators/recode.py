@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+DEFAULT_MAX_BROADCAST_ROWS = 100_000
 
 _RAW = "__recode_raw"
 _TARGET = "__recode_target"
@@ -34,14 +34,59 @@ def domain_entries(dim: DataFrame, domain: str) -> DataFrame:
     return dim.filter(F.col("domain") == domain).select("raw", "target").distinct()
 
 
-def dim_check(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
-    """Validate one domain and return its de-duplicated entries with their count.
+class CheckedDim:
+    """A validated dictionary.
+
+    ``local`` holds ``{domain: {raw: target}}`` when the whole dictionary is
+    at most ``max_rows`` distinct entries (checked by fetching at most one
+    more): it would be collected for the broadcast anyway, and each domain
+    then enters the fact-table plan as a local relation with no sub-plan to
+    recompute.  A larger dictionary keeps ``df`` lazy and is validated per
+    domain by a distributed aggregation.
+    """
+
+    def __init__(self, df: DataFrame, local: dict[str, dict[str, str]] | None, max_rows: int):
+        self.df = df
+        self.local = local
+        self.max_rows = max_rows
+
+    def entries(self, domain: str) -> tuple[DataFrame, int]:
+        if self.local is not None:
+            m = self.local.get(domain, {})
+            spark = self.df.sparkSession
+            return spark.createDataFrame(list(m.items()), "raw string, target string"), len(m)
+        return _check_distributed(self.df, domain)
+
+
+def _validate(rows) -> dict[str, dict[str, str]]:
+    out: dict[str, dict[str, str]] = {}
+    for d, k, v in rows:
+        if k is None or v is None:
+            raise DictionaryError(f"domain {d!r}: NULL key or target")
+        m = out.setdefault(d, {})
+        if m.setdefault(k, v) != v:
+            raise DictionaryError(f"domain {d!r}: key {k!r} has two targets ({m[k]!r}, {v!r})")
+    return out
+
+
+def check_dim(dim: DataFrame | CheckedDim,
+              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedDim:
+    """Validate every domain of a dictionary in one small job.
 
     A key repeated with the same target is de-duplicated (a repeated key
     would otherwise duplicate fact rows in the join).  A key with two
     targets, or a NULL key or target, raises :class:`DictionaryError`.
-    One small aggregation job over the dictionary only.
     """
+    if isinstance(dim, CheckedDim):
+        return dim
+    distinct = dim.select("domain", "raw", "target").distinct()
+    head = distinct.limit(max_broadcast_rows + 1).collect()
+    if len(head) <= max_broadcast_rows:
+        return CheckedDim(dim, _validate(tuple(r) for r in head), max_broadcast_rows)
+    return CheckedDim(dim, None, max_broadcast_rows)
+
+
+def _check_distributed(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
     entries = domain_entries(dim, domain)
     per_key = entries.groupBy("raw").agg(F.count(F.lit(1)).alias("n_targets"),
                                          F.count("target").alias("n_nonnull"))
@@ -59,15 +104,21 @@ def dim_check(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
     return entries, int(stats["keys"])
 
 
-def recode(df: DataFrame, column: str, dim: DataFrame, domain: str,
+def dim_check(dim: DataFrame | CheckedDim, domain: str,
+              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> tuple[DataFrame, int]:
+    """Validated, de-duplicated entries of one domain and their key count."""
+    return check_dim(dim, max_broadcast_rows).entries(domain)
+
+
+def recode(df: DataFrame, column: str, dim: DataFrame | CheckedDim, domain: str,
            max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
            output: str | None = None) -> DataFrame:
     """Replace ``column`` values found in ``domain`` of ``dim``; pass others through.
 
     Exact and case-sensitive; NULL stays NULL (a join never matches NULL);
-    the row count never changes (keys are unique after :func:`dim_check`).
+    the row count never changes (keys are unique after validation).
     """
-    entries, n_keys = dim_check(dim, domain)
+    entries, n_keys = dim_check(dim, domain, max_broadcast_rows)
     right = entries.select(F.col("raw").alias(_RAW), F.col("target").alias(_TARGET))
     if n_keys <= max_broadcast_rows:
         right = F.broadcast(right)
@@ -77,11 +128,12 @@ def recode(df: DataFrame, column: str, dim: DataFrame, domain: str,
                   .drop(_RAW, _TARGET))
 
 
-def recode_many(df: DataFrame, dim: DataFrame, columns: dict[str, str],
+def recode_many(df: DataFrame, dim: DataFrame | CheckedDim, columns: dict[str, str],
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Recode several columns ``{column: domain}``; all broadcast joins fuse into one stage."""
+    checked = check_dim(dim, max_broadcast_rows)
     for column, domain in columns.items():
-        df = recode(df, column, dim, domain, max_broadcast_rows)
+        df = recode(df, column, checked, domain, max_broadcast_rows)
     return df
 
 
@@ -90,17 +142,24 @@ def recode_literal(df: DataFrame, column: str, mapping: dict[str, str]) -> DataF
     return df.replace(mapping, subset=[column]) if mapping else df
 
 
-def merge_passes(dim: DataFrame, first: str, second: str, into: str | None = None) -> DataFrame:
+def merge_passes(dim: DataFrame | CheckedDim, first: str, second: str,
+                 into: str | None = None) -> DataFrame | CheckedDim:
     """Fold two sequential passes into one dictionary with the same result.
 
     Applying ``first`` then ``second`` maps a value ``v`` to
     ``second(first(v))`` where each pass passes unmapped values through.  The
     merged domain holds every first-pass key (its target chained through
     the second pass) and every second-pass key the first pass does not know.
-    Returns ``dim`` with the merged domain added as ``into`` (default: ``first``,
-    replacing it).
+    The merged domain is stored as ``into`` (default: ``first``, replacing it).
     """
     into = into or first
+    if isinstance(dim, CheckedDim) and dim.local is not None:
+        p1, p2 = dim.local.get(first, {}), dim.local.get(second, {})
+        merged = {k: p2.get(v, v) for k, v in p1.items()}
+        merged.update({k: v for k, v in p2.items() if k not in p1})
+        return CheckedDim(dim.df, {**dim.local, into: merged}, dim.max_rows)
+    if isinstance(dim, CheckedDim):
+        dim = dim.df
     p1 = domain_entries(dim, first).select(F.col("raw").alias("r1"), F.col("target").alias("t1"))
     p2 = domain_entries(dim, second).select(F.col("raw").alias("r2"), F.col("target").alias("t2"))
     chained = (p1.join(p2, p1.t1 == p2.r2, "left")
@@ -112,14 +171,14 @@ def merge_passes(dim: DataFrame, first: str, second: str, into: str | None = Non
     return rest.unionByName(merged)
 
 
-def coverage(df: DataFrame, column: str, dim: DataFrame, domain: str,
+def coverage(df: DataFrame, column: str, dim: DataFrame | CheckedDim, domain: str,
              max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Observed non-NULL values with no dictionary entry: (``value``, ``n``).
 
     Counted first (partial aggregation, so a hot value is one row per task),
     then anti-joined against the key set (broadcast when its checked size allows).
     """
-    entries, n_keys = dim_check(dim, domain)
+    entries, n_keys = dim_check(dim, domain, max_broadcast_rows)
     keys = entries.select(F.col("raw").alias(_RAW))
     if n_keys <= max_broadcast_rows:
         keys = F.broadcast(keys)
@@ -128,17 +187,18 @@ def coverage(df: DataFrame, column: str, dim: DataFrame, domain: str,
     return counts.join(keys, F.col("value") == F.col(_RAW), "left_anti")
 
 
-def coverage_many(df: DataFrame, dim: DataFrame, columns: dict[str, str],
+def coverage_many(df: DataFrame, dim: DataFrame | CheckedDim, columns: dict[str, str],
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Unmapped values of several columns in one pass: (``domain``, ``value``, ``n``).
 
     The fact table is unpivoted to (domain, value), counted once (partial
     aggregation per task), then anti-joined with the dictionary keys.
     """
+    dim = check_dim(dim, max_broadcast_rows)
     key_sets = []
     total = 0
     for domain in dict.fromkeys(columns.values()):
-        entries, n = dim_check(dim, domain)
+        entries, n = dim_check(dim, domain, max_broadcast_rows)
         total += n
         key_sets.append(entries.select(F.lit(domain).alias("__d"), F.col("raw").alias(_RAW)))
     keys = key_sets[0]

@@ -18,7 +18,7 @@ from blotter.operators.clean import (
     normalize_dates,
     normalize_time,
 )
-from blotter.operators.recode import merge_passes, recode_many
+from blotter.operators.recode import CheckedDim, check_dim, merge_passes, recode_many
 from blotter.schema import CLEAN_COLUMNS
 
 # Column -> dictionary domain used by the cleaning flow.
@@ -39,16 +39,17 @@ def typed_incidents(raw: DataFrame) -> DataFrame:
     return normalize_time(df)
 
 
-def recoded_incidents(raw: DataFrame, dim: DataFrame,
+def recoded_incidents(raw: DataFrame, dim: DataFrame | CheckedDim,
                       second_passes: dict[str, str] | None = None) -> DataFrame:
     """:func:`typed_incidents` plus the five recodes (premise in two passes, merged)."""
     second_passes = {"premise": "premise_pass2"} if second_passes is None else second_passes
+    dim = check_dim(dim)
     for first, second in second_passes.items():
         dim = merge_passes(dim, first, second)
     return recode_many(typed_incidents(raw), dim, RECODE_DOMAINS)
 
 
-def clean_incidents(raw: DataFrame, dim: DataFrame,
+def clean_incidents(raw: DataFrame, dim: DataFrame | CheckedDim,
                     second_passes: dict[str, str] | None = None) -> DataFrame:
     """The cleaned incident table (``blotter.schema.CLEAN_COLUMNS``)."""
     df = recoded_incidents(raw, dim, second_passes).drop("date_rptd")
