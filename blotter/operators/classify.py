@@ -22,15 +22,33 @@ from blotter.functions import to_double, to_int
 
 
 # --- split ------------------------------------------------------------------
-def split_flag(key: str | Column, train_percent: int = 80, salt: int = 0,
-               multiplier: int = 7919) -> Column:
-    """True for training rows: ``pmod(key * multiplier + salt, 100) < train_percent``.
+# --- fixed values: the split's mixing step (Park-Miller minimal standard) ---
+MIX_MODULUS = 2147483647    # 2**31 - 1, prime
+MIX_MULTIPLIER = 48271
+
+
+def split_bucket(key: str | Column, salt: int = 0) -> Column:
+    """A bucket 0..99 from an integer key: two Park-Miller steps, then mod 100.
+
+    Every product stays below 2**47, so no overflow under ANSI mode for any
+    64-bit key (hash keys included); the steps scramble low digits, so keys
+    built like ``order * 10 + line`` do not split by their last digits.
+    """
+    k = F.col(key) if isinstance(key, str) else key
+    m, a = F.lit(MIX_MODULUS), F.lit(MIX_MULTIPLIER)
+    h = F.pmod(F.pmod(k.cast("long"), m) + salt, m)
+    h = F.pmod(h * a, m)
+    h = F.pmod(h * a, m)
+    return F.pmod(h, F.lit(100))
+
+
+def split_flag(key: str | Column, train_percent: int = 80, salt: int = 0) -> Column:
+    """True for training rows: ``split_bucket(key, salt) < train_percent``.
 
     Depends on the key only, never on partitioning or task order, so it is
     the same on every run and every cluster layout (``randomSplit`` is not).
     """
-    k = F.col(key) if isinstance(key, str) else key
-    return F.pmod(k.cast("long") * multiplier + salt, F.lit(100)) < train_percent
+    return split_bucket(key, salt) < train_percent
 
 
 def key_split(df: DataFrame, key: str | Column, train_percent: int = 80,
@@ -70,22 +88,52 @@ def check_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int
     return counts
 
 
+def frequency_encode(train: DataFrame, others: Sequence[DataFrame], column: str, out: str,
+                     max_broadcast_rows: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
+    """Encode a high-cardinality category by its row count in the training rows.
+
+    One partial aggregation of the training rows (a hot value is one row per
+    task before the shuffle), then a left join back onto every table; values
+    unseen in training get 0.  The count table has one row per distinct value;
+    it is broadcast only when that number, counted first, is within
+    ``max_broadcast_rows``, otherwise joined by shuffle (AQE splits skew).
+    NULL values keep a NULL code, so the assembler skips them as the
+    reference's indexer would.
+    """
+    counts = train.filter(F.col(column).isNotNull()).groupBy(column) \
+                  .agg(F.count(F.lit(1)).cast("double").alias(out))
+    n_values = counts.count()
+    right = F.broadcast(counts) if n_values <= max_broadcast_rows else counts
+
+    def enc(df: DataFrame) -> DataFrame:
+        j = df.join(right, column, "left")
+        return j.withColumn(out, F.when(F.col(column).isNotNull(), F.coalesce(F.col(out), F.lit(0.0))))
+
+    return enc(train), [enc(o) for o in others]
+
+
 def build_pipeline(categorical: Sequence[str] = CATEGORICAL, features: Sequence[str] = FEATURES,
                    label_source: str = LABEL_SOURCE, num_trees: int = 10, seed: int = 42,
                    assembler_invalid: str = "skip", **rf_params) -> Pipeline:
     """Indexers (skip NULL/unseen) -> one-hot -> label indexer -> assembler -> random forest.
 
-    Labels are ordered by count descending, ties by value.  The forest keeps
-    Spark's defaults (depth 5, 32 bins, gini) with a fixed seed.
+    All categorical columns are indexed by one multi-column StringIndexer
+    (one counting pass, not one per column).  Labels are ordered by count
+    descending, ties by value.  The forest keeps Spark's defaults (depth 5,
+    32 bins, gini) with a fixed seed.
     """
-    idx = [StringIndexer(inputCol=c, outputCol=f"{c}_index", handleInvalid="skip") for c in categorical]
-    ohe = OneHotEncoder(inputCols=[f"{c}_index" for c in categorical],
-                        outputCols=[f"{c}_encoded" for c in categorical])
+    cats = list(categorical)
+    stages = []
+    if cats:
+        stages.append(StringIndexer(inputCols=cats, outputCols=[f"{c}_index" for c in cats],
+                                    handleInvalid="skip"))
+        stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in cats],
+                                    outputCols=[f"{c}_encoded" for c in cats]))
     label = StringIndexer(inputCol=label_source, outputCol="label", handleInvalid="skip")
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=assembler_invalid)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 seed=seed, **rf_params)
-    return Pipeline(stages=[*idx, ohe, label, asm, rf])
+    return Pipeline(stages=[*stages, label, asm, rf])
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:

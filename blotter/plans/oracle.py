@@ -159,7 +159,9 @@ GROUP BY ALL"""
 
 
 _DATE = "try_strptime(regexp_replace(substr(date_occ, 1, 10), '/', '-', 'g'), '%m-%d-%Y')"
-_SPLIT = f"(CAST({{key}} AS BIGINT) * 7919) % 100 < {TRAIN_PERCENT}"
+# Park-Miller steps of the key split, for non-negative keys.
+_SPLIT = ("((((CAST({key} AS BIGINT) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647) % 100) < "
+          + str(TRAIN_PERCENT))
 
 EVENT_ITEMS_CTE = f"""
 ev AS (

@@ -23,7 +23,8 @@ from blotter.operators.clean import (
 )
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_incidents, typed_incidents
 from blotter.schema import BASKET_COLUMNS, RAW, RAW_COLUMNS
-from blotter.session import ensure_checkpoint_dir, shared_dir
+from blotter.plans.classification import train_classifier
+from blotter.session import shared_dir
 from blotter.sources import layer
 from blotter.sources.csv import read_raw_csv, write_csv
 from blotter.sources.dims import weekday_dim
@@ -324,42 +325,26 @@ def q_assemble(spark, sf):
 
 # --- random forest ---------------------------------------------------------------------------
 def forest(spark, sf):
-    """Fit once per session and scale: (model, scored test rows)."""
+    """Fit once per session and scale (the four forest queries share it)."""
     def build():
-        ensure_checkpoint_dir(spark)
-        df = classify.typed_features(raw(spark, sf))
-        flag = classify.split_flag(F.col("dr_no").try_cast("long"), TRAIN_PERCENT)
-        classify.check_cardinality(df, classify.CATEGORICAL, max_categories=2_000_000)
-        # Written to the shared checkpoint folder: the forest makes many passes.
-        train = df.filter(flag).checkpoint(eager=True)
-        model = classify.fit(classify.build_pipeline(), train)
-        scored = model.transform(df.filter(~flag))
-        return model, scored
+        return train_classifier(raw(spark, sf), F.col("dr_no").try_cast("long"), TRAIN_PERCENT)
     return _memo("forest", spark, sf, build)
 
 
 def q_rf_predict(spark, sf):
-    model, scored = forest(spark, sf)
-    out = classify.decode_prediction(scored, classify.label_names(model))
-    return out.select("dr_no", "vict_age", "vict_sex", "vict_descent", "premis_desc", "weapon_desc",
-                      "location", "status_desc", F.col("prediction").cast("int").alias("prediction"),
-                      "predicted")
+    return forest(spark, sf).predictions()
 
 
 def q_rf_accuracy(spark, sf):
-    _, scored = forest(spark, sf)
-    return classify.accuracy(scored)
+    return forest(spark, sf).accuracy()
 
 
 def q_confusion(spark, sf):
-    _, scored = forest(spark, sf)
-    return classify.confusion(scored)
+    return forest(spark, sf).confusion()
 
 
 def q_rf_importance(spark, sf):
-    model, scored = forest(spark, sf)
-    rows = classify.importances_by_input(model, scored)
-    return spark.createDataFrame(rows, "feature string, importance double")
+    return spark.createDataFrame(forest(spark, sf).importances(), "feature string, importance double")
 
 
 QUERIES: dict[str, Query] = {

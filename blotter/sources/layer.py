@@ -23,11 +23,14 @@ def write_layer(df: DataFrame, path: str, date_col: str = "date_occ",
                 mode: str = "overwrite") -> None:
     """Write the layer, one folder per year; rows with no valid date go to the NULL folder.
 
-    Rows are clustered by year before the write so each task writes few files
-    (one shuffle on a low-cardinality key; AQE splits a hot year).
+    Rows are clustered by year with a REBALANCE hint, not ``repartition``:
+    a year holds an eighth of all rows or more, and ``repartition(year)``
+    would send each year to one task.  REBALANCE lets AQE split a large year
+    into advisory-size partitions (several files per year folder) and merge
+    small ones, so each task writes few, evenly sized files.
     """
     out = with_partition_year(df, date_col)
-    (out.repartition(PARTITION_COLUMN)
+    (out.hint("rebalance", PARTITION_COLUMN)
         .write.mode(mode)
         .partitionBy(PARTITION_COLUMN)
         .parquet(path))
