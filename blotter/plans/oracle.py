@@ -17,6 +17,8 @@ from blotter.plans.queries import (
     MONTH_RANGE,
     TOP_K,
     TRAIN_PERCENT,
+    INCIDENT_CONFIDENCE,
+    INCIDENT_SUPPORT,
 )
 from blotter.schema import BASKET_COLUMNS, DROPPED, RAW
 from blotter.sources.dims import DESCENT_CODES, SEX_CODES
@@ -202,6 +204,40 @@ rules AS (
 )"""
 
 
+def _incident_rules_cte() -> str:
+    cols = ", ".join(BASKET_COLUMNS)
+    no_placeholder = " AND ".join(f"{c} NOT IN ('Unknown', 'Other')" for c in BASKET_COLUMNS)
+    null_all = " AND ".join(f"{c} IS NULL" for c in BASKET_COLUMNS)
+    recoded_filtered = """SELECT * FROM recoded
+  WHERE vict_age NOT IN (-2, -1, 0) AND vict_sex NOT IN ('null', 'H') AND vict_descent NOT IN ('null')
+    AND premis_desc NOT IN ('null') AND weapon_desc NOT IN ('null')"""
+    return f"""WITH {RAW_CTE},
+{DIM_CTE},
+{RECODED_CTE},
+train AS (SELECT {cols} FROM ({recoded_filtered}) c
+          WHERE {no_placeholder} AND {_SPLIT.format(key='dr_no')}),
+n_train AS (SELECT count(*) AS n FROM train),
+itemsets AS (
+  SELECT array_to_string(list_sort(list_filter([{cols}], lambda x: x IS NOT NULL)), ',') AS items,
+         list_sort(list_filter([{cols}], lambda x: x IS NOT NULL)) AS item_list,
+         count(*) AS freq
+  FROM train GROUP BY CUBE ({cols})
+  HAVING count(*) >= ceil({INCIDENT_SUPPORT} * (SELECT n FROM n_train)) AND NOT ({null_all})
+),
+rules AS (
+  SELECT array_to_string(list_filter(z.item_list, lambda x: x <> y.item), ',') AS antecedent,
+         y.item AS consequent,
+         z.freq * 1.0 / a.freq AS confidence,
+         (z.freq * 1.0 / a.freq) / (c.freq * 1.0 / (SELECT n FROM n_train)) AS lift,
+         z.freq * 1.0 / (SELECT n FROM n_train) AS support
+  FROM itemsets z
+  CROSS JOIN LATERAL (SELECT unnest(z.item_list) AS item) y
+  JOIN itemsets a ON a.items = array_to_string(list_filter(z.item_list, lambda x: x <> y.item), ',')
+  JOIN itemsets c ON c.items = y.item
+  WHERE len(z.item_list) >= 2 AND z.freq * 1.0 / a.freq >= {INCIDENT_CONFIDENCE}
+)"""
+
+
 def oracle_sql() -> dict[str, str]:
     raw_cols = ", ".join(RAW)
     kept = [c for c in RAW if c not in DROPPED]
@@ -217,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
     q["csv_roundtrip"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents")
     q["clean_sink_roundtrip"] = with_clean(
         f"SELECT {clean_cols}, CAST(year(try_strptime(date_occ, '%m-%d-%Y')) AS INTEGER) AS occ_year FROM clean")
+    q["clean_stream_roundtrip"] = q["clean_sink_roundtrip"]
     q["row_count"] = with_raw("SELECT count(*) AS row_count FROM raw_incidents")
     q["preview"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents ORDER BY {order_all} LIMIT 20")
     q["select_cols"] = with_clean(f"SELECT {basket} FROM clean")
@@ -319,6 +356,11 @@ GROUP BY domain, value"""
     q["basket_build"] = with_clean(f"""SELECT array_to_string(list_sort(list_distinct(list_filter(
         [{basket}], lambda x: x IS NOT NULL))), ',') AS items FROM clean WHERE {no_placeholder}""")
 
+    q["incident_itemsets"] = (_incident_rules_cte()
+                              + "\nSELECT items, CAST(len(item_list) AS INTEGER) AS size, freq FROM itemsets")
+    q["incident_rules"] = (_incident_rules_cte() + """
+SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
+       round(support, 6) AS support FROM rules""")
     q["freq_itemsets"] = f"WITH {EVENT_ITEMS_CTE}\nSELECT items, CAST(len(item_list) AS INTEGER) AS size, freq FROM itemsets"
     q["assoc_rules"] = f"""WITH {EVENT_ITEMS_CTE}
 SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,

@@ -24,6 +24,7 @@ from blotter.operators.clean import (
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_incidents, typed_incidents
 from blotter.schema import BASKET_COLUMNS, RAW, RAW_COLUMNS
 from blotter.plans.classification import train_classifier
+from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.session import shared_dir
 from blotter.sources import layer
 from blotter.sources.csv import read_raw_csv, write_csv
@@ -77,6 +78,20 @@ def q_clean_sink_roundtrip(spark, sf):
     return layer.read_layer(spark, path)
 
 
+def q_clean_stream_roundtrip(spark, sf):
+    """The raw file lands in two parts; the streaming ingest cleans both into a layer."""
+    from blotter.streaming.ingest import start_ingest
+    src = shared_dir(spark, "landing")
+    raw_text = raw_incidents(spark, sf, normalize=False)
+    flag = classify.split_flag(F.col("DR_NO").try_cast("long"), 50)
+    write_csv(raw_text.filter(flag), f"{src}/part=1")
+    write_csv(raw_text.filter(~flag), f"{src}/part=2")
+    out, ckpt = shared_dir(spark, "stream-layer"), shared_dir(spark, "stream-ckpt")
+    q = start_ingest(spark, src, out, ckpt, dim(spark, sf))
+    q.awaitTermination()
+    return layer.read_layer(spark, out)
+
+
 def q_row_count(spark, sf):
     return profile.row_count(raw(spark, sf))
 
@@ -241,6 +256,25 @@ def q_basket_build(spark, sf):
     return df.select(patterns.items_text(patterns.basket(BASKET_COLUMNS)).alias("items"))
 
 
+INCIDENT_SUPPORT, INCIDENT_CONFIDENCE = 0.2, 0.5   # the reference's thresholds
+
+
+def incident_rule_model(spark, sf):
+    def build():
+        kept = clean_incidents(raw(spark, sf), dim(spark, sf), keep=("dr_no",))
+        baskets = incident_baskets(kept.withColumn("dr_no", F.col("dr_no").try_cast("long")), "dr_no")
+        return mine_rules(baskets, "dr_no", INCIDENT_SUPPORT, INCIDENT_CONFIDENCE, train_percent=TRAIN_PERCENT)
+    return _memo("incident-rules", spark, sf, build)
+
+
+def q_incident_itemsets(spark, sf):
+    return incident_rule_model(spark, sf).itemsets()
+
+
+def q_incident_rules(spark, sf):
+    return incident_rule_model(spark, sf).rules()
+
+
 def event_baskets(spark, sf) -> DataFrame:
     cols = events_basket_columns(spark, sf)
     return cols.select("event_id", patterns.basket(EVENT_ITEM_COLUMNS).alias("items"))
@@ -350,6 +384,7 @@ def q_rf_importance(spark, sf):
 QUERIES: dict[str, Query] = {
     "csv_roundtrip": q_csv_roundtrip,
     "clean_sink_roundtrip": q_clean_sink_roundtrip,
+    "clean_stream_roundtrip": q_clean_stream_roundtrip,
     "row_count": q_row_count,
     "preview": q_preview,
     "select_cols": q_select_cols,
@@ -388,6 +423,8 @@ QUERIES: dict[str, Query] = {
     "count_by_area_white": _by_area("White"),
     "area_by_group_wide": q_area_by_group_wide,
     "basket_build": q_basket_build,
+    "incident_itemsets": q_incident_itemsets,
+    "incident_rules": q_incident_rules,
     "freq_itemsets": q_freq_itemsets,
     "assoc_rules": q_assoc_rules,
     "rule_predict": q_rule_predict,

@@ -49,3 +49,25 @@ def test_cardinality_guard(spark):
         raise AssertionError("expected a refusal")
     except ValueError as e:
         assert "above 100" in str(e)
+
+
+def test_onehot_and_frequency_modes(spark, sf):
+    from blotter.plans.classification import train_classifier
+    from blotter.plans.queries import raw
+    r = raw(spark, sf)
+    key = F.col("dr_no").try_cast("long")
+    for mode, feature in (("onehot", "location_encoded"), ("frequency", "location_freq")):
+        c = train_classifier(r, key, num_trees=3, location_encoding=mode)
+        acc = c.accuracy().first()
+        assert acc.scored > 0
+        imp = dict(c.importances())
+        assert feature in imp and abs(sum(imp.values()) - 1) < 1e-9
+        assert c.predictions().count() == acc.scored
+
+
+def test_frequency_encode_unseen_and_null(spark):
+    train = spark.createDataFrame([("a",), ("a",), ("b",)], "loc string")
+    test = spark.createDataFrame([("a",), ("z",), (None,)], "loc string")
+    _, (enc,) = classify.frequency_encode(train, [test], "loc", "f")
+    got = {r.loc: r.f for r in enc.collect()}
+    assert got == {"a": 2.0, "z": 0.0, None: None}

@@ -9,7 +9,8 @@ from tools.check_oracle import TABLES, digest
 
 FAST = ["row_count", "null_profile", "distinct_values", "recode_premise", "recode_unmapped", "top_crime",
         "top_weapon", "weekday_trend", "year_trend", "month_trend", "area_by_group_wide", "basket_build",
-        "freq_itemsets", "assoc_rules", "rule_predict", "string_index", "one_hot", "key_split", "parse_date"]
+        "freq_itemsets", "assoc_rules", "rule_predict", "string_index", "one_hot", "key_split", "parse_date",
+        "clean_stream_roundtrip", "incident_itemsets", "incident_rules", "csv_roundtrip"]
 
 
 def test_entry_smoke(spark):
