@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -89,21 +90,24 @@ def check_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int
 
 
 def frequency_encode(train: DataFrame, others: Sequence[DataFrame], column: str, out: str,
-                     max_broadcast_rows: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
+                     max_broadcast_rows: int = 1_000_000,
+                     n_values: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """Encode a high-cardinality category by its row count in the training rows.
 
     One partial aggregation of the training rows (a hot value is one row per
     task before the shuffle), then a left join back onto every table; values
     unseen in training get 0.  The count table has one row per distinct value;
-    it is broadcast only when that number, counted first, is within
+    it is broadcast only when that number -- counted first, or an approximate
+    count ``n_values`` given with 10 % headroom -- is within
     ``max_broadcast_rows``, otherwise joined by shuffle (AQE splits skew).
     NULL values keep a NULL code, so the assembler skips them as the
     reference's indexer would.
     """
     counts = train.filter(F.col(column).isNotNull()).groupBy(column) \
                   .agg(F.count(F.lit(1)).cast("double").alias(out))
-    n_values = counts.count()
-    right = F.broadcast(counts) if n_values <= max_broadcast_rows else counts
+    small = (counts.count() <= max_broadcast_rows if n_values is None
+             else n_values * 1.1 <= max_broadcast_rows)
+    right = F.broadcast(counts) if small else counts
 
     def enc(df: DataFrame) -> DataFrame:
         j = df.join(right, column, "left")
@@ -117,34 +121,54 @@ def build_pipeline(categorical: Sequence[str] = CATEGORICAL, features: Sequence[
                    assembler_invalid: str = "skip", **rf_params) -> Pipeline:
     """Indexers (skip NULL/unseen) -> one-hot -> label indexer -> assembler -> random forest.
 
-    All categorical columns are indexed by one multi-column StringIndexer
-    (one counting pass, not one per column).  Labels are ordered by count
-    descending, ties by value.  The forest keeps Spark's defaults (depth 5,
-    32 bins, gini) with a fixed seed.
+    The categorical inputs and the label are indexed by one multi-column
+    StringIndexer (one counting pass, not one per column; a row with a NULL or
+    unseen value in any of them is skipped, as separate indexers would).
+    Labels are ordered by count descending, ties by value.  The forest keeps
+    Spark's defaults (depth 5, 32 bins, gini) with a fixed seed.
     """
     cats = list(categorical)
-    stages = []
+    index = StringIndexer(inputCols=[*cats, label_source],
+                          outputCols=[*[f"{c}_index" for c in cats], "label"], handleInvalid="skip")
+    stages = [index]
     if cats:
-        stages.append(StringIndexer(inputCols=cats, outputCols=[f"{c}_index" for c in cats],
-                                    handleInvalid="skip"))
         stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in cats],
                                     outputCols=[f"{c}_encoded" for c in cats]))
-    label = StringIndexer(inputCol=label_source, outputCol="label", handleInvalid="skip")
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=assembler_invalid)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 seed=seed, **rf_params)
-    return Pipeline(stages=[*stages, label, asm, rf])
+    return Pipeline(stages=[*stages, asm, rf])
 
 
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
-    return pipeline.fit(train)
+    """Fit the feature stages, then the forest on persisted (features, label) rows.
+
+    The forest reads its input several times (row count, split sampling,
+    binning); persisting only the two columns it needs keeps the indexer,
+    joins and assembler from re-running each time.  A lost block is
+    recomputed from its lineage (the checkpointed training rows), so the
+    persist costs no fault tolerance.  Returns one PipelineModel.
+    """
+    stages = pipeline.getStages()
+    prep = Pipeline(stages=stages[:-1]).fit(train)
+    learner = stages[-1]
+    feats = prep.transform(train).select(learner.getFeaturesCol(), learner.getLabelCol())
+    feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        forest = learner.fit(feats)
+    finally:
+        feats.unpersist()
+    return PipelineModel(stages=[*prep.stages, forest])
 
 
 def label_names(model: PipelineModel) -> list[str]:
-    """Label texts in index order (the label indexer's fitted labels)."""
+    """Label texts in index order (the indexer's fitted labels for the ``label`` output)."""
     for stage in model.stages:
-        if getattr(stage, "getOutputCol", None) and stage.getOutputCol() == "label":
-            return list(stage.labels)
+        if not hasattr(stage, "labelsArray"):
+            continue
+        outs = stage.getOutputCols() if stage.isSet("outputCols") else [stage.getOutputCol()]
+        if "label" in outs:
+            return list(stage.labelsArray[outs.index("label")])
     raise ValueError("no label indexer in the pipeline")
 
 

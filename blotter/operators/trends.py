@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blotter.functions import day_name, month_number, parse_date, year_number
-from blotter.sources.layer import PARTITION_COLUMN
+from blotter.sources.layer import DATE_COLUMN, PARTITION_COLUMN
 
 COUNT = "count"
 
@@ -40,9 +40,18 @@ def ranked_counts(df: DataFrame, *columns: str, name: str = COUNT) -> DataFrame:
 
 
 def _date(df: DataFrame, date_col: str) -> Column:
-    """The occurrence date, parsed from text unless the column already is a date."""
-    dtype = dict(df.dtypes)[date_col]
-    return F.col(date_col) if dtype == "date" else parse_date(date_col)
+    """The occurrence date: the layer's typed ``occ_date`` when present (same value,
+    no per-row parse, filters reach Parquet statistics), else parsed from text."""
+    types = dict(df.dtypes)
+    if date_col == "date_occ" and types.get(DATE_COLUMN) == "date":
+        return F.col(DATE_COLUMN)
+    return F.col(date_col) if types[date_col] == "date" else parse_date(date_col)
+
+
+def _small_sorted(df: DataFrame, *order) -> DataFrame:
+    """Total order for a result bounded by the calendar (years, 12 months, 7 days):
+    one partition sorted locally, instead of a range shuffle and its sampling job."""
+    return df.coalesce(1).sortWithinPartitions(*order)
 
 
 def year_trend(df: DataFrame, date_col: str = "date_occ", exclude_year: int | None = None) -> DataFrame:
@@ -51,11 +60,15 @@ def year_trend(df: DataFrame, date_col: str = "date_occ", exclude_year: int | No
     The reference drops the current, incomplete year; the filter on the
     grouping key is pushed below the aggregation by Catalyst.
     """
-    out = count_by(df, year_number(_date(df, date_col)).alias("year"))
+    if date_col == "date_occ" and PARTITION_COLUMN in df.columns:
+        year = F.col(PARTITION_COLUMN).alias("year")      # the layer's year folders: no data column read
+    else:
+        year = year_number(_date(df, date_col)).alias("year")
+    out = count_by(df, year)
     if exclude_year is not None:
         # "year != x" is NULL for the NULL year, so that group goes too.
         out = out.filter(F.col("year").isNotNull() & (F.col("year") != exclude_year))
-    return out.orderBy("year")
+    return _small_sorted(out, "year")
 
 
 def month_trend(df: DataFrame, start: str, end: str, date_col: str = "date_occ") -> DataFrame:
@@ -68,7 +81,7 @@ def month_trend(df: DataFrame, start: str, end: str, date_col: str = "date_occ")
     if PARTITION_COLUMN in df.columns:
         y0, y1 = int(start[:4]), int(end[:4])
         rng = (F.col(PARTITION_COLUMN) >= y0) & (F.col(PARTITION_COLUMN) <= y1) & rng
-    return count_by(df.filter(rng), month_number(d).alias("month")).orderBy("month")
+    return _small_sorted(count_by(df.filter(rng), month_number(d).alias("month")), "month")
 
 
 def weekday_trend(df: DataFrame, weekdays: DataFrame, date_col: str = "date_occ") -> DataFrame:
@@ -78,8 +91,8 @@ def weekday_trend(df: DataFrame, weekdays: DataFrame, date_col: str = "date_occ"
     date have no weekday and drop out of the inner join.
     """
     counts = count_by(df, day_name(_date(df, date_col)).alias("day_of_week"))
-    return (counts.join(F.broadcast(weekdays), "day_of_week")
-                  .orderBy("day_order").drop("day_order"))
+    joined = counts.join(F.broadcast(weekdays), "day_of_week")
+    return _small_sorted(joined, "day_order").drop("day_order")
 
 
 def by_area(df: DataFrame, value: str, group_col: str = "vict_descent",

@@ -54,24 +54,34 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
       the other categories.  Exact, but the label list lives on the driver and
       the forest bins every slot of every row, so it is refused above
       ``max_categories`` distinct addresses.
+
+    Passes over the raw rows: one to write the (column-pruned) training rows
+    to the shared checkpoint folder, one to score the held-out rows.  Every
+    other pass (cardinality check, address counts, indexer, forest) reads the
+    checkpoint.
     """
+    if location_encoding not in ("frequency", "onehot"):
+        raise ValueError(f"unknown location_encoding {location_encoding!r}")
     spark = raw.sparkSession
     ensure_checkpoint_dir(spark)
-    df = classify.typed_features(raw)
-    flag = classify.split_flag(key, train_percent)
+    inputs = [c for c in classify.NUMERIC_INT if c in classify.FEATURES]
+    needed = ["dr_no", *classify.CATEGORICAL, classify.LABEL_SOURCE, *inputs]
+    df = classify.typed_features(raw).withColumn("__train", classify.split_flag(key, train_percent))
+    df = df.select(*dict.fromkeys(needed), "__train")
+    train = df.filter("__train").drop("__train").checkpoint(eager=True)
+    test = df.filter(~df["__train"]).drop("__train")
     if location_encoding == "onehot":
-        classify.check_cardinality(df, classify.CATEGORICAL, max_categories)
+        classify.check_cardinality(train, classify.CATEGORICAL, max_categories)
         categorical, features = classify.CATEGORICAL, classify.FEATURES
-        train, test = df.filter(flag), df.filter(~flag)
-    elif location_encoding == "frequency":
+    else:
         categorical = [c for c in classify.CATEGORICAL if c != "location"]
-        classify.check_cardinality(df, categorical, max_categories)
+        approx = classify.check_cardinality(train, classify.CATEGORICAL,
+                                            max(max_categories, 10 ** 12))
+        over = {c: approx[c] for c in categorical if approx[c] > max_categories}
+        if over:
+            raise ValueError(f"categorical inputs above {max_categories} values: {over}")
         features = [f if f != "location_encoded" else "location_freq" for f in classify.FEATURES]
-        train, (test,) = classify.frequency_encode(df.filter(flag), [df.filter(~flag)], "location",
-                                                   "location_freq")
-    else:
-        raise ValueError(f"unknown location_encoding {location_encoding!r}")
-    # Written to the shared checkpoint folder: the forest reads it once per tree level.
-    train = train.checkpoint(eager=True)
+        train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq",
+                                                   n_values=approx["location"])
     model = classify.fit(classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed), train)
     return Classification(model, model.transform(test), features)

@@ -252,7 +252,8 @@ def oracle_sql() -> dict[str, str]:
 
     q["csv_roundtrip"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents")
     q["clean_sink_roundtrip"] = with_clean(
-        f"SELECT {clean_cols}, CAST(year(try_strptime(date_occ, '%m-%d-%Y')) AS INTEGER) AS occ_year FROM clean")
+        f"SELECT {clean_cols}, CAST(try_strptime(date_occ, '%m-%d-%Y') AS DATE) AS occ_date, "
+        "CAST(year(try_strptime(date_occ, '%m-%d-%Y')) AS INTEGER) AS occ_year FROM clean")
     q["clean_stream_roundtrip"] = q["clean_sink_roundtrip"]
     q["row_count"] = with_raw("SELECT count(*) AS row_count FROM raw_incidents")
     q["preview"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents ORDER BY {order_all} LIMIT 20")
