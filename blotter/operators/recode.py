@@ -66,6 +66,12 @@ def _validate(rows) -> dict[str, dict[str, str]]:
         m = out.setdefault(d, {})
         if m.setdefault(k, v) != v:
             raise DictionaryError(f"domain {d!r}: key {k!r} has two targets ({m[k]!r}, {v!r})")
+    for d, m in out.items():
+        chained = [k for k, v in m.items() if v != k and v in m and m[v] != v]
+        if chained:
+            raise DictionaryError(
+                f"domain {d!r}: target(s) of {chained[:5]} are keys with other targets; a chain of "
+                "replaces would depend on entry order -- split the domain into passes (merge_passes)")
     return out
 
 
@@ -75,7 +81,10 @@ def check_dim(dim: DataFrame | CheckedDim,
 
     A key repeated with the same target is de-duplicated (a repeated key
     would otherwise duplicate fact rows in the join).  A key with two
-    targets, or a NULL key or target, raises :class:`DictionaryError`.
+    targets, a NULL key or target, or a target that is itself a key with
+    another target (a chain: the result of sequential replaces would depend
+    on entry order; identity entries are fine) raises :class:`DictionaryError`.
+    Without chains one lookup equals any order of sequential replaces.
     """
     if isinstance(dim, CheckedDim):
         return dim
@@ -101,6 +110,12 @@ def _check_distributed(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
         raise DictionaryError(f"domain {domain!r}: {stats['conflicts']} key(s) with two targets, e.g. {bad}")
     if stats["nulls"]:
         raise DictionaryError(f"domain {domain!r}: NULL key or target")
+    e2 = entries.select(F.col("raw").alias("r2"), F.col("target").alias("t2"))
+    chains = (entries.filter(F.col("raw") != F.col("target"))
+                     .join(e2, (F.col("target") == F.col("r2")) & (F.col("t2") != F.col("r2")), "left_semi"))
+    bad = [r["raw"] for r in chains.select("raw").limit(5).collect()]
+    if bad:
+        raise DictionaryError(f"domain {domain!r}: targets of {bad} are keys with other targets")
     return entries, int(stats["keys"])
 
 

@@ -288,6 +288,15 @@ def oracle_sql() -> dict[str, str]:
     q["filter_not_in_str"] = with_clean("""SELECT vict_sex, vict_descent, premis_desc, weapon_desc FROM recoded
         WHERE vict_sex NOT IN ('null', 'H') AND vict_descent NOT IN ('null')
           AND premis_desc NOT IN ('null') AND weapon_desc NOT IN ('null')""")
+    q["filter_rule_counts"] = with_clean("""SELECT
+        CAST(count(*) FILTER (WHERE vict_age IS NULL OR vict_age IN (-2, -1, 0)) AS BIGINT) AS bad_age,
+        CAST(count(*) FILTER (WHERE vict_sex IS NULL OR vict_sex IN ('null', 'H')) AS BIGINT) AS bad_sex,
+        CAST(count(*) FILTER (WHERE vict_descent IS NULL OR vict_descent = 'null') AS BIGINT) AS bad_descent,
+        CAST(count(*) FILTER (WHERE premis_desc IS NULL OR premis_desc = 'null') AS BIGINT) AS bad_premise,
+        CAST(count(*) FILTER (WHERE weapon_desc IS NULL OR weapon_desc = 'null') AS BIGINT) AS bad_weapon,
+        CAST(count(*) FILTER (WHERE vict_age NOT IN (-2, -1, 0) AND vict_sex NOT IN ('null', 'H')
+            AND vict_descent <> 'null' AND premis_desc <> 'null' AND weapon_desc <> 'null') AS BIGINT) AS kept
+        FROM recoded""")
     q["filter_placeholders"] = with_clean(f"SELECT {basket} FROM clean WHERE {no_placeholder}")
 
     q["recode_sex"] = _recode("vict_sex", "LEFT JOIN dim_sex d ON r.vict_sex = d.raw",

@@ -17,6 +17,7 @@ from blotter.functions import date_text, day_name, month_name, month_number, par
 from blotter.operators import classify, patterns, profile, recode, trends
 from blotter.operators.clean import (
     drop_columns,
+    filter_counts,
     filter_placeholders,
     filter_valid,
     not_in,
@@ -171,6 +172,10 @@ def q_filter_not_in_str(spark, sf):
     return df.filter(keep).select("vict_sex", "vict_descent", "premis_desc", "weapon_desc")
 
 
+def q_filter_rule_counts(spark, sf):
+    return filter_counts(recoded(spark, sf))
+
+
 def q_filter_placeholders(spark, sf):
     return filter_placeholders(clean(spark, sf).select(*BASKET_COLUMNS), BASKET_COLUMNS)
 
@@ -400,6 +405,7 @@ QUERIES: dict[str, Query] = {
     "month_day_names": q_month_day_names,
     "filter_not_in_int": q_filter_not_in_int,
     "filter_not_in_str": q_filter_not_in_str,
+    "filter_rule_counts": q_filter_rule_counts,
     "filter_placeholders": q_filter_placeholders,
     "recode_sex": q_recode_sex,
     "recode_descent": q_recode_descent,

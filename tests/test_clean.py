@@ -66,3 +66,11 @@ def test_profile(spark):
     assert [r.x for r in preview(df, ["x"], 2).collect()] == [None, 1]
     dv = {tuple(r) for r in distinct_values_many(df, ["x", "y"]).collect()}
     assert dv == {("x", "1"), ("x", None), ("x", "3"), ("y", None), ("y", "a")}
+
+
+def test_clean_schema(spark, sf):
+    from blotter.plans.queries import clean
+    from blotter.schema import CLEAN_SCHEMA
+    df = clean(spark, sf)
+    assert [(f.name, f.dataType) for f in df.schema.fields] == \
+           [(f.name, f.dataType) for f in CLEAN_SCHEMA.fields]

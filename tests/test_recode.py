@@ -86,3 +86,12 @@ def test_recode_plan_is_broadcast(spark):
     plan = recode(_facts(spark), "c", dim, "premise")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan or "BroadcastExchange" in plan
     assert F  # keep import
+
+
+@pytest.mark.parametrize("max_rows", [100_000, 0])
+def test_chained_dictionary_rejected(spark, max_rows):
+    dim = recode_dim(spark, [("p", "A", "B"), ("p", "B", "C"), ("p", "C", "C")])
+    with pytest.raises(DictionaryError):
+        recode(_facts(spark), "c", dim, "p", max_broadcast_rows=max_rows)
+    ok = recode_dim(spark, [("p", "A", "B"), ("p", "B", "B")])   # identity target: no chain
+    assert recode(_facts(spark), "c", ok, "p", max_broadcast_rows=max_rows).count() == len(VALUES) * 3
