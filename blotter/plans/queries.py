@@ -89,7 +89,11 @@ def q_clean_stream_roundtrip(spark, sf):
     write_csv(raw_text.filter(~flag), f"{src}/part=2")
     out, ckpt = shared_dir(spark, "stream-layer"), shared_dir(spark, "stream-ckpt")
     q = start_ingest(spark, src, out, ckpt, dim(spark, sf))
-    q.awaitTermination()
+    if not q.awaitTermination(1800):
+        q.stop()
+        raise TimeoutError("streaming ingest did not finish within 30 minutes")
+    if q.exception():
+        raise q.exception()
     return layer.read_layer(spark, out)
 
 

@@ -71,3 +71,15 @@ def test_frequency_encode_unseen_and_null(spark):
     _, (enc,) = classify.frequency_encode(train, [test], "loc", "f")
     got = {r.loc: r.f for r in enc.collect()}
     assert got == {"a": 2.0, "z": 0.0, None: None}
+
+
+def test_frequency_encode_hot_key_shuffle_path(spark):
+    # one address holds a third of the rows; force the shuffle join (no broadcast)
+    rows = [("hot",)] * 300 + [(f"a{i}",) for i in range(600)]
+    train = spark.createDataFrame(rows, "loc string").repartition(4)
+    test = spark.createDataFrame([("hot",), ("a1",), ("new",)], "loc string")
+    enc_train, (enc_test,) = classify.frequency_encode(train, [test], "loc", "f", max_broadcast_rows=0)
+    assert enc_train.count() == 900
+    assert {r.loc: r.f for r in enc_test.collect()} == {"hot": 300.0, "a1": 1.0, "new": 0.0}
+    plan = enc_test._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan
