@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,7 +58,12 @@ def mine(baskets: DataFrame, min_support: float, min_confidence: float, max_item
     fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
-    return fp.fit(baskets.select(items_col))
+    model = fp.fit(baskets.select(items_col))
+    # The model's itemsets are a lazy plan over the input; itemsets, rules and
+    # rule application would each re-run the mining.  Their number is bounded
+    # (above), so keep them once; a lost block is recomputed from lineage.
+    model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK)
+    return model
 
 
 def freq_itemsets(model: FPGrowthModel) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 
@@ -42,7 +43,7 @@ class Classification:
 
 def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_trees: int = 10,
                      seed: int = 42, location_encoding: str = "frequency",
-                     max_categories: int = 100_000) -> Classification:
+                     max_categories: int = 100_000, cut_lineage: bool = False) -> Classification:
     """Fit and score the status classifier.
 
     ``location_encoding``:
@@ -55,10 +56,13 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
       the forest bins every slot of every row, so it is refused above
       ``max_categories`` distinct addresses.
 
-    Passes over the raw rows: one to write the (column-pruned) training rows
-    to the shared checkpoint folder, one to score the held-out rows.  Every
-    other pass (cardinality check, address counts, indexer, forest) reads the
-    checkpoint.
+    Passes over the raw rows: one to materialise the column-pruned training
+    rows, one to score the held-out rows; every other pass (cardinality check,
+    address counts, indexer, feature rows) reads the materialised rows.  They
+    are persisted (memory, then local disk): their lineage is one scan and a
+    filter, so a lost executor recomputes its blocks cheaply.  With
+    ``cut_lineage`` (for a raw input behind a long plan) they are instead
+    ``checkpoint()``ed into the shared checkpoint folder.
     """
     if location_encoding not in ("frequency", "onehot"):
         raise ValueError(f"unknown location_encoding {location_encoding!r}")
@@ -68,7 +72,9 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
     needed = ["dr_no", *classify.CATEGORICAL, classify.LABEL_SOURCE, *inputs]
     df = classify.typed_features(raw).withColumn("__train", classify.split_flag(key, train_percent))
     df = df.select(*dict.fromkeys(needed), "__train")
-    train = df.filter("__train").drop("__train").checkpoint(eager=True)
+    train = df.filter("__train").drop("__train")
+    train = train.checkpoint(eager=True) if cut_lineage else train.persist(StorageLevel.MEMORY_AND_DISK)
+    base = train
     test = df.filter(~df["__train"]).drop("__train")
     if location_encoding == "onehot":
         classify.check_cardinality(train, classify.CATEGORICAL, max_categories)
@@ -83,5 +89,9 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
         features = [f if f != "location_encoded" else "location_freq" for f in classify.FEATURES]
         train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq",
                                                    n_values=approx["location"])
-    model = classify.fit(classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed), train)
+    try:
+        model = classify.fit(classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed),
+                             train)
+    finally:
+        base.unpersist()
     return Classification(model, model.transform(test), features)

@@ -44,6 +44,17 @@ def write_layer(df: DataFrame, path: str, date_col: str = "date_occ",
         .parquet(path))
 
 
+def write_raw_layer(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """The raw incidents, still all text, as Parquet: the CSV is parsed once.
+
+    Profiles of the raw data (NULL counts, distinct values, unmapped values),
+    the cleaning flow and the classifier then read only the columns they
+    name instead of re-parsing every CSV line.  No shuffle: one file per
+    input split.
+    """
+    raw.write.mode(mode).parquet(path)
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

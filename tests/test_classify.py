@@ -74,12 +74,18 @@ def test_frequency_encode_unseen_and_null(spark):
 
 
 def test_frequency_encode_hot_key_shuffle_path(spark):
-    # one address holds a third of the rows; force the shuffle join (no broadcast)
-    rows = [("hot",)] * 300 + [(f"a{i}",) for i in range(600)]
-    train = spark.createDataFrame(rows, "loc string").repartition(4)
-    test = spark.createDataFrame([("hot",), ("a1",), ("new",)], "loc string")
-    enc_train, (enc_test,) = classify.frequency_encode(train, [test], "loc", "f", max_broadcast_rows=0)
-    assert enc_train.count() == 900
-    assert {r.loc: r.f for r in enc_test.collect()} == {"hot": 300.0, "a1": 1.0, "new": 0.0}
-    plan = enc_test._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastExchange" not in plan
+    # one address holds a third of the rows; no broadcast hint, and Catalyst's own
+    # size-based broadcast switched off, so the shuffle join really runs
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("hot",)] * 300 + [(f"a{i}",) for i in range(600)]
+        train = spark.createDataFrame(rows, "loc string").repartition(4)
+        test = spark.createDataFrame([("hot",), ("a1",), ("new",)], "loc string")
+        enc_train, (enc_test,) = classify.frequency_encode(train, [test], "loc", "f", max_broadcast_rows=0)
+        assert enc_train.count() == 900
+        assert {r.loc: r.f for r in enc_test.collect()} == {"hot": 300.0, "a1": 1.0, "new": 0.0}
+        plan = enc_test._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
