@@ -178,6 +178,20 @@ def decode_prediction(predictions: DataFrame, labels: list[str], name: str = "pr
     return predictions.withColumn(name, F.element_at(arr, (F.col("prediction") + 1).cast("int")))
 
 
+def skipped_rows(df: DataFrame, numeric_inputs: Sequence[str]) -> DataFrame:
+    """Rows the assembler skips (a NULL numeric input), counted in one pass.
+
+    One row: ``rows``, ``skipped`` and ``null_<input>`` per input; the
+    assembler runs with ``handleInvalid="skip"``, so these rows are reported
+    here instead of failing the fit.
+    """
+    any_null = F.lit(False)
+    for c in numeric_inputs:
+        any_null = any_null | F.col(c).isNull()
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(any_null).alias("skipped"),
+                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numeric_inputs])
+
+
 # --- metrics ------------------------------------------------------------------
 def accuracy(predictions: DataFrame) -> DataFrame:
     """One row: scored rows, correct rows, accuracy (share of prediction == label)."""

@@ -24,6 +24,12 @@ class Classification:
     model: PipelineModel
     scored: DataFrame
     features: list[str]
+    test: DataFrame
+
+    def skipped(self) -> DataFrame:
+        """Held-out rows the assembler skipped for a NULL numeric input (one row of counts)."""
+        numeric = [f for f in self.features if not f.endswith("_encoded")]
+        return classify.skipped_rows(self.test, numeric)
 
     def accuracy(self) -> DataFrame:
         return classify.accuracy(self.scored)
@@ -94,4 +100,4 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
                              train)
     finally:
         base.unpersist()
-    return Classification(model, model.transform(test), features)
+    return Classification(model, model.transform(test), features, test)

@@ -13,7 +13,7 @@ collected except small summaries printed at the end):
 3. the exploratory report: ``report/<name>`` for every table behind the charts;
 4. association rules: ``rules/itemsets``, ``rules/rules``, ``rules/predictions``;
 5. the classifier: ``forest/predictions``, ``forest/confusion``, ``forest/accuracy``,
-   ``forest/importances``.
+   ``forest/skipped`` (held-out rows with a NULL numeric input), ``forest/importances``.
 
 The dictionary CSV has a header ``domain,raw,target`` with domains ``sex``,
 ``descent``, ``crime``, ``premise`` (and optionally ``premise_pass2``), ``weapon``.
@@ -84,6 +84,7 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     _write(forest.predictions(), f"{out}/forest/predictions")
     _write(forest.confusion(), f"{out}/forest/confusion")
     _write(forest.accuracy(), f"{out}/forest/accuracy")
+    _write(forest.skipped(), f"{out}/forest/skipped")
     spark.createDataFrame(forest.importances(), "feature string, importance double") \
          .write.mode("overwrite").parquet(f"{out}/forest/importances")
 

@@ -407,4 +407,9 @@ FROM test t"""
         FROM raw_incidents
         WHERE TRY_CAST(vict_age AS INTEGER) IS NOT NULL AND TRY_CAST(crm_cd AS INTEGER) IS NOT NULL
           AND TRY_CAST(premis_cd AS INTEGER) IS NOT NULL AND TRY_CAST(weapon_used_cd AS INTEGER) IS NOT NULL""")
+    casts = {c: f"TRY_CAST({c} AS INTEGER)" for c in ["vict_age", "crm_cd", "premis_cd", "weapon_used_cd"]}
+    any_null = " OR ".join(f"{e} IS NULL" for e in casts.values())
+    per = ", ".join(f"count(*) FILTER (WHERE {e} IS NULL) AS null_{c}" for c, e in casts.items())
+    q["assemble_skipped"] = with_raw(f"""SELECT count(*) AS rows, count(*) FILTER (WHERE {any_null}) AS skipped,
+        {per} FROM raw_incidents""")
     return q

@@ -366,6 +366,10 @@ def q_assemble(spark, sf):
     return asm.transform(df).select("dr_no", *[arr[i].alias(f"f_{c}") for i, c in enumerate(ASSEMBLE_INPUTS)])
 
 
+def q_assemble_skipped(spark, sf):
+    return classify.skipped_rows(classify.typed_features(raw(spark, sf)), ASSEMBLE_INPUTS)
+
+
 # --- random forest ---------------------------------------------------------------------------
 def forest(spark, sf):
     """Fit once per session and scale (the four forest queries share it)."""
@@ -443,6 +447,7 @@ QUERIES: dict[str, Query] = {
     "label_index": q_label_index,
     "one_hot": q_one_hot,
     "assemble": q_assemble,
+    "assemble_skipped": q_assemble_skipped,
     "rf_predict": q_rf_predict,
     "rf_accuracy": q_rf_accuracy,
     "confusion": q_confusion,

@@ -89,3 +89,12 @@ def test_frequency_encode_hot_key_shuffle_path(spark):
         assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_skipped_rows_counted(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 2.0), (None, None), (3.0, 4.0)], "a double, b double")
+    r = classify.skipped_rows(df, ["a", "b"]).first()
+    assert (r.rows, r.skipped, r.null_a, r.null_b) == (4, 2, 2, 1)
+    from pyspark.ml.feature import VectorAssembler
+    kept = VectorAssembler(inputCols=["a", "b"], outputCol="v", handleInvalid="skip").transform(df).count()
+    assert kept == r.rows - r.skipped
