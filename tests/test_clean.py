@@ -74,3 +74,12 @@ def test_clean_schema(spark, sf):
     df = clean(spark, sf)
     assert [(f.name, f.dataType) for f in df.schema.fields] == \
            [(f.name, f.dataType) for f in CLEAN_SCHEMA.fields]
+
+
+def test_cluster_conf_scales_with_input():
+    from blotter.session import cluster_conf
+    small = cluster_conf(10 * 1024 ** 3, total_cores=64)
+    big = cluster_conf(100 * 1024 ** 4, total_cores=8000)
+    assert int(small["spark.sql.shuffle.partitions"]) == 128
+    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert big["spark.sql.adaptive.enabled"] == "true"
