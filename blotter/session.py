@@ -63,32 +63,36 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(base)
 
 
-def cluster_conf(input_bytes: int, total_cores: int, split_mb: int = 256,
-                 shuffle_partition_mb: int = 256) -> dict[str, str]:
+def cluster_conf(input_bytes: int, total_cores: int, split_mb: int = 512,
+                 bytes_per_shuffle_partition: int = 2 * 1024 ** 3,
+                 max_shuffle_partitions: int = 50_000) -> dict[str, str]:
     """Settings sized to the input, for a cluster session (``SparkSession.builder.config(map=...)``).
 
-    * file splits of ``split_mb`` (scan tasks ~ input / split, at least 3 waves of tasks);
-    * AQE on, with an initial shuffle partition count that keeps each partition near
-      ``shuffle_partition_mb`` before coalescing (group-bys here shrink data by orders of
-      magnitude, so AQE merges most of them), never fewer than 2 per core;
-    * skew joins split partitions over 4x the median (a hot category holding a third of
-      all rows) and REBALANCE writes split to the same advisory size;
-    * broadcast threshold left at the dictionary scale (64 MB): recode dictionaries and
-      the rule set are bounded and checked, fact tables never qualify.
+    * file splits of ``split_mb`` (100 TB -> ~200k scan tasks, many waves on any cluster);
+    * AQE on; the initial shuffle partition count is input / 2 GB, at least 2 per core
+      and at most ``max_shuffle_partitions``: shuffle blocks grow as map tasks x
+      reduce partitions, so the count is capped and AQE does the rest -- it
+      coalesces the tiny outputs of the group-bys (partial aggregation shrinks them
+      by orders of magnitude) and splits large or skewed partitions of the layer
+      write (REBALANCE) and of shuffle joins to the advisory size;
+    * skew joins split partitions over 4x the median (a hot category holding a
+      third of all rows);
+    * broadcast threshold at dictionary scale (64 MB): recode dictionaries and the
+      rule set are bounded and checked, fact tables never qualify.
     """
     mb = 1024 * 1024
-    shuffle_parts = max(2 * total_cores, input_bytes // (shuffle_partition_mb * mb))
+    parts = min(max_shuffle_partitions, max(2 * total_cores, input_bytes // bytes_per_shuffle_partition))
     return {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(shuffle_parts),
-        "spark.sql.shuffle.partitions": str(shuffle_parts),
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{shuffle_partition_mb}m",
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
         "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-        "spark.sql.files.maxPartitionBytes": f"{split_mb}m",
-        "spark.sql.autoBroadcastJoinThreshold": "64m",
+        "spark.sql.files.maxPartitionBytes": f"{split_mb * mb}",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 * mb),
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.csv.parser.columnPruning.enabled": "true",
     }

@@ -81,5 +81,5 @@ def test_cluster_conf_scales_with_input():
     small = cluster_conf(10 * 1024 ** 3, total_cores=64)
     big = cluster_conf(100 * 1024 ** 4, total_cores=8000)
     assert int(small["spark.sql.shuffle.partitions"]) == 128
-    assert int(big["spark.sql.shuffle.partitions"]) == 409600
+    assert int(big["spark.sql.shuffle.partitions"]) == 50_000
     assert big["spark.sql.adaptive.enabled"] == "true"
