@@ -22,7 +22,8 @@ def test_entry_smoke(spark):
 def test_every_query_has_an_oracle_or_is_ml():
     qs, sqls = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert set(qs) - set(sqls) == {"rf_predict", "rf_accuracy", "confusion", "rf_importance"}
+    assert set(qs) - set(sqls) == {"rf_predict", "rf_accuracy", "confusion", "rf_importance",
+                                   "rf_onehot_accuracy", "rf_onehot_importance"}
 
 
 @pytest.fixture(scope="module")
