@@ -19,11 +19,10 @@ from blotter.operators.clean import (
     drop_columns,
     filter_counts,
     filter_placeholders,
-    filter_valid,
     not_in,
 )
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_incidents, typed_incidents
-from blotter.schema import BASKET_COLUMNS, RAW, RAW_COLUMNS
+from blotter.schema import BASKET_COLUMNS, RAW
 from blotter.plans.classification import train_classifier
 from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.session import shared_dir

@@ -14,8 +14,6 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from blotter.operators import profile, recode  # noqa: E402
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents  # noqa: E402
 from blotter.plans.eda import eda_report  # noqa: E402
