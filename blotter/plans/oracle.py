@@ -252,8 +252,7 @@ def oracle_sql() -> dict[str, str]:
 
     q["csv_roundtrip"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents")
     q["clean_sink_roundtrip"] = with_clean(
-        f"SELECT {clean_cols}, CAST(try_strptime(date_occ, '%m-%d-%Y') AS DATE) AS occ_date, "
-        "CAST(year(try_strptime(date_occ, '%m-%d-%Y')) AS INTEGER) AS occ_year FROM clean")
+        f"SELECT {clean_cols}, CAST(year(try_strptime(date_occ, '%m-%d-%Y')) AS INTEGER) AS occ_year FROM clean")
     q["clean_stream_roundtrip"] = q["clean_sink_roundtrip"]
     q["row_count"] = with_raw("SELECT count(*) AS row_count FROM raw_incidents")
     q["preview"] = with_raw(f"SELECT {raw_cols} FROM raw_incidents ORDER BY {order_all} LIMIT 20")
@@ -278,7 +277,7 @@ def oracle_sql() -> dict[str, str]:
     q["time_norm"] = """SELECT event_id, CAST(hour(ts) * 100 + minute(ts) AS VARCHAR) AS time_raw,
         substr(lpad(CAST(hour(ts) * 100 + minute(ts) AS VARCHAR), 4, '0'), 1, 2) || ':' ||
         substr(lpad(CAST(hour(ts) * 100 + minute(ts) AS VARCHAR), 4, '0'), 3, 2) AS time_occ FROM events"""
-    q["parse_date"] = with_raw(f"""SELECT dr_no, CAST({_DATE} AS DATE) AS occ_date,
+    q["parse_date"] = with_raw(f"""SELECT dr_no, strftime({_DATE}, '%Y-%m-%d') AS occ_date,
         CAST(year({_DATE}) AS INTEGER) AS year, CAST(month({_DATE}) AS INTEGER) AS month FROM raw_incidents""")
     q["month_day_names"] = with_raw(f"SELECT dr_no, strftime({_DATE}, '%B') AS month, dayname({_DATE}) AS day "
                                     "FROM raw_incidents")

@@ -22,7 +22,7 @@ from blotter.operators.clean import (
     not_in,
 )
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_incidents, typed_incidents
-from blotter.schema import BASKET_COLUMNS, RAW
+from blotter.schema import BASKET_COLUMNS, CLEAN_COLUMNS, RAW
 from blotter.plans.classification import train_classifier
 from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.session import shared_dir
@@ -72,10 +72,15 @@ def q_csv_roundtrip(spark, sf):
     return read_raw_csv(spark, path)
 
 
+def _layer_contract(df: DataFrame) -> DataFrame:
+    """The cleaned columns plus the year folder (the layer's typed date copy is internal)."""
+    return df.select(*CLEAN_COLUMNS, layer.PARTITION_COLUMN)
+
+
 def q_clean_sink_roundtrip(spark, sf):
     path = shared_dir(spark, "clean-layer")
     layer.write_layer(clean(spark, sf), path)
-    return layer.read_layer(spark, path)
+    return _layer_contract(layer.read_layer(spark, path))
 
 
 def q_clean_stream_roundtrip(spark, sf):
@@ -93,7 +98,7 @@ def q_clean_stream_roundtrip(spark, sf):
         raise TimeoutError("streaming ingest did not finish within 30 minutes")
     if q.exception():
         raise q.exception()
-    return layer.read_layer(spark, out)
+    return _layer_contract(layer.read_layer(spark, out))
 
 
 def q_row_count(spark, sf):
@@ -152,9 +157,10 @@ def q_time_norm(spark, sf):
 
 
 def q_parse_date(spark, sf):
+    """Date parsed from text (NULL when invalid), shown as ISO text, with its year and month."""
     d = parse_date(date_text("date_occ"))
-    return raw(spark, sf).select("dr_no", d.alias("occ_date"), F.year(d).alias("year"),
-                                 month_number(d).alias("month"))
+    return raw(spark, sf).select("dr_no", F.date_format(d, "yyyy-MM-dd").alias("occ_date"),
+                                 F.year(d).alias("year"), month_number(d).alias("month"))
 
 
 def q_month_day_names(spark, sf):
