@@ -14,6 +14,10 @@ Before timing, every flow runs once on the smallest tables (``BENCH_WARMUP_DIR``
 default sf0.001) so JVM start-up and code generation are not charged to the
 first timed query; ``warmup_sec`` reports that pass.
 
+With ``BENCH_EVENT_LOG_DIR`` set, Spark's event log is written there and every
+timed flow is the job description of its jobs; ``tools/stage_times.py`` then
+summarises stages, task time, shuffle and spill per flow.
+
 Prints one JSON line: {"metric", "value" (total seconds), "unit", "queries", "sf", ...}.
 """
 
@@ -89,14 +93,17 @@ def main() -> None:
     sf = float(m.group(1)) if m else None
     # Splits of at most 16 MB so the ~110 MB raw file of sf0.1 spreads over every core.
     spark = local_session(cpus, shuffle_partitions=2 * int(cpus), app="blotter-bench",
-                          max_partition_mb=int(os.environ.get("BENCH_SPLIT_MB", "16")))
+                          max_partition_mb=int(os.environ.get("BENCH_SPLIT_MB", "16")),
+                          event_log_dir=os.environ.get("BENCH_EVENT_LOG_DIR"))
     times: dict[str, float] = {}
     info: dict[str, object] = {}
 
     def timed(name, fn):
+        spark.sparkContext.setJobDescription(f"bench:{name}")
         t0 = time.perf_counter()
         out = fn()
         times[name] = round(time.perf_counter() - t0, 3)
+        spark.sparkContext.setJobDescription(None)
         return out
 
     # Warm-up: every flow once on the smallest tables, so JVM start-up and

@@ -10,7 +10,8 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
-                  app: str = "blotter", max_partition_mb: int | None = None) -> SparkSession:
+                  app: str = "blotter", max_partition_mb: int | None = None,
+                  event_log_dir: str | None = None) -> SparkSession:
     """A local session for tests and the bench (never used inside operators).
 
     ``max_partition_mb`` sizes file splits; on a cluster the default 128 MB is
@@ -33,6 +34,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     )
     if max_partition_mb:
         builder = builder.config("spark.sql.files.maxPartitionBytes", f"{max_partition_mb}m")
+    if event_log_dir:
+        os.makedirs(event_log_dir, exist_ok=True)
+        builder = (builder.config("spark.eventLog.enabled", "true")
+                          .config("spark.eventLog.dir", event_log_dir))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
