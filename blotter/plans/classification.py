@@ -82,14 +82,15 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
     train = train.checkpoint(eager=True) if cut_lineage else train.persist(StorageLevel.MEMORY_AND_DISK)
     base = train
     test = df.filter(~df["__train"]).drop("__train")
+    # Every indexed column keeps its labels on the driver -- the label column too.
     if location_encoding == "onehot":
-        classify.check_cardinality(train, classify.CATEGORICAL, max_categories)
+        classify.check_cardinality(train, [*classify.CATEGORICAL, classify.LABEL_SOURCE], max_categories)
         categorical, features = classify.CATEGORICAL, classify.FEATURES
     else:
         categorical = [c for c in classify.CATEGORICAL if c != "location"]
-        approx = classify.check_cardinality(train, classify.CATEGORICAL,
+        approx = classify.check_cardinality(train, [*classify.CATEGORICAL, classify.LABEL_SOURCE],
                                             max(max_categories, 10 ** 12))
-        over = {c: approx[c] for c in categorical if approx[c] > max_categories}
+        over = {c: approx[c] for c in [*categorical, classify.LABEL_SOURCE] if approx[c] > max_categories}
         if over:
             raise ValueError(f"categorical inputs above {max_categories} values: {over}")
         features = [f if f != "location_encoded" else "location_freq" for f in classify.FEATURES]
