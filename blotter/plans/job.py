@@ -34,6 +34,7 @@ from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_inci
 from blotter.plans.eda import eda_report
 from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.sources import layer
+from blotter.session import size_to_input
 from blotter.sources.csv import read_raw_csv
 
 DISTINCT_COLUMNS = ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]
@@ -104,8 +105,12 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--min-support", type=float, default=0.2)
     ap.add_argument("--min-confidence", type=float, default=0.5)
     ap.add_argument("--location-encoding", default="frequency", choices=["frequency", "onehot"])
+    ap.add_argument("--no-size-to-input", action="store_true",
+                    help="keep the session's split and shuffle settings instead of sizing them to the input")
     a = ap.parse_args(argv)
     spark = SparkSession.builder.appName("blotter-job").getOrCreate()
+    if not a.no_size_to_input:
+        size_to_input(spark, a.raw)
     summary = run(spark, a.raw, read_dictionary(spark, a.dictionary), a.out, tuple(a.month_range),
                   a.exclude_year, a.min_support, a.min_confidence, a.location_encoding)
     print(json.dumps(summary))

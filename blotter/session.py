@@ -101,3 +101,19 @@ def cluster_conf(input_bytes: int, total_cores: int, split_mb: int = 512,
         "spark.sql.parquet.filterPushdown": "true",
         "spark.sql.csv.parser.columnPruning.enabled": "true",
     }
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Total bytes below ``path`` on any Hadoop file system (one metadata call, no data read)."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return int(fs.getContentSummary(hpath).getLength())
+
+
+def size_to_input(spark: SparkSession, path: str) -> dict[str, str]:
+    """Apply :func:`cluster_conf` for the input at ``path`` to the running session (SQL settings only)."""
+    conf = cluster_conf(input_bytes(spark, path), spark.sparkContext.defaultParallelism)
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    return conf

@@ -19,3 +19,11 @@ def test_job_end_to_end(spark, sf):
     assert 0 < top <= 10
     for name in ("nulls", "distinct", "unmapped", "filter_counts"):
         assert spark.read.parquet(f"{out}/profile/{name}").count() > 0
+
+
+def test_input_sized_settings(spark, sf):
+    from blotter.session import cluster_conf, input_bytes
+    n = input_bytes(spark, f"{sf}/lineitem.parquet")
+    assert n > 10_000
+    conf = cluster_conf(n, spark.sparkContext.defaultParallelism)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
