@@ -24,6 +24,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,7 +109,10 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--no-size-to-input", action="store_true",
                     help="keep the session's split and shuffle settings instead of sizing them to the input")
     a = ap.parse_args(argv)
-    spark = SparkSession.builder.appName("blotter-job").getOrCreate()
+    builder = SparkSession.builder.appName("blotter-job")
+    if not SparkConf().contains("spark.master"):     # plain `python -m`: run locally
+        builder = builder.master("local[*]")
+    spark = builder.getOrCreate()
     if not a.no_size_to_input:
         size_to_input(spark, a.raw)
     summary = run(spark, a.raw, read_dictionary(spark, a.dictionary), a.out, tuple(a.month_range),
