@@ -110,3 +110,55 @@ def area_by_group_wide(df: DataFrame, values: list[str], group_col: str = "vict_
     """One pass, one row per area, one count per group (zero where absent)."""
     return df.groupBy(area_col).agg(
         *[F.count_if(F.col(group_col) == v).alias(f"n_{slug(v)}") for v in values])
+
+
+# --- many group-by counts in one pass -------------------------------------------
+class GroupedCounts:
+    """Counts for several groupings from ONE scan (``GROUPING SETS``), kept for reuse.
+
+    A report of many group-by counts over the same table otherwise scans it
+    once per grouping -- at 100 TB, one full round of scan tasks each.  Here
+    the rows are expanded once per grouping set inside the scan stage, the
+    partial aggregation collapses them per task, one exchange carries the
+    partial counts.  The result has one row per group (a size set by the
+    vocabularies, not by the rows) and is persisted; each grouping is then a
+    filter on ``grouping_id`` over it.  A lost cached block is recomputed by
+    the same single pass.
+    """
+
+    def __init__(self, df: DataFrame, sets: list[list[str]]):
+        self.columns = list(dict.fromkeys(c for s in sets for c in s))
+        self.sets = [list(s) for s in sets]
+        grouped = df.groupingSets([[F.col(c) for c in s] for s in self.sets],
+                                  *[F.col(c) for c in self.columns])
+        self.table = grouped.agg(F.count(F.lit(1)).alias(COUNT),
+                                 F.grouping_id().alias("__gid")).persist()
+
+    def _gid(self, cols: list[str]) -> int:
+        n = len(self.columns)
+        return sum(1 << (n - 1 - i) for i, c in enumerate(self.columns) if c not in cols)
+
+    def counts(self, *cols: str, name: str = COUNT) -> DataFrame:
+        if list(cols) not in self.sets:
+            raise KeyError(f"{cols} is not a grouping set")
+        out = self.table.filter(F.col("__gid") == self._gid(list(cols))).select(*cols, COUNT)
+        return out.withColumnRenamed(COUNT, name) if name != COUNT else out
+
+    def top_k(self, column: str, k: int = 10) -> DataFrame:
+        return self.counts(column).orderBy(F.col(COUNT).desc(), F.col(column).asc()).limit(k)
+
+    def ranked(self, *cols: str) -> DataFrame:
+        return self.counts(*cols).orderBy(F.col(COUNT).desc(), *[F.col(c).asc() for c in cols])
+
+    def by_area(self, value: str, group_col: str = "vict_descent", area_col: str = "area_name") -> DataFrame:
+        return self.counts(area_col, group_col).filter(F.col(group_col) == value).select(area_col, COUNT)
+
+    def area_wide(self, values: list[str], group_col: str = "vict_descent",
+                  area_col: str = "area_name") -> DataFrame:
+        pairs = self.counts(area_col, group_col)
+        return pairs.groupBy(area_col).agg(
+            *[F.sum(F.when(F.col(group_col) == v, F.col(COUNT)).otherwise(F.lit(0))).alias(f"n_{slug(v)}")
+              for v in values])
+
+    def release(self) -> None:
+        self.table.unpersist()

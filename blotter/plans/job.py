@@ -70,7 +70,7 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     layer.write_layer(clean_incidents(raw, dim, passes, keep=("dr_no",)), f"{out}/clean")
     clean = layer.read_layer(spark, f"{out}/clean")
 
-    for name, df in eda_report(spark, clean, month_range, exclude_year=exclude_year).items():
+    for name, df in eda_report(spark, clean, month_range, exclude_year=exclude_year, single_pass=True).items():
         _write(df, f"{out}/report/{name}")
 
     key = F.col("dr_no").try_cast("long")
