@@ -68,9 +68,11 @@ def run_flows(spark, sf_dir: str, timed, info: dict, times: dict | None = None)
     clean = layer.read_layer(spark, layer_path)
 
     timed("null_profile", lambda: profile.null_profile(raw).collect())
-    timed("distinct_values", lambda: profile.distinct_values_many(
-        raw, ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]).collect())
-    timed("recode_unmapped", lambda: recode.coverage_many(raw, dim, RECODE_DOMAINS).collect())
+    # Distinct values and unmapped values from one counting pass over their columns.
+    distinct_cols = ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]
+    vc = profile.ValueCounts(raw, distinct_cols + list(RECODE_DOMAINS))
+    timed("distinct_values", lambda: vc.distinct_values(distinct_cols).collect())
+    timed("recode_unmapped", lambda: recode.coverage_from_counts(vc.table, dim, RECODE_DOMAINS).collect())
 
     # The report: the eleven plain count tables from one GROUPING SETS pass (the first
     # table timed carries that pass), the three date trends from their own pruned scans.

@@ -49,3 +49,31 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 def preview(df: DataFrame, order_by: list[str], n: int = 20) -> DataFrame:
     """First ``n`` rows in a stated order, so the preview is deterministic (top-k, no full sort)."""
     return df.orderBy(*order_by).limit(n)
+
+
+class ValueCounts:
+    """(``column_name``, ``value``, ``n``) for several categorical columns from ONE pass, kept.
+
+    Distinct values and the unmapped-value report both start from these
+    counts; computing them once costs one scan of the union of their columns
+    instead of one scan per report.  Each row is unpivoted to (name, value)
+    pairs and counted with partial aggregation, so a hot value is one row per
+    task before the shuffle.  The result has one row per distinct value per
+    column -- use it for vocabulary columns, not for keys or free text.
+    """
+
+    def __init__(self, df: DataFrame, columns: list[str]):
+        self.columns = list(dict.fromkeys(columns))
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"),
+                                             F.col(c).cast("string").alias("value"))
+                                    for c in self.columns]))
+        self.table = (df.select(pairs.alias("p")).select("p.column_name", "p.value")
+                        .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
+                        .persist())
+
+    def distinct_values(self, columns: list[str]) -> DataFrame:
+        """Same rows as :func:`distinct_values_many`."""
+        return self.table.filter(F.col("column_name").isin(*columns)).select("column_name", "value")
+
+    def release(self) -> None:
+        self.table.unpersist()

@@ -237,3 +237,29 @@ def dim_profile(dim: DataFrame) -> DataFrame:
         F.countDistinct("raw").alias("keys"),
         F.countDistinct("target").alias("targets"),
     )
+
+
+def coverage_from_counts(value_counts: DataFrame, dim: DataFrame | CheckedDim, columns: dict[str, str],
+                         max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """:func:`coverage_many` from precomputed (``column_name``, ``value``, ``n``) counts.
+
+    Same rows as ``coverage_many(df, dim, columns)`` when the counts were taken
+    over ``df`` (see :class:`blotter.operators.profile.ValueCounts`).
+    """
+    dim = check_dim(dim, max_broadcast_rows)
+    key_sets, total = [], 0
+    for domain in dict.fromkeys(columns.values()):
+        entries, n = dim_check(dim, domain, max_broadcast_rows)
+        total += n
+        key_sets.append(entries.select(F.lit(domain).alias("__d"), F.col("raw").alias(_RAW)))
+    keys = key_sets[0]
+    for k in key_sets[1:]:
+        keys = keys.unionByName(k)
+    if total <= max_broadcast_rows:
+        keys = F.broadcast(keys)
+    domain_of = F.create_map(*[x for c, d in columns.items() for x in (F.lit(c), F.lit(d))])
+    counts = (value_counts.filter(F.col("column_name").isin(*columns) & F.col("value").isNotNull())
+                          .select(domain_of[F.col("column_name")].alias("domain"), "value", "n")
+                          .groupBy("domain", "value").agg(F.sum("n").alias("n")))
+    cond = (F.col("domain") == F.col("__d")) & (F.col("value") == F.col(_RAW))
+    return counts.join(keys, cond, "left_anti")

@@ -63,8 +63,10 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     passes: dict[str, str] = {}
 
     _write(profile.null_profile(raw), f"{out}/profile/nulls")
-    _write(profile.distinct_values_many(raw, DISTINCT_COLUMNS), f"{out}/profile/distinct")
-    _write(recode.coverage_many(raw, dim, RECODE_DOMAINS), f"{out}/profile/unmapped")
+    vc = profile.ValueCounts(raw, DISTINCT_COLUMNS + list(RECODE_DOMAINS))   # one pass for both
+    _write(vc.distinct_values(DISTINCT_COLUMNS), f"{out}/profile/distinct")
+    _write(recode.coverage_from_counts(vc.table, dim, RECODE_DOMAINS), f"{out}/profile/unmapped")
+    vc.release()
     _write(filter_counts(recoded_incidents(raw, dim, passes)), f"{out}/profile/filter_counts")
 
     layer.write_layer(clean_incidents(raw, dim, passes, keep=("dr_no",)), f"{out}/clean")

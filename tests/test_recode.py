@@ -95,3 +95,19 @@ def test_chained_dictionary_rejected(spark, max_rows):
         recode(_facts(spark), "c", dim, "p", max_broadcast_rows=max_rows)
     ok = recode_dim(spark, [("p", "A", "B"), ("p", "B", "B")])   # identity target: no chain
     assert recode(_facts(spark), "c", ok, "p", max_broadcast_rows=max_rows).count() == len(VALUES) * 3
+
+
+def test_profile_from_one_pass_equals_separate(spark):
+    from blotter.operators.profile import ValueCounts, distinct_values_many
+    from blotter.operators.recode import coverage_from_counts, coverage_many
+    facts = _facts(spark).withColumn("d", F.upper("c"))
+    dim = recode_dim(spark, {"premise": MAP, "other": {"A": "B"}})
+    cols = {"c": "premise", "d": "other"}
+    vc = ValueCounts(facts, ["c", "d"])
+    a = sorted(map(tuple, coverage_from_counts(vc.table, dim, cols).collect()))
+    b = sorted(map(tuple, coverage_many(facts, dim, cols).collect()))
+    assert a == b and a
+    x = sorted(map(tuple, vc.distinct_values(["c"]).collect()), key=str)
+    y = sorted(map(tuple, distinct_values_many(facts, ["c"]).collect()), key=str)
+    assert x == y
+    vc.release()
