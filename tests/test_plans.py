@@ -57,3 +57,29 @@ def test_year_trend_reads_no_data_column(env):
     _, _, clean = env
     p = plan(year_trend(clean, exclude_year=2001))
     assert "ReadSchema: struct<>" in p
+
+
+def test_forest_reads_only_its_columns(env, spark):
+    from pyspark.sql import functions as F
+
+    from blotter.plans.classification import train_classifier
+    raw, _, _ = env
+    c = train_classifier(raw, F.col("dr_no").try_cast("long"), num_trees=2)
+    p = plan(c.scored)
+    scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln]
+    assert scans
+    for ln in scans:
+        schema = ln.split("ReadSchema: struct<", 1)[1]
+        # the raw layer has 28 text columns; scoring needs the key, five categories, the label, five codes
+        assert schema.count(":string") <= 12
+        for unused in ("date_rptd", "mocodes", "cross_street", "crm_cd_3", "lat:"):
+            assert unused not in schema
+
+
+def test_value_counts_one_scan(env):
+    from blotter.operators.profile import ValueCounts
+    raw, _, _ = env
+    vc = ValueCounts(raw, ["crm_cd_desc", "premis_desc", "vict_sex"])
+    p = plan(vc.table)
+    assert p.count("FileScan parquet") == 1 and "Generate explode" in p
+    vc.release()

@@ -17,6 +17,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from blotter.operators import profile, recode  # noqa: E402
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents  # noqa: E402
 from blotter.plans.eda import eda_report  # noqa: E402
+from blotter.plans.rules import incident_baskets  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 from blotter.plans.queries import EXCLUDED_YEAR, MONTH_RANGE  # noqa: E402
 from blotter.session import local_session, shared_dir  # noqa: E402
 from blotter.sources import layer  # noqa: E402
@@ -57,6 +59,15 @@ def main() -> None:
             raw, ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]),
         "recode_unmapped (raw, five domains, one pass)": recode.coverage_many(raw, dim, RECODE_DOMAINS),
     }
+    vc = profile.ValueCounts(raw, ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc", *RECODE_DOMAINS])
+    plans["value counts for distinct + unmapped values (raw, one pass, persisted)"] = vc.table
+    plans["incident baskets (layer)"] = incident_baskets(
+        clean, F.xxhash64("date_occ", "time_occ", "location", "crm_cd_desc").alias("k"))
+    from blotter.operators import classify
+    feats = classify.typed_features(raw)
+    train, (test,) = classify.frequency_encode(feats.filter("dr_no is not null"), [feats], "location",
+                                               "location_freq", n_values=20_000)
+    plans["frequency-encoded address for the forest (raw, size-checked broadcast of counts)"] = test
     for name, df in eda_report(spark, clean, MONTH_RANGE, exclude_year=EXCLUDED_YEAR, single_pass=True).items():
         plans[f"{name} (layer, report in one GROUPING SETS pass)"] = df
     plans["top_crime as its own query (layer)"] = eda_report(
