@@ -64,7 +64,7 @@ def main() -> None:
     plans["incident baskets (layer)"] = incident_baskets(
         clean, F.xxhash64("date_occ", "time_occ", "location", "crm_cd_desc").alias("k"))
     from blotter.operators import classify
-    feats = classify.typed_features(raw)
+    feats = classify.typed_features(raw).select("dr_no", "location", "status_desc", "vict_age")
     train, (test,) = classify.frequency_encode(feats.filter("dr_no is not null"), [feats], "location",
                                                "location_freq", n_values=20_000)
     plans["frequency-encoded address for the forest (raw, size-checked broadcast of counts)"] = test
