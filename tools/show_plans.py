@@ -45,19 +45,22 @@ def main() -> None:
     spark = local_session(8, 16, max_partition_mb=16)
     csv_path = shared_dir(spark, "plans-raw-csv")
     write_csv(raw_incidents(spark, sf_dir, normalize=False), csv_path)
-    raw = read_raw_csv(spark, csv_path)
+    raw_path = shared_dir(spark, "plans-raw-layer")
+    layer.write_raw_layer(read_raw_csv(spark, csv_path), raw_path)
+    raw = layer.read_layer(spark, raw_path)      # as the bench: the CSV is parsed once
     dim = recode.merge_passes(recode.check_dim(standin_recode_dim(spark, sf_dir)), "premise", "premise_pass2")
     cleaned = clean_incidents(raw, dim, second_passes={})
     layer_path = shared_dir(spark, "plans-layer")
     layer.write_layer(cleaned, layer_path)
     clean = layer.read_layer(spark, layer_path)
     plans = {
-        "clean (raw CSV -> cleaned rows, before the layer write)": cleaned,
+        "clean (raw layer -> cleaned rows, before the layer write)": cleaned,
         "layer write input (REBALANCE by year)": layer.with_partition_year(cleaned).hint("rebalance", "occ_year"),
-        "null_profile (raw)": profile.null_profile(raw),
-        "distinct_values (raw, four columns, one pass)": profile.distinct_values_many(
+        "null_profile (raw layer)": profile.null_profile(raw),
+        "distinct_values as its own query (raw layer, four columns, one pass)": profile.distinct_values_many(
             raw, ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]),
-        "recode_unmapped (raw, five domains, one pass)": recode.coverage_many(raw, dim, RECODE_DOMAINS),
+        "recode_unmapped as its own query (raw layer, five domains, one pass)":
+            recode.coverage_many(raw, dim, RECODE_DOMAINS),
     }
     vc = profile.ValueCounts(raw, ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc", *RECODE_DOMAINS])
     plans["value counts for distinct + unmapped values (raw, one pass, persisted)"] = vc.table
