@@ -7,8 +7,9 @@ the way a city file arrives.  Timed, each as its own Spark action(s):
 * ``clean_layer``   raw layer -> clean -> year-partitioned Parquet layer
 * ``null_profile`` over the raw layer; ``distinct_values`` and ``recode_unmapped``
   from one value-count pass over it (the first of the two carries the pass)
-* the exploratory report over the cleaned layer: eleven count tables from one
-  GROUPING SETS pass (``top_crime`` carries it), three date trends on pruned scans
+* the exploratory report over the cleaned layer: eleven count tables and the weekday
+  trend from one GROUPING SETS pass (``top_crime`` carries it); the year trend reads
+  only year folders, the month trend its own pruned, date-filtered scan
 * ``rules``         baskets -> FP-growth (0.2 / 0.5) -> itemsets, rules, predictions
 * ``forest``        raw layer -> random-forest pipeline -> accuracy, importances
 
@@ -80,8 +81,8 @@ def run_flows(spark, sf_dir: str, timed, info: dict, times: dict | None = None)
     timed("distinct_values", lambda: vc.distinct_values(distinct_cols).collect())
     timed("recode_unmapped", lambda: recode.coverage_from_counts(vc.table, dim, RECODE_DOMAINS).collect())
 
-    # The report: the eleven plain count tables from one GROUPING SETS pass (the first
-    # table timed carries that pass), the three date trends from their own pruned scans.
+    # The report: eleven count tables and the weekday trend from one GROUPING SETS pass
+    # (the first table timed carries that pass); year and month trends on their own scans.
     for name, df in eda_report(spark, clean, MONTH_RANGE, exclude_year=EXCLUDED_YEAR, single_pass=True).items():
         timed(name, df.collect)
 

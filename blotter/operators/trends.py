@@ -160,5 +160,10 @@ class GroupedCounts:
             *[F.sum(F.when(F.col(group_col) == v, F.col(COUNT)).otherwise(F.lit(0))).alias(f"n_{slug(v)}")
               for v in values])
 
+    def weekday(self, weekdays: DataFrame, column: str = "day_of_week") -> DataFrame:
+        """:func:`weekday_trend` from the ``[day_of_week]`` set (NULL weekday drops out of the join)."""
+        joined = self.counts(column).join(F.broadcast(weekdays), column)
+        return _small_sorted(joined, "day_order").drop("day_order")
+
     def release(self) -> None:
         self.table.unpersist()

@@ -72,7 +72,8 @@ def main() -> None:
                                                "location_freq", n_values=20_000)
     plans["frequency-encoded address for the forest (raw, size-checked broadcast of counts)"] = test
     for name, df in eda_report(spark, clean, MONTH_RANGE, exclude_year=EXCLUDED_YEAR, single_pass=True).items():
-        how = "own pruned scan" if name.endswith("_trend") else "from the report's one GROUPING SETS pass"
+        how = ("own scan" if name in ("year_trend", "month_trend")
+               else "from the report's one GROUPING SETS pass")
         plans[f"{name} (layer, {how})"] = df
     plans["top_crime as its own query (layer)"] = eda_report(
         spark, clean, MONTH_RANGE, exclude_year=EXCLUDED_YEAR)["top_crime"]
