@@ -27,3 +27,22 @@ def test_input_sized_settings(spark, sf):
     assert n > 10_000
     conf = cluster_conf(n, spark.sparkContext.defaultParallelism)
     assert int(conf["spark.sql.shuffle.partitions"]) == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_job_cli(spark, sf, capsys):
+    import json
+    raw_csv, dict_csv, out = (shared_dir(spark, n) for n in ("cli-raw", "cli-dict", "cli-out"))
+    write_csv(raw_incidents(spark, sf, normalize=False), raw_csv)
+    write_csv(standin_recode_dim(spark, sf).coalesce(1), dict_csv)
+    from blotter.session import cluster_conf
+    keys = list(cluster_conf(1, 1))
+    saved = {k: spark.conf.get(k, None) for k in keys}
+    try:   # the CLI sizes the (shared test) session to its input; put it back afterwards
+        job.main(["--raw", raw_csv, "--dictionary", dict_csv, "--out", out,
+                  "--month-range", *MONTH_RANGE, "--exclude-year", str(EXCLUDED_YEAR)])
+    finally:
+        for k, v in saved.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    summary = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
+    assert summary["scored"] > 0 and summary["itemsets"] >= 0
+    assert spark.read.parquet(f"{out}/report/weekday_trend").count() == 7
