@@ -3,6 +3,10 @@
 Every query reads the test tables (through the stand-in incident table of
 :mod:`blotter.sources.standin`) over their whole extent; output columns carry
 explicit names shared with the SQL oracle in :mod:`blotter.plans.oracle`.
+Outputs hold no DATE values (dates as ISO text), so value hashing agrees
+however each side converts dates.  Queries that read one fitted model (the
+three rule-mining queries per basket, the forest queries) share one fit per
+session and scale (``_memo``); each still works when called alone.
 """
 
 from __future__ import annotations
@@ -298,6 +302,7 @@ _MODELS: dict = {}
 
 
 def _memo(kind: str, spark: SparkSession, sf: str, build):
+    """One fitted model per (kind, session, scale): models are small driver-side objects."""
     key = (kind, spark.sparkContext.applicationId, sf)
     if key not in _MODELS:
         _MODELS[key] = build()
