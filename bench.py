@@ -73,6 +73,8 @@ def run_flows(spark, sf_dir: str, timed, info: dict, times: dict | None = None)
     layer_path = shared_dir(spark, "bench-clean-layer")
     timed("clean_layer", lambda: layer.write_layer(clean_incidents(raw, dim, second_passes={}), layer_path))
     clean = layer.read_layer(spark, layer_path)
+    info["rows_raw"] = raw.count()          # from Parquet footers; not timed
+    info["rows_clean"] = clean.count()
 
     timed("null_profile", lambda: profile.null_profile(raw).collect())
     # Distinct values and unmapped values from one counting pass over their columns.
@@ -168,6 +170,8 @@ def main() -> None:
 
     run_flows(spark, sf_dir, timed, info, times)
     total = round(sum(times.values()), 3)
+    if total and info.get("rows_raw"):
+        info["raw_rows_per_sec"] = round(info["rows_raw"] / total)
     print(json.dumps({"metric": "total_query_seconds", "value": total, "unit": "sec",
                       "queries": times, "sf": sf, "cpus": int(cpus), **info}))
     spark.stop()
