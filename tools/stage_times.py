@@ -74,4 +74,7 @@ def main() -> None:
 
 
 if __name__ == "__main__":
-    main()
+    try:
+        main()
+    except BrokenPipeError:      # output piped into `head`
+        sys.stderr.close()
