@@ -27,11 +27,32 @@ def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blotter.llm.packing import pack
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blotter.llm.minhash import edited_table
     return edited_table(table(spark, sf_dir, "documents"))
 
 
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blotter.llm.ann import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blotter.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blotter.llm.quality import graded, ratings_of
+    scored = graded(table(spark, sf_dir, "documents").select("doc_id", "text"), ratings_of(table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "expected_grade", "tail", "keep")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blotter.llm.simhash import hex_fingerprint, near_duplicates
     return near_duplicates(table(spark, sf_dir, "documents")).select(
@@ -39,6 +60,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op5_fingerprint, op9_shard, op10_simhash)
+    f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_pack, op4_nearest, op5_fingerprint, op6_toxicity,
+                            op8_quality, op9_shard, op10_simhash)
 }
 ORACLE_SQL: dict[str, str] = {}
