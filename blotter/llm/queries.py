@@ -47,6 +47,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blotter.llm.substrings import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blotter.llm.quality import graded, ratings_of
     scored = graded(table(spark, sf_dir, "documents").select("doc_id", "text"), ratings_of(table(spark, sf_dir, "labels")))
@@ -59,8 +65,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_pack, op4_nearest, op5_fingerprint, op6_toxicity,
-                            op8_quality, op9_shard, op10_simhash)
+                            op7_suffix_dedup, op8_quality, op9_shard, op10_simhash, pipeline)
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -33,10 +33,10 @@ from itertools import permutations, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import written
+from blotter.llm.common import text_of, written
 from blotter.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -66,17 +66,19 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_key, fp): a hash of the text, and its fingerprint as a signed long."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blotter.llm.textbytes import text_bytes
         for batch in batches:
-            offsets, data = text_bytes(batch.column(1))
+            offsets, data = text_bytes(batch.column(2))
             at = offsets.tolist()
             fps = [fingerprint(data[a:b].tobytes(), shingle) for a, b in zip(at, at[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))],
+                                             ["doc_id", "text_key", "fp"])
 
-    given = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    return given.mapInArrow(make, f"doc_id {dict(given.dtypes)['doc_id']}, fp long")
+    text = text_of(docs, text_column)
+    given = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    return given.mapInArrow(make, f"doc_id {dict(given.dtypes)['doc_id']}, text_key long, fp long")
 
 
 def join_keys(fps: np.ndarray, right: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -137,16 +139,34 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return left.join(right, (left["key"] == right["key"]) & near).select("u", "v")
 
 
+def components_of(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(fp, root) of a table of fingerprints: equal roots are linked, directly or through others."""
+    distinct = written(fps.select("fp").distinct(), "simhash-distinct")
+    roots = components(links(distinct, distance))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that a document is linked to, directly or through others."""
+    """(doc_id, text_key, fp, component_id): the smallest id that a document is linked to, directly or through others."""
     fps = written(fingerprints(docs, id_column, text_column, shingle), "simhash-fp")
-    distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
-    roots = components(links(distinct, distance))
-    named = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    roots = written(components_of(fps, distance), "simhash-roots")
+    ids = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(roots, "fp")
+    least = ids.groupBy("root").agg(F.min("rep").alias("component_id"))
+    named = ids.join(least, "root").select("fp", "component_id")
+    return fps.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+    """The rows of ``docs`` of which no linked one has a smaller id (of equal ones one; null ids come last)."""
+    fps = written(fingerprints(docs, "doc_id", "text", shingle), "simhash-fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
+    keep = fps.groupBy("fp").agg(first).join(components_of(fps, distance), "fp").groupBy("root").agg(F.min("first").alias("first"))
+    keep = keep.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
+    rows = docs.withColumn("_text_key", F.xxhash64(text_of(docs)))
+    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_text_key"] == keep["_key"]))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
+    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
 
 
 def hex_fingerprint(fp):
