@@ -5,9 +5,10 @@ words; a text with fewer words is one shingle, a text without words has none.
 Each shingle is a 64-bit hash x, and each of the permutations is the universal
 hash (a * x + b) mod 2**64 with an odd a of its own; the signature is the
 least value of each permutation over the shingles, computed in numpy over many
-texts at once.  The fingerprint is the signature as hex, 16 bits of each value;
-the likeness of two fingerprints is the share of equal values, an estimate of
-the Jaccard similarity of the shingle sets.
+texts at once.  The fingerprint is the signature as hex, BITS_KEPT bits of each
+value; the likeness of two fingerprints is the share of equal values, less
+what chance makes equal, an estimate of the Jaccard similarity of the shingle
+sets (the b-bit estimator).
 
 :func:`near_duplicate_classes` cuts signatures into bands, groups equal bands
 in Spark, and verifies the Jaccard similarity of the shingle sets.
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from blotter.llm.common import written
 
 PERMUTATIONS, SHINGLE, SEED = 128, 5, 11
+BITS_KEPT = 8
 BANDS, ROWS = 21, 6            # of 126 values: a pair of similarity 0.8 shares a band with probability 0.998
 SIMILARITY = 0.8
 CHUNK = 1 << 18                # bytes hashed at a time
@@ -76,8 +78,14 @@ def signatures(texts: list[bytes], n: int = PERMUTATIONS, size: int = SHINGLE) -
 
 
 def fingerprint(signature: np.ndarray) -> str:
-    """16 bits of each value, as hex."""
-    return (signature & np.uint32(0xFFFF)).astype(">u2").tobytes().hex()
+    """The low bits of each value, as hex."""
+    return (signature & np.uint32(0xFF)).astype(np.uint8).tobytes().hex()
+
+
+def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """0 to 1 for each pair of rows; 1 for equal fingerprints."""
+    chance = 1 / (1 << BITS_KEPT)
+    return np.clip((((x ^ y) & np.uint32(0xFF)) == 0).mean(axis=1) - chance, 0, None) / (1 - chance)
 
 
 RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -97,10 +105,9 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
     else:
         nexts, own = signatures([t.encode() for t in following]), own[:len(texts)]
     after = signatures(edited)
-    share = lambda x, y: [float(v) for v in ((x & 0xFFFF) == (y & 0xFFFF)).mean(axis=1)]
     return {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
             "fingerprint": [fingerprint(s) for s in own], "edited_fingerprint": [fingerprint(s) for s in after],
-            "near_edited": share(own, after), "near_next": share(own, nexts)}
+            "near_edited": likeness(own, after).tolist(), "near_next": likeness(own, nexts).tolist()}
 
 
 def _sorted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
