@@ -41,3 +41,8 @@ def chunks_for(rows: int, per_chunk: int) -> int:
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text, with null as the empty string."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def boxed(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns of ``docs`` in one struct ``row``, beside columns of our own: no name can clash."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))

@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import text_of, unit, written
+from blotter.llm.common import boxed, text_of, unit, written
 
 #: Runs of anything but ASCII white space.
 TOKEN = r"[^\x20\x09-\x0D]+"
@@ -149,12 +149,10 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, most: float = MOST, seed: in
     sized = written(sizes(docs), "mix-sizes")
     took = rounded(sized, weights, most, seed).groupBy("doc_id", "text_key", "source").agg(
         F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
-    took = took.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source"),
-                       F.col("copies").alias("_copies"), F.col("rows").alias("_rows"))
-    keyed = docs.withColumn("_text_key", F.xxhash64(text_of(docs)))
-    same = keyed["doc_id"].eqNullSafe(took["_id"]) & (keyed["_text_key"] == took["_key"]) & keyed["source"].eqNullSafe(took["_source"])
-    rows = keyed.join(took.filter("_copies > 0"), same)
-    nth = F.row_number().over(Window.partitionBy("_id", "_key", "_source").orderBy("_key"))
-    own = F.expr("_copies div _rows") + F.when(F.col("_nth") <= F.expr("_copies % _rows"), 1).otherwise(0)
-    rows = rows.withColumn("_nth", F.when(F.col("_rows") > 1, nth).otherwise(F.lit(1)))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select(*docs.columns)
+    rows = boxed(docs, of=F.xxhash64(text_of(docs)))
+    same = rows["row.doc_id"].eqNullSafe(took["doc_id"]) & (rows["of"] == took["text_key"]) & rows["row.source"].eqNullSafe(took["source"])
+    rows = rows.join(took.filter("copies > 0"), same)
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_key", "source").orderBy("text_key"))
+    rows = rows.withColumn("nth", F.when(F.col("rows") > 1, nth).otherwise(F.lit(1)))
+    own = F.expr("copies div rows") + F.when(F.col("nth") <= F.expr("copies % rows"), 1).otherwise(0)
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(1), own.cast("int")))).select("row.*")

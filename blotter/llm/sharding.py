@@ -140,9 +140,11 @@ def shard_table(docs: DataFrame, shards: int = 16, tolerance: float = TOLERANCE)
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, tolerance: float = TOLERANCE, files: int = 8) -> None:
-    """Whole documents as one folder per shard: the splitters decide, then the rows move once."""
+    """Whole documents as one folder per shard: the splitters decide, then the rows move once.
+
+    A column ``shard`` of ``docs`` itself is replaced.
+    """
     at = splitters(written(digest(docs), "shard-digest"), shards, tolerance)
     key, second = keys(docs)
-    rows = docs.withColumn("shard", shard_of(key, second, at)).withColumn("_second", second)
-    rows.repartition(shards * files, "shard", F.pmod("_second", F.lit(files))).drop("_second") \
-        .write.partitionBy("shard").parquet(path)
+    rows = docs.withColumn("shard", shard_of(key, second, at))
+    rows.repartition(shards * files, "shard", F.pmod(second, F.lit(files))).write.partitionBy("shard").parquet(path)

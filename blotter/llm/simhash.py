@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from blotter.llm.common import text_of, written
+from blotter.llm.common import boxed, text_of, written
 from blotter.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -162,11 +162,11 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANC
     fps = written(fingerprints(docs, "doc_id", "text", shingle), "simhash-fp")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first")
     keep = fps.groupBy("fp").agg(first).join(components_of(fps, distance), "fp").groupBy("root").agg(F.min("first").alias("first"))
-    keep = keep.select(F.col("first.doc_id").alias("_id"), F.col("first.text_key").alias("_key"))
-    rows = docs.withColumn("_text_key", F.xxhash64(text_of(docs)))
-    rows = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["_text_key"] == keep["_key"]))
-    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_key"))
-    return rows.withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns)
+    keep = keep.select("first.doc_id", "first.text_key")
+    rows = boxed(docs, of=F.xxhash64(text_of(docs)))
+    rows = rows.join(keep, rows["row.doc_id"].eqNullSafe(keep["doc_id"]) & (rows["of"] == keep["text_key"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text_key").orderBy("text_key"))
+    return rows.withColumn("nth", nth).filter("nth = 1").select("row.*")
 
 
 def hex_fingerprint(fp):

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import text_of, written
+from blotter.llm.common import boxed, text_of, written
 from blotter.session import shared_dir
 
 WINDOW, GRAM = 50, 16
@@ -417,8 +417,9 @@ def _copies(packs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with what remains of each text (a null text stays null)."""
     kept = remove_repeats(docs, window=window, texts=True).dropDuplicates(["doc_id", "digest"])
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("kept").alias("_kept"))
     digest = F.substring(F.sha2(text_of(docs).cast("binary"), 256), 1, 32)
-    rows = docs.withColumn("_of", digest).withColumn("_null", F.col("text").isNull()).drop("text")
-    rows = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_digest")))
-    return rows.withColumn("text", F.when(~F.col("_null"), F.col("_kept"))).select(*docs.columns)
+    rows = boxed(docs, of=digest, none=docs["text"].isNull())
+    rows = rows.withColumn("row", F.col("row").dropFields("text"))  # the remaining text comes with the answers
+    rows = rows.join(kept, F.col("row.doc_id").cast("long").eqNullSafe(kept["doc_id"]) & (rows["of"] == kept["digest"]))
+    text = F.when(~F.col("none"), F.col("kept"))
+    return rows.select(*(text.alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
