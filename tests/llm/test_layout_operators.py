@@ -131,7 +131,8 @@ def test_pack_follows_the_mixture(documents):
         total[source[r["doc_id"]]] += r["length"]
         share[r["sequence_id"] // 4][source[r["doc_id"]]] += r["length"]
     a = total["a"] / sum(total.values())
-    for c in list(share.values())[:-1]:
+    for k in sorted(share)[:-1]:
+        c = share[k]
         assert abs(c["a"] / sum(c.values()) - a) < 0.1
 
 
