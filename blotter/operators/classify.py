@@ -48,8 +48,15 @@ def split_flag(key: str | Column, train_percent: int = 80, salt: int = 0) -> Col
 
     Depends on the key only, never on partitioning or task order, so it is
     the same on every run and every cluster layout (``randomSplit`` is not).
+    Never NULL: a row without a key is a test row, so the two parts hold every row.
     """
-    return split_bucket(key, salt) < train_percent
+    return F.coalesce(split_bucket(key, salt) < train_percent, F.lit(False))
+
+
+def row_key(text: str | Column) -> Column:
+    """A whole-number key of any text: its own value if it is one, else its hash (NULL: a constant)."""
+    c = F.col(text) if isinstance(text, str) else text
+    return F.coalesce(c.try_cast("long"), F.xxhash64(c))
 
 
 def key_split(df: DataFrame, key: str | Column, train_percent: int = 80,
@@ -75,18 +82,10 @@ def typed_features(raw: DataFrame) -> DataFrame:
     return raw.withColumns(casts)
 
 
-def check_cardinality(df: DataFrame, columns: Sequence[str], max_categories: int) -> dict[str, int]:
-    """Approximate distinct counts of the categorical inputs in one pass; raise above the cap.
-
-    A StringIndexer keeps every label on the driver and one-hot width equals
-    the label count, so an unbounded vocabulary must be refused, not fitted.
-    """
+def cardinalities(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
+    """Approximate distinct counts of the categorical inputs in one pass (to choose a join strategy, never to refuse)."""
     row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    counts = {c: int(row[c]) for c in columns}
-    over = {c: n for c, n in counts.items() if n > max_categories}
-    if over:
-        raise ValueError(f"categorical inputs above {max_categories} values: {over}")
-    return counts
+    return {c: int(row[c]) for c in columns}
 
 
 def frequency_encode(train: DataFrame, others: Sequence[DataFrame], column: str, out: str,
@@ -207,21 +206,17 @@ def confusion(predictions: DataFrame) -> DataFrame:
                       .agg(F.count(F.lit(1)).alias("count"))
 
 
-def slot_owners(features_field_metadata: dict, inputs: Sequence[str]) -> dict[int, str]:
-    """Map every assembled vector slot to the input column that produced it.
+def slot_owners(schema, inputs: Sequence[str]) -> list[str]:
+    """The input column of every assembled vector slot, in slot order.
 
-    The assembler names a slot ``<input>`` (numeric) or ``<input>_<value>``
-    (one-hot); one-hot inputs take many slots, so positions of inputs and
-    slots differ.  The longest input name that prefixes the slot name wins.
+    The assembler lays its inputs side by side: a number takes one slot, a
+    vector as many as its own metadata says.
     """
-    attrs = features_field_metadata["ml_attr"]["attrs"]
-    owners: dict[int, str] = {}
-    by_len = sorted(inputs, key=len, reverse=True)
-    for group in attrs.values():
-        for a in group:
-            name = a.get("name", "")
-            owner = next((i for i in by_len if name == i or name.startswith(i + "_")), None)
-            owners[int(a["idx"])] = owner or name
+    owners: list[str] = []
+    for name in inputs:
+        field = schema[name]
+        width = field.metadata["ml_attr"]["num_attrs"] if field.dataType.typeName() == "vectorudt" else 1
+        owners += [name] * width
     return owners
 
 
@@ -230,8 +225,10 @@ def importances_by_input(model: PipelineModel, scored: DataFrame,
     """Forest importances summed over the slots of each input column (sum is 1)."""
     rf = model.stages[-1]
     imp = rf.featureImportances.toArray()
-    owners = slot_owners(scored.schema["features"].metadata, inputs)
+    owners = slot_owners(scored.schema, inputs)
+    if len(owners) != len(imp):
+        raise ValueError(f"{len(imp)} vector slots, but the inputs take {len(owners)}")
     sums = {i: 0.0 for i in inputs}
-    for slot, value in enumerate(imp):
-        sums[owners.get(slot, "?")] = sums.get(owners.get(slot, "?"), 0.0) + float(value)
+    for owner, value in zip(owners, imp):
+        sums[owner] += float(value)
     return [(k, v) for k, v in sums.items()]

@@ -44,24 +44,16 @@ def itemset_bound(max_items: int, min_support: float) -> int:
     return math.floor((2 ** max_items - 1) / min_support)
 
 
-def mine(baskets: DataFrame, min_support: float, min_confidence: float, max_items: int,
+def mine(baskets: DataFrame, min_support: float, min_confidence: float, max_items: int | None = None,
          items_col: str = ITEMS, num_partitions: int | None = None) -> FPGrowthModel:
-    """Fit FP-growth.  ``max_items`` is the largest basket size, which bounds the output.
-
-    Raises if the bound exceeds 10 million itemsets (a support too low for the
-    basket width); the rules are broadcast on application, so their count must
-    stay bounded.
-    """
-    bound = itemset_bound(max_items, min_support)
-    if bound > 10_000_000:
-        raise ValueError(f"min_support {min_support} allows up to {bound} itemsets; raise it")
+    """Fit FP-growth.  ``max_items``: the largest basket size, for :func:`itemset_bound`; nothing is refused by it."""
     fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
     model = fp.fit(baskets.select(items_col))
     # The model's itemsets are a lazy plan over the input; itemsets, rules and
-    # rule application would each re-run the mining.  Their number is bounded
-    # (above), so keep them once; a lost block is recomputed from lineage.
+    # rule application would each re-run the mining, so keep them once (memory,
+    # then disk); a lost block is recomputed from lineage.
     model.freqItemsets.persist(StorageLevel.MEMORY_AND_DISK)
     return model
 

@@ -35,49 +35,62 @@ def domain_entries(dim: DataFrame, domain: str) -> DataFrame:
 
 
 class CheckedDim:
-    """A validated dictionary.
+    """A dictionary whose domains are validated when they are asked for.
 
-    ``local`` holds ``{domain: {raw: target}}`` when the whole dictionary is
+    ``rows`` holds ``{domain: [(raw, target)]}`` when the whole dictionary is
     at most ``max_rows`` distinct entries (checked by fetching at most one
     more): it would be collected for the broadcast anyway, and each domain
-    then enters the fact-table plan as a local relation with no sub-plan to
-    recompute.  A larger dictionary keeps ``df`` lazy and is validated per
-    domain by a distributed aggregation.
+    then enters the fact-table plan without a sub-plan to recompute.  A larger
+    dictionary keeps ``df`` lazy.  The size chooses where the rules are
+    checked, never the rules: only requested domains are validated, and a
+    ``merged`` domain is one lookup by construction, so its targets may be keys.
     """
 
-    def __init__(self, df: DataFrame, local: dict[str, dict[str, str]] | None, max_rows: int):
+    def __init__(self, df: DataFrame, rows: dict[str, list[tuple]] | None, max_rows: int, merged: frozenset[str] = frozenset()):
         self.df = df
-        self.local = local
+        self.rows = rows
         self.max_rows = max_rows
+        self.merged = merged
+
+    @property
+    def local(self) -> dict[str, dict[str, str]] | None:
+        """All domains, validated, of a small dictionary."""
+        return None if self.rows is None else {d: self.mapping(d) for d in self.rows}
+
+    def mapping(self, domain: str) -> dict[str, str]:
+        return _validate(domain, (self.rows or {}).get(domain, []), domain not in self.merged)
+
+    def has(self, domain: str) -> bool:
+        if self.rows is not None:
+            return domain in self.rows
+        return not self.df.filter(F.col("domain") == domain).isEmpty()
 
     def entries(self, domain: str) -> tuple[DataFrame, int]:
-        if self.local is not None:
-            m = self.local.get(domain, {})
+        if self.rows is not None:
+            m = self.mapping(domain)
             spark = self.df.sparkSession
             return spark.createDataFrame(list(m.items()), "raw string, target string"), len(m)
-        return _check_distributed(self.df, domain)
+        return _check_distributed(self.df, domain, domain not in self.merged)
 
 
-def _validate(rows) -> dict[str, dict[str, str]]:
-    out: dict[str, dict[str, str]] = {}
-    for d, k, v in rows:
+def _validate(domain: str, rows, chains: bool = True) -> dict[str, str]:
+    m: dict[str, str] = {}
+    for k, v in rows:
         if k is None or v is None:
-            raise DictionaryError(f"domain {d!r}: NULL key or target")
-        m = out.setdefault(d, {})
+            raise DictionaryError(f"domain {domain!r}: NULL key or target")
         if m.setdefault(k, v) != v:
-            raise DictionaryError(f"domain {d!r}: key {k!r} has two targets ({m[k]!r}, {v!r})")
-    for d, m in out.items():
-        chained = [k for k, v in m.items() if v != k and v in m and m[v] != v]
-        if chained:
-            raise DictionaryError(
-                f"domain {d!r}: target(s) of {chained[:5]} are keys with other targets; a chain of "
-                "replaces would depend on entry order -- split the domain into passes (merge_passes)")
-    return out
+            raise DictionaryError(f"domain {domain!r}: key {k!r} has two targets ({m[k]!r}, {v!r})")
+    chained = [k for k, v in m.items() if v != k and v in m and m[v] != v] if chains else []
+    if chained:
+        raise DictionaryError(
+            f"domain {domain!r}: target(s) of {chained[:5]} are keys with other targets; a chain of "
+            "replaces would depend on entry order -- split the domain into passes (merge_passes)")
+    return m
 
 
 def check_dim(dim: DataFrame | CheckedDim,
               max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedDim:
-    """Validate every domain of a dictionary in one small job.
+    """A dictionary whose domains are validated on request; a small one is fetched in one job.
 
     A key repeated with the same target is de-duplicated (a repeated key
     would otherwise duplicate fact rows in the join).  A key with two
@@ -91,11 +104,14 @@ def check_dim(dim: DataFrame | CheckedDim,
     distinct = dim.select("domain", "raw", "target").distinct()
     head = distinct.limit(max_broadcast_rows + 1).collect()
     if len(head) <= max_broadcast_rows:
-        return CheckedDim(dim, _validate(tuple(r) for r in head), max_broadcast_rows)
+        rows: dict[str, list[tuple]] = {}
+        for d, k, v in head:
+            rows.setdefault(d, []).append((k, v))
+        return CheckedDim(dim, rows, max_broadcast_rows)
     return CheckedDim(dim, None, max_broadcast_rows)
 
 
-def _check_distributed(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
+def _check_distributed(dim: DataFrame, domain: str, chained: bool = True) -> tuple[DataFrame, int]:
     entries = domain_entries(dim, domain)
     per_key = entries.groupBy("raw").agg(F.count(F.lit(1)).alias("n_targets"),
                                          F.count("target").alias("n_nonnull"))
@@ -110,6 +126,8 @@ def _check_distributed(dim: DataFrame, domain: str) -> tuple[DataFrame, int]:
         raise DictionaryError(f"domain {domain!r}: {stats['conflicts']} key(s) with two targets, e.g. {bad}")
     if stats["nulls"]:
         raise DictionaryError(f"domain {domain!r}: NULL key or target")
+    if not chained:
+        return entries, int(stats["keys"])
     e2 = entries.select(F.col("raw").alias("r2"), F.col("target").alias("t2"))
     chains = (entries.filter(F.col("raw") != F.col("target"))
                      .join(e2, (F.col("target") == F.col("r2")) & (F.col("t2") != F.col("r2")), "left_semi"))
@@ -158,7 +176,8 @@ def recode_literal(df: DataFrame, column: str, mapping: dict[str, str]) -> DataF
 
 
 def merge_passes(dim: DataFrame | CheckedDim, first: str, second: str,
-                 into: str | None = None) -> DataFrame | CheckedDim:
+                 into: str | None = None,
+                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> CheckedDim:
     """Fold two sequential passes into one dictionary with the same result.
 
     Applying ``first`` then ``second`` maps a value ``v`` to
@@ -168,13 +187,16 @@ def merge_passes(dim: DataFrame | CheckedDim, first: str, second: str,
     The merged domain is stored as ``into`` (default: ``first``, replacing it).
     """
     into = into or first
-    if isinstance(dim, CheckedDim) and dim.local is not None:
-        p1, p2 = dim.local.get(first, {}), dim.local.get(second, {})
+    dim = check_dim(dim, max_broadcast_rows)
+    merged_names = dim.merged | {into}
+    if dim.rows is not None:
+        p1, p2 = dim.mapping(first), dim.mapping(second)
         merged = {k: p2.get(v, v) for k, v in p1.items()}
         merged.update({k: v for k, v in p2.items() if k not in p1})
-        return CheckedDim(dim.df, {**dim.local, into: merged}, dim.max_rows)
-    if isinstance(dim, CheckedDim):
-        dim = dim.df
+        return CheckedDim(dim.df, {**dim.rows, into: list(merged.items())}, dim.max_rows, merged_names)
+    for name in (first, second):
+        dim.entries(name)                      # each pass by the same rules as on the local path
+    max_rows, dim = dim.max_rows, dim.df
     p1 = domain_entries(dim, first).select(F.col("raw").alias("r1"), F.col("target").alias("t1"))
     p2 = domain_entries(dim, second).select(F.col("raw").alias("r2"), F.col("target").alias("t2"))
     chained = (p1.join(p2, p1.t1 == p2.r2, "left")
@@ -183,7 +205,7 @@ def merge_passes(dim: DataFrame | CheckedDim, first: str, second: str,
                .select(F.col("r2").alias("raw"), F.col("t2").alias("target")))
     merged = chained.unionByName(only2).select(F.lit(into).alias("domain"), "raw", "target")
     rest = dim.filter(F.col("domain") != into)
-    return rest.unionByName(merged)
+    return CheckedDim(rest.unionByName(merged), None, max_rows, merged_names)
 
 
 def coverage(df: DataFrame, column: str, dim: DataFrame | CheckedDim, domain: str,

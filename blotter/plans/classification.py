@@ -49,7 +49,7 @@ class Classification:
 
 def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_trees: int = 10,
                      seed: int = 42, location_encoding: str = "frequency",
-                     max_categories: int = 100_000, cut_lineage: bool = False) -> Classification:
+                     cut_lineage: bool = False) -> Classification:
     """Fit and score the status classifier.
 
     ``location_encoding``:
@@ -59,8 +59,8 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
       Width and driver state stay constant however many addresses exist.
     * ``"onehot"`` -- the reference's form: indexed and one-hot encoded like
       the other categories.  Exact, but the label list lives on the driver and
-      the forest bins every slot of every row, so it is refused above
-      ``max_categories`` distinct addresses.
+      the forest bins every slot of every row, so it needs a driver that can
+      hold the addresses.
 
     Passes over the raw rows: one to materialise the column-pruned training
     rows, one to score the held-out rows; every other pass (cardinality check,
@@ -84,18 +84,12 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
     test = df.filter(~df["__train"]).drop("__train")
     # Every indexed column keeps its labels on the driver -- the label column too.
     if location_encoding == "onehot":
-        classify.check_cardinality(train, [*classify.CATEGORICAL, classify.LABEL_SOURCE], max_categories)
         categorical, features = classify.CATEGORICAL, classify.FEATURES
     else:
         categorical = [c for c in classify.CATEGORICAL if c != "location"]
-        approx = classify.check_cardinality(train, [*classify.CATEGORICAL, classify.LABEL_SOURCE],
-                                            max(max_categories, 10 ** 12))
-        over = {c: approx[c] for c in [*categorical, classify.LABEL_SOURCE] if approx[c] > max_categories}
-        if over:
-            raise ValueError(f"categorical inputs above {max_categories} values: {over}")
         features = [f if f != "location_encoded" else "location_freq" for f in classify.FEATURES]
         train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq",
-                                                   n_values=approx["location"])
+                                                   n_values=classify.cardinalities(train, ["location"])["location"])
     try:
         model = classify.fit(classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed),
                              train)

@@ -27,8 +27,9 @@ import json
 from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blotter.operators import profile, recode
+from blotter.operators import classify, profile, recode
 from blotter.operators.clean import filter_counts
 from blotter.plans.classification import train_classifier
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_incidents
@@ -38,12 +39,13 @@ from blotter.sources import layer
 from blotter.session import size_to_input
 from blotter.sources.csv import read_raw_csv
 
+
 DISTINCT_COLUMNS = ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]
 
 
 def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.option("header", True).schema("domain string, raw string, target string")
-            .csv(path))
+    """A header in another order or with other names fails, as for the incident files."""
+    return read_raw_csv(spark, path, T.StructType([T.StructField(c, T.StringType()) for c in ("domain", "raw", "target")]), normalize=False)
 
 
 def _write(df: DataFrame, path: str) -> None:
@@ -58,7 +60,7 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     layer.write_raw_layer(read_raw_csv(spark, raw_csv), f"{out}/raw")
     raw = layer.read_layer(spark, f"{out}/raw")
     dim = recode.check_dim(dictionary)
-    if "premise_pass2" in (dim.local or {}) or dim.local is None:
+    if dim.has("premise_pass2"):
         dim = recode.merge_passes(dim, "premise", "premise_pass2")
     passes: dict[str, str] = {}
 
@@ -75,7 +77,7 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     for name, df in eda_report(spark, clean, month_range, exclude_year=exclude_year, single_pass=True).items():
         _write(df, f"{out}/report/{name}")
 
-    key = F.col("dr_no").try_cast("long")
+    key = classify.row_key("dr_no")
     baskets = incident_baskets(clean.withColumn("dr_no", key), "dr_no")
     rm = mine_rules(baskets, "dr_no", min_support, min_confidence)
     _write(rm.itemsets(), f"{out}/rules/itemsets")

@@ -333,9 +333,9 @@ def q_rule_predict(spark, sf):
 
 # --- split, indexing, features ---------------------------------------------------------------
 def q_key_split(spark, sf):
-    df = raw(spark, sf)
-    flag = classify.split_flag(F.col("dr_no").try_cast("long"), TRAIN_PERCENT)
-    return df.select("dr_no", F.when(flag, "train").otherwise("test").alias("split"))
+    train, test = classify.key_split(raw(spark, sf), classify.row_key("dr_no"), TRAIN_PERCENT)
+    part = lambda df, name: df.select("dr_no", F.lit(name).alias("split"))
+    return part(train, "train").union(part(test, "test"))
 
 
 def _index_counts(df, column, out):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -54,17 +55,25 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
-        base = tempfile.mkdtemp(prefix="blotter-ckpt-")
+        base = _local_folder(spark)
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _local_folder(spark: SparkSession) -> str:
+    """A temp folder for a local session; on a cluster the executors would each see their own."""
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
+    return tempfile.mkdtemp(prefix="blotter-ckpt-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable: the session's folder, or a temp one in tests."""
     if spark.sparkContext.getCheckpointDir():
         return
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="blotter-ckpt-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
     spark.sparkContext.setCheckpointDir(base)
 
 

@@ -21,7 +21,7 @@ from blotter.sources.layer import PARTITION_COLUMN, with_partition_year
 
 def raw_stream(spark: SparkSession, source_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Incident CSV files appearing under ``source_dir``, every column as text."""
-    reader = spark.readStream.schema(RAW_SCHEMA).option("header", True)
+    reader = spark.readStream.schema(RAW_SCHEMA).option("header", True).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return normalize_names(reader.csv(source_dir))

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import blotter.operators.recode as checks
 from blotter.operators.recode import (
     DictionaryError,
     check_dim,
@@ -54,7 +55,7 @@ def test_repeated_key_same_target_keeps_row_count(spark):
 def test_conflicting_key_rejected(spark):
     dim = recode_dim(spark, [("p", "TRAIN", "Rail"), ("p", "TRAIN", "Bus")])
     with pytest.raises(DictionaryError):
-        check_dim(dim)
+        recode(_facts(spark), "c", check_dim(dim), "p")
     with pytest.raises(DictionaryError):
         recode(_facts(spark), "c", dim, "p", max_broadcast_rows=0)
 
@@ -111,3 +112,17 @@ def test_profile_from_one_pass_equals_separate(spark):
     y = sorted(map(tuple, distinct_values_many(facts, ["c"]).collect()), key=str)
     assert x == y
     vc.release()
+
+
+@pytest.mark.parametrize("limit", [0, 100_000])
+def test_same_outcome_at_any_size(spark, limit):
+    """The limit chooses the join, never the answer."""
+    rows = [("one", "A", "D"), ("two", "X", "A"), ("other", "k", "1"), ("other", "k", "2"), ("same", "s", "s"), ("same", "s", "s")]
+    dim = checks.check_dim(spark.createDataFrame(rows, "domain string, raw string, target string"), limit)
+    df = spark.createDataFrame([("A",), ("X",), ("s",), (None,)], "c string")
+    out = lambda d, name: sorted((r.c or "-") for r in checks.recode(df, "c", d, name, limit).collect())
+    merged = checks.merge_passes(dim, "one", "two", into="both", max_broadcast_rows=limit)
+    assert out(merged, "both") == sorted(["D", "A", "s", "-"])      # A -> D, X -> A, as two chained replaces
+    assert out(dim, "same") == sorted(["A", "X", "s", "-"])         # a conflict in a domain nobody asks for is no error
+    with pytest.raises(checks.DictionaryError):
+        checks.recode(df, "c", dim, "other", limit)

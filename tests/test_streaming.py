@@ -36,3 +36,23 @@ def test_incremental_ingest_is_exactly_once(spark, sf):
     cols = want.columns
     assert got.select(cols).exceptAll(want).count() == 0
     assert want.exceptAll(got.select(cols)).count() == 0
+
+
+def test_exchanged_header_columns_fail(spark, tmp_path):
+    """A file whose header has two columns exchanged is refused, not read by position."""
+    import pytest
+
+    from blotter.plans.job import read_dictionary
+    from blotter.schema import RAW
+    from blotter.streaming.ingest import raw_stream
+    names = list(RAW)
+    names[8], names[9] = names[9], names[8]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text(",".join(names) + "\n" + ",".join(["1"] * len(names)) + "\n")
+    q = raw_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("swapped") \
+        .option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    with pytest.raises(Exception):
+        q.awaitTermination(120)
+    (tmp_path / "d.csv").write_text("raw,target,domain\nA,B,crime\n")
+    with pytest.raises(Exception):
+        read_dictionary(spark, str(tmp_path / "d.csv")).collect()
