@@ -171,7 +171,7 @@ def _told(shards: int):
             order = np.lexsort((pack.ids[pack.doc], h))
             h, who = h[order], pack.ids[pack.doc][order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
-            last = np.append(first[1:], len(h)) - 1
+            last = np.append(first[1:], len(h))[:len(first)] - 1  # a pack of short texts has no anchors
             mark = h[first] | (who[first] != who[last]).astype(U64)
             shard = _shard(mark, shards)
             order = np.argsort(shard, kind="stable")
