@@ -40,7 +40,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from blotter.operators import profile, recode  # noqa: E402
+from blotter.operators import classify, profile, recode  # noqa: E402
 from blotter.plans.classification import train_classifier  # noqa: E402
 from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents  # noqa: E402
 from blotter.plans.eda import eda_report  # noqa: E402
@@ -132,7 +132,7 @@ def run_flows(spark, sf_dir: str, timed, info: dict, times: dict | None = None)
                                       "entries": sum(len(dim.local.get(d, {})) for d in RECODE_DOMAINS.values())}
 
     def forest():
-        c = train_classifier(raw, F.col("dr_no").try_cast("long"))
+        c = train_classifier(raw, classify.row_key("dr_no"))
         acc = c.accuracy().first()
         c.importances()
         info["forest_accuracy"] = round(acc.accuracy, 4)

@@ -1,11 +1,9 @@
 """Deterministic split, the random-forest pipeline, metrics and importances.
 
-Fitting is Spark ML (distributed): each StringIndexer runs one count job and
-keeps its label list on the driver, so categorical inputs are checked for
-cardinality before fitting; the forest trains level by level with split
-statistics aggregated on executors.  The training table is written to the
-shared checkpoint folder first, so the many passes of the forest neither
-recompute the whole lineage nor lose it with an executor.
+Fitting is Spark ML (distributed): the StringIndexer runs one count job and
+keeps its label lists on the driver, so an input with unbounded values (the
+address) is hashed to a fixed width instead; the forest trains level by level
+with split statistics aggregated on executors.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import FeatureHasher, OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,9 +52,9 @@ def split_flag(key: str | Column, train_percent: int = 80, salt: int = 0) -> Col
 
 
 def row_key(text: str | Column) -> Column:
-    """A whole-number key of any text: its own value if it is one, else its hash (NULL: a constant)."""
+    """A whole-number key of any text: its own value if it is one, else 60 bits of its MD5 (NULL: NULL)."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.coalesce(c.try_cast("long"), F.xxhash64(c))
+    return F.coalesce(c.try_cast("long"), F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long"))
 
 
 def key_split(df: DataFrame, key: str | Column, train_percent: int = 80,
@@ -66,13 +64,14 @@ def key_split(df: DataFrame, key: str | Column, train_percent: int = 80,
 
 
 # --- features -----------------------------------------------------------------
-# Inputs of the reference's classification, in snake_case names.
+# --- fixed values: inputs of the reference's classification, in snake_case names ---
 CATEGORICAL = ["vict_sex", "vict_descent", "premis_desc", "weapon_desc", "location"]
 NUMERIC_INT = ["vict_age", "crm_cd", "premis_cd", "rpt_dist_no", "weapon_used_cd"]
 NUMERIC_DOUBLE = ["lat", "lon"]
 FEATURES = ["vict_age", "vict_sex_encoded", "vict_descent_encoded", "crm_cd", "premis_cd",
             "rpt_dist_no", "premis_desc_encoded", "weapon_used_cd", "location_encoded"]
 LABEL_SOURCE = "status_desc"
+HASH_WIDTH = 64     # slots of a hashed category
 
 
 def typed_features(raw: DataFrame) -> DataFrame:
@@ -82,31 +81,29 @@ def typed_features(raw: DataFrame) -> DataFrame:
     return raw.withColumns(casts)
 
 
-def cardinalities(df: DataFrame, columns: Sequence[str]) -> dict[str, int]:
-    """Approximate distinct counts of the categorical inputs in one pass (to choose a join strategy, never to refuse)."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    return {c: int(row[c]) for c in columns}
+def hasher(column: str, out: str, width: int = HASH_WIDTH) -> FeatureHasher:
+    """A category as one of ``width`` slots: no labels on the driver, the same width for any number of values.
+
+    Values may share a slot; a NULL has no slot at all, so filter it out first.
+    """
+    return FeatureHasher(inputCols=[column], categoricalCols=[column], outputCol=out, numFeatures=width)
 
 
 def frequency_encode(train: DataFrame, others: Sequence[DataFrame], column: str, out: str,
-                     max_broadcast_rows: int = 1_000_000,
-                     n_values: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
+                     max_broadcast_rows: int = 1_000_000) -> tuple[DataFrame, list[DataFrame]]:
     """Encode a high-cardinality category by its row count in the training rows.
 
     One partial aggregation of the training rows (a hot value is one row per
     task before the shuffle), then a left join back onto every table; values
     unseen in training get 0.  The count table has one row per distinct value;
-    it is broadcast only when that number -- counted first, or an approximate
-    count ``n_values`` given with 10 % headroom -- is within
+    it is broadcast only when that number, counted first, is within
     ``max_broadcast_rows``, otherwise joined by shuffle (AQE splits skew).
     NULL values keep a NULL code, so the assembler skips them as the
     reference's indexer would.
     """
     counts = train.filter(F.col(column).isNotNull()).groupBy(column) \
                   .agg(F.count(F.lit(1)).cast("double").alias(out))
-    small = (counts.count() <= max_broadcast_rows if n_values is None
-             else n_values * 1.1 <= max_broadcast_rows)
-    right = F.broadcast(counts) if small else counts
+    right = F.broadcast(counts) if counts.count() <= max_broadcast_rows else counts
 
     def enc(df: DataFrame) -> DataFrame:
         j = df.join(right, column, "left")
@@ -117,8 +114,9 @@ def frequency_encode(train: DataFrame, others: Sequence[DataFrame], column: str,
 
 def build_pipeline(categorical: Sequence[str] = CATEGORICAL, features: Sequence[str] = FEATURES,
                    label_source: str = LABEL_SOURCE, num_trees: int = 10, seed: int = 42,
-                   assembler_invalid: str = "skip", **rf_params) -> Pipeline:
-    """Indexers (skip NULL/unseen) -> one-hot -> label indexer -> assembler -> random forest.
+                   assembler_invalid: str = "skip", hashed: Sequence[str] = (),
+                   hash_width: int = HASH_WIDTH, **rf_params) -> Pipeline:
+    """Indexers (skip NULL/unseen) -> one-hot -> hashed inputs -> assembler -> random forest.
 
     The categorical inputs and the label are indexed by one multi-column
     StringIndexer (one counting pass, not one per column; a row with a NULL or
@@ -133,6 +131,7 @@ def build_pipeline(categorical: Sequence[str] = CATEGORICAL, features: Sequence[
     if cats:
         stages.append(OneHotEncoder(inputCols=[f"{c}_index" for c in cats],
                                     outputCols=[f"{c}_encoded" for c in cats]))
+    stages += [hasher(c, f"{c}_encoded", hash_width) for c in hashed]
     asm = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid=assembler_invalid)
     rf = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=num_trees,
                                 seed=seed, **rf_params)
@@ -144,9 +143,9 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
 
     The forest reads its input several times (row count, split sampling,
     binning); persisting only the two columns it needs keeps the indexer,
-    joins and assembler from re-running each time.  A lost block is
-    recomputed from its lineage (the checkpointed training rows), so the
-    persist costs no fault tolerance.  Returns one PipelineModel.
+    hasher and assembler from re-running each time.  A lost block is
+    recomputed from its lineage, so the persist costs no fault tolerance.
+    Returns one PipelineModel.
     """
     stages = pipeline.getStages()
     prep = Pipeline(stages=stages[:-1]).fit(train)
@@ -177,18 +176,34 @@ def decode_prediction(predictions: DataFrame, labels: list[str], name: str = "pr
     return predictions.withColumn(name, F.element_at(arr, (F.col("prediction") + 1).cast("int")))
 
 
-def skipped_rows(df: DataFrame, numeric_inputs: Sequence[str]) -> DataFrame:
-    """Rows the assembler skips (a NULL numeric input), counted in one pass.
+def skipped_rows(df: DataFrame, inputs: Sequence[str]) -> DataFrame:
+    """Rows that indexer or assembler skip for a NULL input, counted in one pass.
 
-    One row: ``rows``, ``skipped`` and ``null_<input>`` per input; the
-    assembler runs with ``handleInvalid="skip"``, so these rows are reported
-    here instead of failing the fit.
+    One row: ``rows``, ``skipped`` and ``null_<input>`` per input; both run
+    with ``handleInvalid="skip"``, so these rows are reported here instead of
+    failing the fit.
     """
     any_null = F.lit(False)
-    for c in numeric_inputs:
+    for c in inputs:
         any_null = any_null | F.col(c).isNull()
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(any_null).alias("skipped"),
-                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numeric_inputs])
+                  *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in inputs])
+
+
+# --- baseline -------------------------------------------------------------------
+def baseline(train: DataFrame, test: DataFrame, by: str, label_source: str = LABEL_SOURCE) -> DataFrame:
+    """``test`` scored by the most frequent training label of its ``by`` value: what a model has to beat.
+
+    Adds ``label`` and ``prediction`` (indices as the indexer gives them).
+    Ties go to the more frequent label; a value unseen in training gets the
+    most frequent label of all; rows with a NULL ``by`` or label, or a label unseen in
+    training, are skipped.
+    """
+    train, test = train.filter(F.col(by).isNotNull()), test.filter(F.col(by).isNotNull())
+    codes = StringIndexer(inputCol=label_source, outputCol="label", handleInvalid="skip").fit(train)
+    counts = codes.transform(train).groupBy(by, "label").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy(by).agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("prediction"))
+    return codes.transform(test).join(best, by, "left").withColumn("prediction", F.coalesce("prediction", F.lit(0.0)))
 
 
 # --- metrics ------------------------------------------------------------------
@@ -223,12 +238,14 @@ def slot_owners(schema, inputs: Sequence[str]) -> list[str]:
 def importances_by_input(model: PipelineModel, scored: DataFrame,
                          inputs: Sequence[str] = FEATURES) -> list[tuple[str, float]]:
     """Forest importances summed over the slots of each input column (sum is 1)."""
-    rf = model.stages[-1]
-    imp = rf.featureImportances.toArray()
-    owners = slot_owners(scored.schema, inputs)
-    if len(owners) != len(imp):
-        raise ValueError(f"{len(imp)} vector slots, but the inputs take {len(owners)}")
+    return fold_slots(model.stages[-1].featureImportances.toArray(), slot_owners(scored.schema, inputs), inputs)
+
+
+def fold_slots(values: Sequence[float], owners: Sequence[str], inputs: Sequence[str]) -> list[tuple[str, float]]:
+    """Values of vector slots summed per owning input, in the order of the inputs."""
+    if len(owners) != len(values):
+        raise ValueError(f"{len(values)} vector slots, but the inputs take {len(owners)}")
     sums = {i: 0.0 for i in inputs}
-    for owner, value in zip(owners, imp):
+    for owner, value in zip(owners, values):
         sums[owner] += float(value)
-    return [(k, v) for k, v in sums.items()]
+    return list(sums.items())

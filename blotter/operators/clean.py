@@ -26,10 +26,6 @@ def drop_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.drop(*(columns if columns is not None else DROPPED))
 
 
-def select_columns(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.select(*columns)
-
-
 def cast_columns(df: DataFrame, ints: list[str] = (), doubles: list[str] = ()) -> DataFrame:
     """``try_cast`` text columns in one projection: bad text -> NULL, never an error."""
     casts = {c: to_int(c) for c in ints}

@@ -27,10 +27,6 @@ def basket(columns: list[str]) -> Column:
     return F.array_distinct(F.filter(arr, lambda x: x.isNotNull()))
 
 
-def build_baskets(df: DataFrame, columns: list[str], name: str = ITEMS, keep: list[str] = ()) -> DataFrame:
-    return df.select(*keep, basket(columns).alias(name))
-
-
 def items_text(c: str | Column) -> Column:
     """An item array as sorted, comma-joined text (order-free comparison and display)."""
     col = F.col(c) if isinstance(c, str) else c

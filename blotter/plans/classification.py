@@ -1,35 +1,38 @@
 """Raw incidents -> random-forest status classifier, scored and explained.
 
-try_cast the numeric inputs -> refuse unbounded categorical inputs ->
-deterministic 80/20 split by key -> training rows written to the shared
-checkpoint folder (the forest reads them many times) -> fit indexers,
-one-hot, label indexer, assembler, forest -> score the held-out rows ->
-accuracy, confusion matrix, importances summed per input column.
+try_cast the numeric inputs -> deterministic 80/20 split by key -> the pruned
+rows written to the shared folder -> fit indexers, one-hot, address hash,
+label indexer, assembler, forest -> score the held-out rows once, written to
+the shared folder -> accuracy, confusion matrix, importances summed per input
+column.  The raw table is read once in all.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from blotter.operators import classify
-from blotter.session import ensure_checkpoint_dir
+from blotter.session import stored
 
 
 @dataclass
 class Classification:
     model: PipelineModel
-    scored: DataFrame
+    scored: DataFrame          # the written predictions
     features: list[str]
-    test: DataFrame
+    test: DataFrame            # the held-out rows, from the written table
+    assembled: DataFrame       # the plan behind ``scored``: its schema holds the vector's layout
 
     def skipped(self) -> DataFrame:
-        """Held-out rows the assembler skipped for a NULL numeric input (one row of counts)."""
-        numeric = [f for f in self.features if not f.endswith("_encoded")]
-        return classify.skipped_rows(self.test, numeric)
+        """One row: held-out rows, those lost to a NULL input (and per input), to an unseen value, and scored ones."""
+        inputs = [*classify.NUMERIC_INT, *classify.CATEGORICAL, classify.LABEL_SOURCE]
+        lost = classify.skipped_rows(self.test, [c for c in inputs if c in self.test.columns])
+        scored = F.lit(self.scored.count())
+        return lost.withColumns({"scored": scored, "unseen": F.col("rows") - F.col("skipped") - scored})
 
     def accuracy(self) -> DataFrame:
         return classify.accuracy(self.scored)
@@ -38,7 +41,7 @@ class Classification:
         return classify.confusion(self.scored)
 
     def importances(self) -> list[tuple[str, float]]:
-        return classify.importances_by_input(self.model, self.scored, self.features)
+        return classify.importances_by_input(self.model, self.assembled, self.features)
 
     def predictions(self) -> DataFrame:
         out = classify.decode_prediction(self.scored, classify.label_names(self.model))
@@ -48,51 +51,47 @@ class Classification:
 
 
 def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_trees: int = 10,
-                     seed: int = 42, location_encoding: str = "frequency",
-                     cut_lineage: bool = False) -> Classification:
+                     seed: int = 42, location_encoding: str = "hashed",
+                     hash_width: int = classify.HASH_WIDTH) -> Classification:
     """Fit and score the status classifier.
 
     ``location_encoding``:
 
-    * ``"frequency"`` (default) -- the address enters as one numeric input,
-      its incident count in the training rows (:func:`classify.frequency_encode`).
-      Width and driver state stay constant however many addresses exist.
+    * ``"hashed"`` (default) -- the address as one of ``hash_width`` slots
+      (:func:`classify.hasher`).  Categorical like the reference's form, but width
+      and driver state stay constant however many addresses exist.
+    * ``"frequency"`` -- one numeric input, the address's incident count in the
+      training rows (:func:`classify.frequency_encode`).
     * ``"onehot"`` -- the reference's form: indexed and one-hot encoded like
       the other categories.  Exact, but the label list lives on the driver and
       the forest bins every slot of every row, so it needs a driver that can
       hold the addresses.
 
-    Passes over the raw rows: one to materialise the column-pruned training
-    rows, one to score the held-out rows; every other pass (cardinality check,
-    address counts, indexer, feature rows) reads the materialised rows.  They
-    are persisted (memory, then local disk): their lineage is one scan and a
-    filter, so a lost executor recomputes its blocks cheaply.  With
-    ``cut_lineage`` (for a raw input behind a long plan) they are instead
-    ``checkpoint()``ed into the shared checkpoint folder.
+    The raw rows are read once: key, inputs and label go to a table in the
+    shared folder, which every later pass reads, so a lost executor costs its
+    own tasks only.  The scored rows are written there once, too.  An address
+    that is NULL is skipped in every form, as the indexer skips the other categories.
     """
-    if location_encoding not in ("frequency", "onehot"):
+    if location_encoding not in ("hashed", "frequency", "onehot"):
         raise ValueError(f"unknown location_encoding {location_encoding!r}")
-    spark = raw.sparkSession
-    ensure_checkpoint_dir(spark)
     inputs = [c for c in classify.NUMERIC_INT if c in classify.FEATURES]
-    needed = ["dr_no", *classify.CATEGORICAL, classify.LABEL_SOURCE, *inputs]
-    df = classify.typed_features(raw).withColumn("__train", classify.split_flag(key, train_percent))
-    df = df.select(*dict.fromkeys(needed), "__train")
-    train = df.filter("__train").drop("__train")
-    train = train.checkpoint(eager=True) if cut_lineage else train.persist(StorageLevel.MEMORY_AND_DISK)
-    base = train
-    test = df.filter(~df["__train"]).drop("__train")
-    # Every indexed column keeps its labels on the driver -- the label column too.
-    if location_encoding == "onehot":
-        categorical, features = classify.CATEGORICAL, classify.FEATURES
-    else:
-        categorical = [c for c in classify.CATEGORICAL if c != "location"]
-        features = [f if f != "location_encoded" else "location_freq" for f in classify.FEATURES]
-        train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq",
-                                                   n_values=classify.cardinalities(train, ["location"])["location"])
-    try:
-        model = classify.fit(classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed),
-                             train)
-    finally:
-        base.unpersist()
-    return Classification(model, model.transform(test), features, test)
+    needed = dict.fromkeys(["dr_no", *classify.CATEGORICAL, classify.LABEL_SOURCE, *inputs])
+    rows = classify.typed_features(raw).withColumn("in_train", classify.split_flag(key, train_percent))
+    rows = stored(rows.select(*needed, "in_train"), "classifier-rows")
+    held_out = rows.filter(~F.col("in_train")).drop("in_train")
+    train = rows.filter("in_train and location is not null").drop("in_train")
+    test = held_out.filter("location is not null")
+    categorical, features, hashed = classify.CATEGORICAL, classify.FEATURES, []
+    if location_encoding != "onehot":
+        categorical = [c for c in categorical if c != "location"]
+    if location_encoding == "hashed":
+        hashed = ["location"]
+    if location_encoding == "frequency":
+        features = [f if f != "location_encoded" else "location_freq" for f in features]
+        train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq")
+    pipeline = classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed,
+                                       hashed=hashed, hash_width=hash_width)
+    model = classify.fit(pipeline, train)
+    assembled = model.transform(test)
+    scored = stored(assembled.select(*needed, "label", "prediction"), "classifier-scored")
+    return Classification(model, scored, features, held_out, assembled)

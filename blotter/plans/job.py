@@ -55,7 +55,7 @@ def _write(df: DataFrame, path: str) -> None:
 def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
         month_range: tuple[str, str], exclude_year: int | None,
         min_support: float = 0.2, min_confidence: float = 0.5,
-        location_encoding: str = "frequency") -> dict:
+        location_encoding: str = "hashed") -> dict:
     out = out.rstrip("/")
     layer.write_raw_layer(read_raw_csv(spark, raw_csv), f"{out}/raw")
     raw = layer.read_layer(spark, f"{out}/raw")
@@ -109,7 +109,7 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--exclude-year", type=int, default=None)
     ap.add_argument("--min-support", type=float, default=0.2)
     ap.add_argument("--min-confidence", type=float, default=0.5)
-    ap.add_argument("--location-encoding", default="frequency", choices=["frequency", "onehot"])
+    ap.add_argument("--location-encoding", default="hashed", choices=["hashed", "frequency", "onehot"])
     ap.add_argument("--no-size-to-input", action="store_true",
                     help="keep the session's split and shuffle settings instead of sizing them to the input")
     a = ap.parse_args(argv)

@@ -1,8 +1,8 @@
 """Independent SQL (DuckDB dialect) for every SQL-expressible registered query.
 
 The stand-in incident table, the dictionaries and the cleaning rules are
-restated here in plain SQL, so a query and its oracle share only the test
-tables.  Two-pass recoding is written as two sequential lookups (not as the
+restated here in plain SQL; a query and its oracle share the test tables, the
+code dictionaries, the column lists and the thresholds.  Two-pass recoding is written as two sequential lookups (not as the
 merged dictionary the library builds); frequent itemsets come from a
 ``GROUP BY CUBE`` (each basket holds one distinct item per column), rules
 from self-joins of the itemsets.
@@ -20,6 +20,7 @@ from blotter.plans.queries import (
     INCIDENT_CONFIDENCE,
     INCIDENT_SUPPORT,
 )
+from blotter.operators.classify import HASH_WIDTH
 from blotter.schema import BASKET_COLUMNS, DROPPED, RAW
 from blotter.sources.dims import DESCENT_CODES, SEX_CODES
 from blotter.sources.standin import PREMISE_PASS1, PREMISE_PASS2
@@ -34,7 +35,9 @@ def _values(pairs) -> str:
 RAW_CTE = r"""
 raw_incidents AS (
   SELECT
-    CAST(l.l_orderkey * 10 + l.l_linenumber AS VARCHAR) AS dr_no,
+    CASE WHEN p.p_size = 47 AND l.l_linenumber = 7 THEN NULL
+         WHEN p.p_size = 46 AND l.l_linenumber = 7 THEN 'T' || CAST(l.l_orderkey * 10 + l.l_linenumber AS VARCHAR)
+         ELSE CAST(l.l_orderkey * 10 + l.l_linenumber AS VARCHAR) END AS dr_no,
     strftime(l.l_shipdate, '%m/%d/%Y %I:%M:%S %p') AS date_rptd,
     CASE WHEN p.p_size = 49 AND l.l_linenumber = 7 THEN '13/45/2000 12:00:00 AM'
          ELSE strftime(o.o_orderdate, '%m/%d/%Y %I:%M:%S %p') END AS date_occ,
@@ -44,7 +47,9 @@ raw_incidents AS (
     CAST(c.c_nationkey * 100 + n.n_regionkey * 10 + l.l_linenumber AS VARCHAR) AS rpt_dist_no,
     CASE WHEN l.l_linestatus = 'F' THEN '1' ELSE '2' END AS part_1_2,
     CAST(l.l_partkey % 97 + 100 AS VARCHAR) AS crm_cd,
-    upper(p.p_name) AS crm_cd_desc,
+    CASE WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN upper(split_part(p.p_name, ' ', 1)) || ' GEAR'
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 7 THEN upper(split_part(p.p_name, ' ', 1)) || ' ROD'
+         ELSE upper(p.p_name) END AS crm_cd_desc,
     CAST(l.l_suppkey AS VARCHAR) AS mocodes,
     CASE WHEN p.p_size = 50 THEN 'X'
          ELSE CAST((l.l_orderkey + l.l_linenumber) % 60 - 3 AS VARCHAR) END AS vict_age,
@@ -54,19 +59,29 @@ raw_incidents AS (
          WHEN o.o_orderstatus = 'O' THEN 'M' ELSE 'X' END AS vict_sex,
     CASE WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 5 THEN NULL
          WHEN o.o_orderstatus = 'F' AND l.l_linenumber = 7 THEN 'null'
-         ELSE substr('ABCDFGHIJKLOPSUVWXZ-', CAST(c.c_custkey % 20 AS INTEGER) + 1, 1) END AS vict_descent,
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN 'H'
+         ELSE ['A', 'B', 'C', 'D', 'F', 'G', 'H', 'I', 'J', 'K', 'L', 'O', 'P', 'S', 'U', 'V', 'W', 'X', 'Z', '-'
+              ][CAST(c.c_custkey % 20 AS INTEGER) + 1] END AS vict_descent,
     CAST(p.p_size + 500 AS VARCHAR) AS premis_cd,
     CASE WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 4 THEN 'null'
          WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 3 THEN NULL
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN 'ECONOMY'
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 7 THEN 'MEDIUM'
          ELSE p.p_type END AS premis_desc,
     CASE WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 1 THEN NULL
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN '111'
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 7 THEN '122'
          ELSE CAST(CAST(regexp_extract(p.p_brand, '(\d+)', 1) AS INTEGER) + 100 AS VARCHAR) END AS weapon_used_cd,
     CASE WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 2 THEN 'null'
          WHEN o.o_orderstatus = 'P' AND l.l_linenumber = 1 THEN NULL
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN 'BRAND#11'
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 7 THEN 'BRAND#22'
          ELSE upper(p.p_brand) END AS weapon_desc,
-    l.l_returnflag AS status,
-    CASE l.l_returnflag WHEN 'A' THEN 'Adult Arrest' WHEN 'R' THEN 'Invest Cont'
-         ELSE 'Adult Other' END AS status_desc,
+    CASE WHEN l.l_suppkey % 5 = 0 THEN l.l_returnflag
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 4 THEN 'A'
+         WHEN (l.l_orderkey + l.l_partkey) % 10 < 7 THEN 'R'
+         WHEN (l.l_orderkey + l.l_linenumber) % 60 - 3 >= 30 THEN 'N' ELSE 'R' END AS status,
+    CASE status WHEN 'A' THEN 'Adult Arrest' WHEN 'R' THEN 'Invest Cont' ELSE 'Adult Other' END AS status_desc,
     CAST(l.l_partkey % 97 + 100 AS VARCHAR) AS crm_cd_1,
     CASE WHEN l.l_linenumber = 7 THEN CAST(l.l_partkey % 97 + 300 AS VARCHAR) END AS crm_cd_2,
     CAST(NULL AS VARCHAR) AS crm_cd_3,
@@ -164,6 +179,9 @@ _DATE = "try_strptime(regexp_replace(substr(date_occ, 1, 10), '/', '-', 'g'), '%
 # Park-Miller steps of the key split, for non-negative keys.
 _SPLIT = ("((((CAST({key} AS BIGINT) % 2147483647) * 48271 % 2147483647) * 48271 % 2147483647) % 100) < "
           + str(TRAIN_PERCENT))
+# The incident number as a whole number: its own value, else the first 15 hex digits of its MD5.
+_ROW_KEY = "coalesce(TRY_CAST(dr_no AS BIGINT), CAST('0x' || substr(md5(dr_no), 1, 15) AS BIGINT))"
+_IN_TRAIN = "coalesce(" + _SPLIT.format(key=_ROW_KEY) + ", false)"
 
 EVENT_ITEMS_CTE = f"""
 ev AS (
@@ -214,8 +232,10 @@ def _incident_rules_cte() -> str:
     return f"""WITH {RAW_CTE},
 {DIM_CTE},
 {RECODED_CTE},
+test AS (SELECT {_ROW_KEY} AS key, list_sort(list_distinct(list_filter([{cols}], lambda x: x IS NOT NULL))) AS item_list
+         FROM ({recoded_filtered}) c WHERE {no_placeholder} AND NOT {_IN_TRAIN}),
 train AS (SELECT {cols} FROM ({recoded_filtered}) c
-          WHERE {no_placeholder} AND {_SPLIT.format(key='dr_no')}),
+          WHERE {no_placeholder} AND {_IN_TRAIN}),
 n_train AS (SELECT count(*) AS n FROM train),
 itemsets AS (
   SELECT array_to_string(list_sort(list_filter([{cols}], lambda x: x IS NOT NULL)), ',') AS items,
@@ -226,6 +246,7 @@ itemsets AS (
 ),
 rules AS (
   SELECT array_to_string(list_filter(z.item_list, lambda x: x <> y.item), ',') AS antecedent,
+         list_filter(z.item_list, lambda x: x <> y.item) AS antecedent_list,
          y.item AS consequent,
          z.freq * 1.0 / a.freq AS confidence,
          (z.freq * 1.0 / a.freq) / (c.freq * 1.0 / (SELECT n FROM n_train)) AS lift,
@@ -370,6 +391,13 @@ GROUP BY domain, value"""
     q["incident_rules"] = (_incident_rules_cte() + """
 SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
        round(support, 6) AS support FROM rules""")
+    q["incident_rule_predict"] = _incident_rules_cte() + """,
+seen AS (SELECT DISTINCT item_list FROM test),
+answers AS (SELECT s.item_list, string_agg(DISTINCT r.consequent, ',' ORDER BY r.consequent) AS prediction
+            FROM seen s JOIN rules r ON list_has_all(s.item_list, r.antecedent_list)
+                                    AND NOT list_contains(s.item_list, r.consequent) GROUP BY s.item_list)
+SELECT t.key AS dr_no, array_to_string(t.item_list, ',') AS items, coalesce(a.prediction, '') AS prediction
+FROM test t LEFT JOIN answers a ON t.item_list = a.item_list"""
     q["freq_itemsets"] = f"WITH {EVENT_ITEMS_CTE}\nSELECT items, CAST(len(item_list) AS INTEGER) AS size, freq FROM itemsets"
     q["assoc_rules"] = f"""WITH {EVENT_ITEMS_CTE}
 SELECT antecedent, consequent, round(confidence, 6) AS confidence, round(lift, 6) AS lift,
@@ -385,7 +413,7 @@ SELECT t.event_id, array_to_string(t.item_list, ',') AS items,
                  FROM hits h WHERE h.event_id = t.event_id), '') AS prediction
 FROM test t"""
 
-    q["key_split"] = with_raw(f"""SELECT dr_no, CASE WHEN {_SPLIT.format(key='dr_no')} THEN 'train' ELSE 'test' END
+    q["key_split"] = with_raw(f"""SELECT dr_no, CASE WHEN {_IN_TRAIN} THEN 'train' ELSE 'test' END
         AS split FROM raw_incidents""")
     q["string_index"] = with_clean("""SELECT value, CAST(row_number() OVER (ORDER BY count DESC, value) - 1 AS INTEGER)
         AS index, count FROM (SELECT vict_descent AS value, count(*) AS count FROM clean
@@ -411,4 +439,53 @@ FROM test t"""
     per = ", ".join(f"count(*) FILTER (WHERE {e} IS NULL) AS null_{c}" for c, e in casts.items())
     q["assemble_skipped"] = with_raw(f"""SELECT count(*) AS rows, count(*) FILTER (WHERE {any_null}) AS skipped,
         {per} FROM raw_incidents""")
+    _classifier_sql(q)
     return q
+
+
+def _classifier_sql(q: dict[str, str]) -> None:
+    """Category codes, the assembled vector, the scored rows and the metrics."""
+    cats = ["vict_sex", "vict_descent", "premis_desc", "weapon_desc", "location"]
+    ints = ["vict_age", "crm_cd", "premis_cd", "rpt_dist_no", "weapon_used_cd"]
+    known = " AND ".join(f"{c} IS NOT NULL" for c in cats)
+    typed = " AND ".join(f"TRY_CAST({c} AS INTEGER) IS NOT NULL" for c in ints)
+
+    def codes(column, rows):
+        return f"""(SELECT value, CAST(row_number() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS index, n,
+            CAST(count(*) OVER () AS INTEGER) AS size
+            FROM (SELECT {column} AS value, count(*) AS n FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1) t)"""
+
+    q["index_five"] = with_raw(" UNION ALL ".join(
+        f"""SELECT '{c}' AS input, i.value, i.index, count(*) AS count
+            FROM (SELECT * FROM raw_incidents WHERE {known}) r JOIN {codes(c, 'raw_incidents')} i ON r.{c} = i.value
+            GROUP BY ALL""" for c in cats))
+    q["address_hashed"] = with_raw(f"""SELECT location, count(*) AS count, CAST(1 AS BIGINT) AS slots,
+        CAST({HASH_WIDTH} AS INTEGER) AS width, CAST(1 AS INTEGER) AS nonzero
+        FROM raw_incidents WHERE location IS NOT NULL GROUP BY location""")
+    indexed = cats[:-1]
+    encoded = ["vict_sex", "vict_descent", "premis_desc"]     # the weapon text is indexed (and skips rows), but no input
+    joins = " ".join(f"JOIN {codes(c, 'raw_incidents')} i_{c} ON r.{c} = i_{c}.value" for c in indexed)
+    hot = ", ".join(f"CASE WHEN i_{c}.index < i_{c}.size - 1 THEN i_{c}.index ELSE -1 END AS hot_{c}" for c in encoded)
+    width = " + ".join(f"i_{c}.size - 1" for c in encoded)
+    numbers = ", ".join(f"CAST(TRY_CAST({c} AS INTEGER) AS DOUBLE) AS f_{c}" for c in ints)
+    q["assemble_nine"] = with_raw(f"""SELECT dr_no, CAST({width} + 5 + {HASH_WIDTH} AS INTEGER) AS width, {numbers}, {hot},
+        CAST(1 AS INTEGER) AS nonzero_location FROM raw_incidents r {joins} WHERE {known} AND {typed}""")
+    seen = " AND ".join(f"{c} IN (SELECT {c} FROM train)" for c in [*indexed, "status_desc"])
+    q["rf_scored_keys"] = f"""WITH {RAW_CTE},
+train AS (SELECT * FROM raw_incidents WHERE {_IN_TRAIN} AND location IS NOT NULL)
+SELECT dr_no, l.index AS label, TRY_CAST(vict_age AS INTEGER) AS vict_age, {', '.join(cats)}, status_desc
+FROM raw_incidents r JOIN {codes('status_desc', 'train')} l ON r.status_desc = l.value
+WHERE NOT {_IN_TRAIN} AND {known} AND {typed} AND {seen}"""
+    baseline = f"""WITH {RAW_CTE},
+known AS (SELECT premis_desc, status_desc, {_IN_TRAIN} AS in_train FROM raw_incidents WHERE premis_desc IS NOT NULL),
+codes AS (SELECT * FROM {codes('status_desc', '(SELECT * FROM known WHERE in_train)')}),
+best AS (SELECT premis_desc, arg_max(index, (n, -index)) AS prediction
+         FROM (SELECT k.premis_desc, c.index, count(*) AS n FROM known k JOIN codes c ON k.status_desc = c.value
+               WHERE in_train GROUP BY ALL) t GROUP BY premis_desc),
+scored AS (SELECT c.index AS label, CAST(coalesce(b.prediction, 0) AS INTEGER) AS prediction
+           FROM known k JOIN codes c ON k.status_desc = c.value LEFT JOIN best b ON k.premis_desc = b.premis_desc
+           WHERE NOT in_train)"""
+    q["baseline_accuracy"] = baseline + """
+SELECT count(*) AS scored, CAST(sum(CASE WHEN label = prediction THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       avg(CASE WHEN label = prediction THEN 1.0 ELSE 0.0 END) AS accuracy FROM scored"""
+    q["baseline_confusion"] = baseline + "\nSELECT label, prediction, count(*) AS count FROM scored GROUP BY ALL"

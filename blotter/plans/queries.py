@@ -92,7 +92,7 @@ def q_clean_stream_roundtrip(spark, sf):
     from blotter.streaming.ingest import start_ingest
     src = shared_dir(spark, "landing")
     raw_text = raw_incidents(spark, sf, normalize=False)
-    flag = classify.split_flag(F.col("DR_NO").try_cast("long"), 50)
+    flag = classify.split_flag(classify.row_key("DR_NO"), 50)
     write_csv(raw_text.filter(flag), f"{src}/part=1")
     write_csv(raw_text.filter(~flag), f"{src}/part=2")
     out, ckpt = shared_dir(spark, "stream-layer"), shared_dir(spark, "stream-ckpt")
@@ -280,7 +280,7 @@ INCIDENT_SUPPORT, INCIDENT_CONFIDENCE = 0.2, 0.5   # the reference's thresholds
 def incident_rule_model(spark, sf):
     def build():
         kept = clean_incidents(raw(spark, sf), dim(spark, sf), keep=("dr_no",))
-        baskets = incident_baskets(kept.withColumn("dr_no", F.col("dr_no").try_cast("long")), "dr_no")
+        baskets = incident_baskets(kept.withColumn("dr_no", classify.row_key("dr_no")), "dr_no")
         return mine_rules(baskets, "dr_no", INCIDENT_SUPPORT, INCIDENT_CONFIDENCE, train_percent=TRAIN_PERCENT)
     return _memo("incident-rules", spark, sf, build)
 
@@ -293,6 +293,12 @@ def q_incident_rules(spark, sf):
     return incident_rule_model(spark, sf).rules()
 
 
+def q_incident_rule_predict(spark, sf):
+    out = incident_rule_model(spark, sf).predictions()
+    return out.select("dr_no", patterns.items_text("items").alias("items"),
+                      patterns.items_text("prediction").alias("prediction"))
+
+
 def event_baskets(spark, sf) -> DataFrame:
     cols = events_basket_columns(spark, sf)
     return cols.select("event_id", patterns.basket(EVENT_ITEM_COLUMNS).alias("items"))
@@ -380,14 +386,72 @@ def q_assemble_skipped(spark, sf):
     return classify.skipped_rows(classify.typed_features(raw(spark, sf)), ASSEMBLE_INPUTS)
 
 
+def q_index_five(spark, sf):
+    """The joint index of the five categories: rows kept (no NULL in any of them) per input and value."""
+    from pyspark.ml.feature import StringIndexer
+    df = raw(spark, sf).select(*classify.CATEGORICAL)
+    codes = [f"{c}_index" for c in classify.CATEGORICAL]
+    model = StringIndexer(inputCols=classify.CATEGORICAL, outputCols=codes, handleInvalid="skip").fit(df)
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("input"), F.col(c).alias("value"), F.col(i).cast("int").alias("index"))
+                               for c, i in zip(classify.CATEGORICAL, codes)])).alias("e")
+    return trends.count_by(model.transform(df).select(each).select("e.*"), "input", "value", "index")
+
+
+def q_address_hashed(spark, sf):
+    df = raw(spark, sf).select("location").filter("location is not null")
+    arr = vector_to_array(F.col("code"))
+    out = classify.hasher("location", "code").transform(df).select(
+        "location", F.array_position(arr, F.lit(1.0)).alias("slot"), F.size(arr).alias("width"),
+        F.size(F.filter(arr, lambda x: x != 0)).alias("nonzero"))
+    return out.groupBy("location").agg(F.count(F.lit(1)).alias("count"), F.count_distinct("slot").alias("slots"),
+                                       F.max("width").alias("width"), F.max("nonzero").alias("nonzero"))
+
+
+def q_assemble_nine(spark, sf):
+    """The classifier's input vector of every row it keeps, read back slot by slot."""
+    from pyspark.ml import Pipeline
+    df = classify.typed_features(raw(spark, sf)).filter("location is not null")
+    indexed = [c for c in classify.CATEGORICAL if c != "location"]
+    stages = classify.build_pipeline(indexed, label_source="status_desc", hashed=["location"]).getStages()[:-1]
+    out = Pipeline(stages=stages).fit(df).transform(df)
+    owners = classify.slot_owners(out.schema, classify.FEATURES)
+    arr = F.col("slots")
+    block = lambda c: F.slice(arr, owners.index(c) + 1, owners.count(c))
+    return out.select("dr_no", vector_to_array("features").alias("slots")).select(
+        "dr_no", F.size(arr).alias("width"),
+        *[F.element_at(arr, owners.index(c) + 1).alias(f"f_{c}") for c in classify.FEATURES if not c.endswith("_encoded")],
+        *[(F.array_position(block(f"{c}_encoded"), F.lit(1.0)).cast("int") - 1).alias(f"hot_{c}")
+          for c in indexed if f"{c}_encoded" in owners],
+        F.size(F.filter(block("location_encoded"), lambda x: x != 0)).alias("nonzero_location"))
+
+
+def _baseline(spark, sf):
+    train, test = classify.key_split(raw(spark, sf).select("dr_no", "premis_desc", "status_desc"),
+                                     classify.row_key("dr_no"), TRAIN_PERCENT)
+    return classify.baseline(train, test, "premis_desc")
+
+
+def q_baseline_accuracy(spark, sf):
+    return classify.accuracy(_baseline(spark, sf))
+
+
+def q_baseline_confusion(spark, sf):
+    return classify.confusion(_baseline(spark, sf))
+
+
 # --- random forest ---------------------------------------------------------------------------
 def forest(spark, sf):
-    """Fit once per session and scale (the four forest queries share it)."""
+    """Fit once per session and scale (the forest queries share it)."""
     def build():
-        return train_classifier(raw(spark, sf), F.col("dr_no").try_cast("long"), TRAIN_PERCENT)
+        return train_classifier(raw(spark, sf), classify.row_key("dr_no"), TRAIN_PERCENT)
     return _memo("forest", spark, sf, build)
 
 
+def q_rf_scored_keys(spark, sf):
+    return forest(spark, sf).scored.select("dr_no", F.col("label").cast("int").alias("label"), "vict_age",
+                                           *classify.CATEGORICAL, "status_desc")
+
+
 def q_rf_predict(spark, sf):
     return forest(spark, sf).predictions()
 
@@ -405,9 +469,9 @@ def q_rf_importance(spark, sf):
 
 
 def forest_onehot(spark, sf):
-    """The reference's exact form: the address one-hot encoded (refused above the cardinality cap)."""
+    """The reference's exact form: the address one-hot encoded."""
     def build():
-        return train_classifier(raw(spark, sf), F.col("dr_no").try_cast("long"), TRAIN_PERCENT,
+        return train_classifier(raw(spark, sf), classify.row_key("dr_no"), TRAIN_PERCENT,
                                 location_encoding="onehot")
     return _memo("forest-onehot", spark, sf, build)
 
@@ -465,6 +529,7 @@ QUERIES: dict[str, Query] = {
     "basket_build": q_basket_build,
     "incident_itemsets": q_incident_itemsets,
     "incident_rules": q_incident_rules,
+    "incident_rule_predict": q_incident_rule_predict,
     "freq_itemsets": q_freq_itemsets,
     "assoc_rules": q_assoc_rules,
     "rule_predict": q_rule_predict,
@@ -474,6 +539,12 @@ QUERIES: dict[str, Query] = {
     "one_hot": q_one_hot,
     "assemble": q_assemble,
     "assemble_skipped": q_assemble_skipped,
+    "index_five": q_index_five,
+    "address_hashed": q_address_hashed,
+    "assemble_nine": q_assemble_nine,
+    "baseline_accuracy": q_baseline_accuracy,
+    "baseline_confusion": q_baseline_confusion,
+    "rf_scored_keys": q_rf_scored_keys,
     "rf_predict": q_rf_predict,
     "rf_accuracy": q_rf_accuracy,
     "confusion": q_confusion,

@@ -61,9 +61,3 @@ BASKET_COLUMNS = ["area_name", "crm_cd_desc", "premis_desc", "weapon_desc", "vic
 def normalize_names(df: DataFrame) -> DataFrame:
     """Rename every column by :func:`snake` in one projection."""
     return df.toDF(*[snake(c) for c in df.columns])
-
-
-def assert_columns(df: DataFrame, expected: list[str]) -> None:
-    missing = [c for c in expected if c not in df.columns]
-    if missing:
-        raise ValueError(f"missing columns {missing}; have {df.columns}")

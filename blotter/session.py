@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
@@ -61,6 +61,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again: computed once, and a cut of its lineage."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _local_folder(spark: SparkSession) -> str:
     """A temp folder for a local session; on a cluster the executors would each see their own."""
     master = spark.sparkContext.master
@@ -69,14 +76,6 @@ def _local_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="blotter-ckpt-")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Make ``DataFrame.checkpoint()`` usable: the session's folder, or a temp one in tests."""
-    if spark.sparkContext.getCheckpointDir():
-        return
-    base = spark.conf.get("spark.checkpoint.dir", None) or _local_folder(spark)
-    spark.sparkContext.setCheckpointDir(base)
-
-
 def cluster_conf(input_bytes: int, total_cores: int, split_mb: int = 512,
                  bytes_per_shuffle_partition: int = 2 * 1024 ** 3,
                  max_shuffle_partitions: int = 50_000) -> dict[str, str]:

@@ -57,9 +57,3 @@ def write_raw_layer(raw: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
-
-
-def year_range_filter(df: DataFrame, start_year: int, end_year_exclusive: int) -> DataFrame:
-    """Partition-pruning filter on the layer's year folders."""
-    return df.filter((F.col(PARTITION_COLUMN) >= start_year)
-                     & (F.col(PARTITION_COLUMN) < end_year_exclusive))

@@ -9,7 +9,8 @@ invalid dates are injected by fixed rules so every cleaning rule has work.
 Column mapping (raw name <- stand-in):
 
 =================  ==========================================================
-DR_NO              l_orderkey * 10 + l_linenumber
+DR_NO              l_orderkey * 10 + l_linenumber; NULL when p_size = 47 and line 7,
+                   a text number ``T...`` when p_size = 46 and line 7
 Date Rptd          l_shipdate as ``MM/dd/yyyy hh:mm:ss a``
 Date OCC           o_orderdate, same text; ``13/45/2000 ...`` when p_size = 49
                    and line 7
@@ -22,10 +23,15 @@ Vict Descent       one of the 19 descent codes or ``-`` by c_custkey % 20;
                    NULL / ``null`` on some lines
 Premis Desc        p_type; ``null`` / NULL on some P lines
 Weapon Desc        upper(p_brand); ``null`` / NULL on some P lines
-Status Desc        l_returnflag as a status text
+Status / Desc      by pattern and age; l_returnflag on a fifth of the rows
 LOCATION           c_name (high cardinality)
 LAT / LON          decimal text from c_custkey
 =================  ==========================================================
+
+Columns depend on one another through a pattern, (l_orderkey + l_partkey) % 10:
+four in ten incidents are gear crimes with BRAND#11 on an ECONOMY premise and
+descent ``H``, three in ten are rod crimes with BRAND#22 on a MEDIUM premise,
+the rest follow the part.  So rules and a status classifier have something to find.
 """
 
 from __future__ import annotations
@@ -70,11 +76,21 @@ def raw_incidents(spark: SparkSession, sf_dir: str, normalize: bool = True) -> D
     st = F.col("o_orderstatus")
     p_line = lambda k: (st == "P") & (ln == k)
     null = F.lit(None).cast("string")
-    weapon = F.when(p_line(2), "null").when(p_line(1), null).otherwise(F.upper("p_brand"))
+    pattern = (F.col("l_orderkey") + F.col("l_partkey")) % 10
+    first, second = pattern < 4, (pattern >= 4) & (pattern < 7)
+    patterned = lambda a, b, c: F.when(first, a).when(second, b).otherwise(c)
+    brand = patterned(F.lit("BRAND#11"), F.lit("BRAND#22"), F.upper("p_brand"))
+    weapon = F.when(p_line(2), "null").when(p_line(1), null).otherwise(brand)
+    kind = F.upper(F.split("p_name", " ")[0])
+    age = (F.col("l_orderkey") + ln) % 60 - 3
+    number = _s(F.col("l_orderkey") * 10 + ln)
+    status = (F.when(F.col("l_suppkey") % 5 == 0, F.col("l_returnflag")).when(first, "A").when(second, "R")
+               .otherwise(F.when(age >= 30, "N").otherwise("R")))
     code_of = lambda k: _s(F.col("l_partkey") % 97 + k)
 
     cols = {
-        "DR_NO": _s(F.col("l_orderkey") * 10 + ln),
+        "DR_NO": F.when((F.col("p_size") == 47) & (ln == 7), null)
+                  .when((F.col("p_size") == 46) & (ln == 7), F.concat(F.lit("T"), number)).otherwise(number),
         "Date Rptd": F.date_format("l_shipdate", RAW_TEXT_FORMAT),
         "Date OCC": F.when((F.col("p_size") == 49) & (ln == 7), F.lit("13/45/2000 12:00:00 AM"))
                      .otherwise(F.date_format("o_orderdate", RAW_TEXT_FORMAT)),
@@ -84,23 +100,25 @@ def raw_incidents(spark: SparkSession, sf_dir: str, normalize: bool = True) -> D
         "Rpt Dist No": _s(F.col("c_nationkey") * 100 + F.col("n_regionkey") * 10 + ln),
         "Part 1-2": F.when(F.col("l_linestatus") == "F", "1").otherwise("2"),
         "Crm Cd": code_of(100),
-        "Crm Cd Desc": F.upper("p_name"),
+        "Crm Cd Desc": patterned(F.concat(kind, F.lit(" GEAR")), F.concat(kind, F.lit(" ROD")), F.upper("p_name")),
         "Mocodes": _s(F.col("l_suppkey")),
         "Vict Age": F.when(F.col("p_size") == 50, F.lit("X"))
-                     .otherwise(_s((F.col("l_orderkey") + ln) % 60 - 3)),
+                     .otherwise(_s(age)),
         "Vict Sex": F.when(p_line(7), null).when(p_line(6), "H")
                      .when(st == "F", "F").when(st == "O", "M").otherwise("X"),
         "Vict Descent": F.when(p_line(5), null).when((st == "F") & (ln == 7), "null")
+                         .when(first, "H")
                          .otherwise(F.element_at(F.array(*[F.lit(x) for x in DESCENT_STANDIN_CODES]),
                                                  (F.col("c_custkey") % 20 + 1).cast("int"))),
         "Premis Cd": _s(F.col("p_size") + 500),
-        "Premis Desc": F.when(p_line(4), "null").when(p_line(3), null).otherwise(F.col("p_type")),
+        "Premis Desc": F.when(p_line(4), "null").when(p_line(3), null)
+                        .otherwise(patterned(F.lit("ECONOMY"), F.lit("MEDIUM"), F.col("p_type"))),
         "Weapon Used Cd": F.when(p_line(1), null)
-                           .otherwise(_s(F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") + 100)),
+                           .otherwise(_s(F.regexp_extract(brand, r"(\d+)", 1).cast("int") + 100)),
         "Weapon Desc": weapon,
-        "Status": F.col("l_returnflag"),
-        "Status Desc": F.when(F.col("l_returnflag") == "A", "Adult Arrest")
-                        .when(F.col("l_returnflag") == "R", "Invest Cont").otherwise("Adult Other"),
+        "Status": status,
+        "Status Desc": F.when(status == "A", "Adult Arrest").when(status == "R", "Invest Cont")
+                        .otherwise("Adult Other"),
         "Crm Cd 1": code_of(100),
         "Crm Cd 2": F.when(ln == 7, code_of(300)).otherwise(null),
         "Crm Cd 3": null,

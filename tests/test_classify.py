@@ -57,15 +57,46 @@ def test_slot_owners_by_width(spark):
     assert classify.slot_owners(df.schema, ["a", "a_b"]) == ["a", "a", "a_b"]
 
 
-def test_onehot_and_frequency_modes(spark, sf):
+def test_fold_slots():
+    got = classify.fold_slots([0.5, 0.25, 0.125, 0.125], ["a", "b", "b", "a"], ["b", "a", "c"])
+    assert got == [("b", 0.375), ("a", 0.625), ("c", 0.0)]
+
+
+def test_hasher_width_and_slots(spark):
+    from pyspark.ml.functions import vector_to_array
+    df = spark.createDataFrame([(f"street {i % 50}",) for i in range(200)] + [("",)], "location string")
+    arr = vector_to_array(F.col("v"))
+    out = classify.hasher("location", "v", 16).transform(df).select("location", arr.alias("a")).collect()
+    assert all(len(r.a) == 16 and sum(r.a) == 1.0 for r in out)
+    assert len({(r.location, tuple(r.a)) for r in out}) == 51
+
+
+def test_baseline_ties_unseen_and_null(spark):
+    train = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("b", "y"), ("c", "x"), (None, "x"), ("d", None)],
+                                  "by string, s string")
+    test = spark.createDataFrame([("a", "x"), ("b", "x"), ("new", "y"), (None, "x"), ("c", "x"), ("c", "z"), ("d", "x")],
+                                 "by string, s string")
+    got = {r.by: (r.label, r.prediction) for r in classify.baseline(train, test, "by", "s").collect()}
+    # y is the more frequent label (index 0): it wins the tie of a, and the values never seen
+    assert got == {"a": (1.0, 0.0), "b": (1.0, 0.0), "new": (0.0, 0.0), "c": (1.0, 1.0), "d": (1.0, 0.0)}
+
+
+def test_address_forms(spark, sf):
     from blotter.plans.classification import train_classifier
     from blotter.plans.queries import raw
     r = raw(spark, sf)
-    key = F.col("dr_no").try_cast("long")
-    for mode, feature in (("onehot", "location_encoded"), ("frequency", "location_freq")):
+    key = classify.row_key("dr_no")
+    for mode, feature in (("hashed", "location_encoded"), ("onehot", "location_encoded"), ("frequency", "location_freq")):
         c = train_classifier(r, key, num_trees=3, location_encoding=mode)
         acc = c.accuracy().first()
         assert acc.scored > 0
+        conf = {(x.label, x.prediction): x["count"] for x in c.confusion().collect()}
+        recount = c.scored.select("label", "prediction").collect()
+        assert acc.correct == sum(x.label == x.prediction for x in recount) == sum(n for (a, b), n in conf.items() if a == b)
+        largest = max(sum(n for (a, _), n in conf.items() if a == k) for k in {a for a, _ in conf})
+        assert acc.accuracy > largest / acc.scored + 0.1     # clearly better than one class for all
+        lost = c.skipped().first()
+        assert lost.rows == lost.skipped + lost.unseen + lost.scored and lost.unseen >= 0
         imp = dict(c.importances())
         assert feature in imp and abs(sum(imp.values()) - 1) < 1e-9
         assert c.predictions().count() == acc.scored

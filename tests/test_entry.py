@@ -55,3 +55,4 @@ def test_forest_queries_run(spark, sf):
     assert sum(r["count"] for r in conf) == acc.scored
     imp = q["rf_importance"](spark, sf).collect()
     assert len(imp) == 9 and abs(sum(r.importance for r in imp) - 1) < 1e-9
+    assert acc.accuracy > q["baseline_accuracy"](spark, sf).first().accuracy - 0.02

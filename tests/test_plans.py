@@ -59,21 +59,18 @@ def test_year_trend_reads_no_data_column(env):
     assert "ReadSchema: struct<>" in p
 
 
-def test_forest_reads_only_its_columns(env, spark):
-    from pyspark.sql import functions as F
-
+def test_forest_scores_once_and_reads_raw_once(env, spark):
+    from blotter.operators.classify import row_key
     from blotter.plans.classification import train_classifier
     raw, _, _ = env
-    c = train_classifier(raw, F.col("dr_no").try_cast("long"), num_trees=2)
-    p = plan(c.scored)
-    scans = [ln for ln in p.splitlines() if "FileScan parquet" in ln]
-    assert scans
-    for ln in scans:
-        schema = ln.split("ReadSchema: struct<", 1)[1]
-        # the raw layer has 28 text columns; scoring needs the key, five categories, the label, five codes
-        assert schema.count(":string") <= 12
-        for unused in ("date_rptd", "mocodes", "cross_street", "crm_cd_3", "lat:"):
-            assert unused not in schema
+    raw_files = set(raw.inputFiles())
+    c = train_classifier(raw, row_key("dr_no"), num_trees=2)
+    for out in (c.scored, c.test, c.accuracy(), c.confusion(), c.predictions(), c.skipped()):
+        assert not raw_files & set(out.inputFiles())         # every output reads the written tables
+    for out in (c.accuracy(), c.confusion(), c.predictions()):
+        assert plan(out).count("FileScan parquet") == 1      # one scan of the scored rows, no model in it
+    for unused in ("date_rptd", "mocodes", "cross_street", "crm_cd_3", "lat"):
+        assert unused not in c.test.columns
 
 
 def test_value_counts_one_scan(env):
