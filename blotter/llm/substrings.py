@@ -291,7 +291,11 @@ def _answers(window: int):
         h, low, size = np.concatenate(hashes), np.concatenate(least), np.concatenate(lens).astype(np.int64)
         data = np.concatenate(read("data", np.uint8))
         upto = np.concatenate(([0], np.cumsum(size)))
-        content = range_hash(running(data), upto[:-1], upto[1:])
+        content, i = np.empty(len(h), dtype=U64), 0
+        while i < len(h):                              # a few segments at a time: the sums take eight bytes a byte
+            j = max(i + 1, int(np.searchsorted(upto, upto[i] + SORT, side="right")) - 1)
+            content[i:j] = range_hash(running(data[upto[i]:upto[j]]), upto[i:j] - upto[i], upto[i + 1:j + 1] - upto[i])
+            i = j
         order = np.lexsort((low, content, h))
         new = np.concatenate(([True], (h[order][1:] != h[order][:-1]) | (content[order][1:] != content[order][:-1]))) if len(h) else np.zeros(0, dtype=bool)
         pick = order[new]
@@ -300,7 +304,8 @@ def _answers(window: int):
         # one suffix array for whole anchors, up to SORT bytes together
         anchor = np.flatnonzero(np.concatenate(([True], h[pick][1:] != h[pick][:-1]))) if len(pick) else np.zeros(0, dtype=np.int64)
         ends = np.concatenate(([0], np.cumsum(size[pick])))
-        found, i = [], 0
+        none = np.zeros(0, dtype=np.int64)
+        values, lengths, counts, i = [none], [none], [none], 0
         while i < len(pick):
             nxt = anchor[np.searchsorted(ends[anchor], ends[i] + SORT, side="right") - 1] if len(anchor) else len(pick)
             j = len(pick) if ends[-1] - ends[i] <= SORT else int(nxt)
@@ -309,14 +314,14 @@ def _answers(window: int):
                 j = int(anchor[after]) if after < len(anchor) else len(pick)
             part = pick[i:j]
             take = np.repeat(upto[part] - (ends[i:j] - ends[i]), size[part]) + np.arange(ends[j] - ends[i])
-            found.append(equal_windows(size[part], data[take], low[part], window))
+            value = equal_windows(size[part], data[take], low[part], window)
+            seg = np.repeat(np.arange(len(part)), size[part] - window + 1)
+            first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (seg[1:] != seg[:-1])))) if len(value) else none
+            values.append(value[first])
+            lengths.append(np.diff(np.append(first, len(value))))
+            counts.append(np.bincount(seg[first], minlength=len(part)))
             i = j
-        value = np.concatenate(found) if found else np.zeros(0, dtype=np.int64)
-        n_windows = size[pick] - window + 1
-        seg = np.repeat(np.arange(len(pick)), n_windows)
-        first = np.flatnonzero(np.concatenate(([True], (value[1:] != value[:-1]) | (seg[1:] != seg[:-1])))) if len(value) else np.zeros(0, dtype=np.int64)
-        run_value, run_len = value[first], np.diff(np.append(first, len(value)))
-        runs = np.bincount(seg[first], minlength=len(pick))
+        run_value, run_len, runs = np.concatenate(values), np.concatenate(lengths), np.concatenate(counts)
         run_at = np.concatenate(([0], np.cumsum(runs)))
         cells: list[list[bytes]] = [[], [], []]
         at = 0
