@@ -194,49 +194,78 @@ def _sorted_pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 # --- near-duplicate classes --------------------------------------------------
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, band, key): the hash of each band of the signature."""
+    """(text_key, size, key): the hash of each band of the signature, and the number of different shingles."""
     from blotter.llm.textbytes import mix
     for batch in batches:
         for i in range(0, batch.num_rows, 512):
             part = batch.slice(i, 512)
-            sig = signatures([t.encode() for t in part.column(1).to_pylist()]).astype(np.uint64)
+            texts = [t.encode() for t in part.column(1).to_pylist()]
+            sig = signatures(texts).astype(np.uint64)
             keys = np.zeros((len(sig), BANDS), dtype=np.uint64)
             for b in range(BANDS):
                 h = np.full(len(sig), b + 1, dtype=np.uint64)
                 for r in range(ROWS):
                     h = mix(h * np.uint64(0x100000001B3) + sig[:, b * ROWS + r])
                 keys[:, b] = h
+            size = np.array([len(_shingle_set(t)) for t in texts], dtype=np.int64)
             who = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(keys.reshape(-1).view(np.int64))], ["text_key", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.repeat(size, BANDS)),
+                                              pa.array(keys.reshape(-1).view(np.int64))], ["text_key", "size", "key"])
 
 
-def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                           similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, class_id): the smallest id reachable over texts of at least this Jaccard similarity.
+def _shingle_set(text: bytes) -> np.ndarray:
+    return np.unique(shingle_hashes(np.array([0, len(text)]), np.frombuffer(text, dtype=np.uint8))[0])
 
-    Equal texts are one node.  Nodes that share a band are candidates; each different pair is verified once on
-    its shingle sets.
-    """
-    from blotter.llm.components import components
-    given = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    given = given.withColumn("text_key", F.xxhash64("text"))
-    texts = written(given.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "minhash-texts")
-    bands = written(texts.select("text_key", "text").mapInArrow(_band_rows, "text_key long, key long"), "minhash-bands")
-    pairs = bands.alias("x").join(bands.alias("y"), F.expr("x.key = y.key and x.text_key < y.text_key")) \
-                 .select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct()
-    x, y = texts.select(F.col("text_key").alias("u"), F.col("text").alias("a")), texts.select(F.col("text_key").alias("v"), F.col("text").alias("b"))
 
+def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of text keys whose shingle sets are as similar as that."""
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, two = (np.unique(shingle_hashes(np.array([0, len(t)]), np.frombuffer(t, dtype=np.uint8))[0]) for t in (a.encode(), b.encode()))
+                one, two = _shingle_set(a.encode()), _shingle_set(b.encode())
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(both >= similarity * (len(one) + len(two) - both) and both > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    edges = pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
-    roots = components(edges)
+    x = texts.select(F.col("text_key").alias("u"), F.col("text").alias("a"))
+    y = texts.select(F.col("text_key").alias("v"), F.col("text").alias("b"))
+    return pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+
+
+def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
+                           similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, class_id): the smallest id reachable over texts of at least this Jaccard similarity.
+
+    Equal texts are one node.  Nodes that share a band are candidates, in two steps that miss none of them: first
+    every node is verified against its band's least node, which makes one class of what belongs together in all but
+    rare cases; then the nodes of a band that are still in different classes (and whose sizes allow the similarity)
+    are verified against each other.  So a band of thousands of near copies costs as many pairs as it has members;
+    a pair inside one class could not change the classes.
+    """
+    from blotter.llm.components import components
+    given = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
+    given = given.withColumn("text_key", F.xxhash64("text"))
+    texts = written(given.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "minhash-texts")
+    bands = texts.select("text_key", "text").mapInArrow(_band_rows, "text_key long, size long, key long")
+    bands = written(bands.filter("size > 0"), "minhash-bands")
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
+    # the least node of each band, beside its size; a band of one has no pair
+    least = bands.groupBy("key").agg(F.min(F.struct("text_key", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    stars = bands.join(least, "key").filter((F.col("text_key") != F.col("least.text_key")) & fits(F.col("size"), F.col("least.size")))
+    stars = stars.select(F.col("least.text_key").alias("u"), F.col("text_key").alias("v")).distinct()
+    first = written(_verified(stars, texts, similarity), "minhash-stars")
+    roots = written(components(first), "minhash-roots")
+    # what shares a band and is in different classes still
+    named = bands.join(roots, bands["text_key"] == roots["node"], "left").select(
+        "key", "text_key", "size", F.coalesce("root", "text_key").alias("class"))
+    mixed = named.groupBy("key").agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").select("key")
+    named = written(named.join(mixed, "key"), "minhash-mixed")
+    x, y = named.alias("x"), named.alias("y")
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
+                    & (F.col("x.text_key") < F.col("y.text_key")) & fits(F.col("x.size"), F.col("y.size")))
+    across = across.select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
+    roots = components(first.unionByName(_verified(across, texts, similarity)))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return given.select("doc_id", "text_key").join(named.join(least, "root").select("text_key", "class_id"), "text_key").select("doc_id", "class_id")
+    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
+    return given.select("doc_id", "text_key").join(named.join(classes, "root").select("text_key", "class_id"), "text_key").select("doc_id", "class_id")

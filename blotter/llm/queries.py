@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.llm.common import table
+from blotter.llm.oracle import ORACLE_SQL  # noqa: F401  (registered beside the queries)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,4 +75,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_license_scan, op2_mix_sources, op3_pack, op4_nearest, op5_fingerprint, op6_toxicity,
                             op7_suffix_dedup, op8_quality, op9_shard, op10_simhash, pipeline)
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -109,6 +109,30 @@ def test_minhash_classes(documents):
     assert got == {5: 3, 3: 3, 9: 3, 1: 1, 2: 2, 4: 2}
 
 
+def test_minhash_classes_against_brute_force(documents):
+    """Chains and stars of near copies: a band's least node links few of its members, others link to one another."""
+    rng = np.random.default_rng(4)
+    texts = []
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for step in range(14):
+            texts.append(" ".join(words))
+            at = rng.integers(0, 120, 1 if family % 2 else 3)
+            words = list(words)
+            for a in at:
+                words[a] = f"f{family}x{step}_{a}"
+    sets = [{tuple(w[i:i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(sets[i] & sets[j])
+                if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                    root[i] = root[j] = min(root[i], root[j])
+    got = dict(minhash.near_duplicate_classes(documents([(i, t, "s") for i, t in enumerate(texts)])).collect())
+    assert got == dict(enumerate(root)) and 6 < len(set(root)) < len(texts)
+
+
 # --- op10 ----------------------------------------------------------------------
 def brute_fingerprint(text):
     w = (text or "").translate(LOWER).encode().split()
@@ -245,3 +269,20 @@ def test_classifiers_on_odd_input(spark, documents, odd):
     assert toxicity.toxicity(documents([]), labels).count() == 0 and quality.graded(documents([]), quality.ratings_of(labels)).count() == 0
     with pytest.raises(Exception):
         toxicity.toxicity(docs.drop("text"), labels).count()
+
+
+# --- SQL ----------------------------------------------------------------------
+@pytest.mark.parametrize("name", ["op1_license_scan", "op7_suffix_dedup"])
+def test_query_matches_its_sql(spark, sf, name):
+    import duckdb
+
+    from blotter.llm.oracle import ORACLE_SQL
+    from blotter.llm.queries import QUERIES
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    res = con.execute(ORACLE_SQL[name])
+    columns = [d[0] for d in res.description]
+    want = sorted(map(repr, res.fetchall()))
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(repr(tuple(r)) for r in got.select(*columns).collect()) == want
