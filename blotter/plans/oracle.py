@@ -1,8 +1,8 @@
 """Independent SQL (DuckDB dialect) for every SQL-expressible registered query.
 
 The stand-in incident table, the dictionaries and the cleaning rules are
-restated here in plain SQL; a query and its oracle share the test tables, the
-code dictionaries, the column lists and the thresholds.  Two-pass recoding is written as two sequential lookups (not as the
+restated here in plain SQL, codes included; a query and its oracle share the test
+tables, the column lists and the thresholds.  Two-pass recoding is written as two sequential lookups (not as the
 merged dictionary the library builds); frequent itemsets come from a
 ``GROUP BY CUBE`` (each basket holds one distinct item per column), rules
 from self-joins of the itemsets.
@@ -22,14 +22,24 @@ from blotter.plans.queries import (
 )
 from blotter.operators.classify import HASH_WIDTH
 from blotter.schema import BASKET_COLUMNS, DROPPED, RAW
-from blotter.sources.dims import DESCENT_CODES, SEX_CODES
-from blotter.sources.standin import PREMISE_PASS1, PREMISE_PASS2
 
 
-def _values(pairs) -> str:
-    def q(s):
-        return "'" + s.replace("'", "''") + "'"
-    return ", ".join(f"({q(k)}, {q(v)})" for k, v in pairs)
+# --- fixed values: the dictionaries, as SQL of their own ---------------------
+SEX_VALUES = "('F', 'Female'), ('M', 'Male'), ('X', 'Unknown')"
+
+DESCENT_VALUES = """
+    ('A', 'Other Asian'), ('B', 'Black'), ('C', 'Chinese'), ('D', 'Cambodian'), ('F', 'Filipino'),
+    ('G', 'Guamanian'), ('H', 'Hispanic/Latin'), ('I', 'American Indian/Alaskan Native'),
+    ('J', 'Japanese'), ('K', 'Korean'), ('L', 'Laotian'), ('O', 'Other'), ('P', 'Pacific Islander'),
+    ('S', 'Samoan'), ('U', 'Hawaiian'), ('V', 'Vietnamese'), ('W', 'White'), ('X', 'Unknown'),
+    ('Z', 'Asian Indian')"""
+
+PREMISE1_VALUES = """
+    ('ECONOMY', 'Commercial Area'), ('LARGE', 'Public Area'), ('MEDIUM', 'Residential Area'),
+    ('PROMO', 'Commercial Area'), ('PROMO', 'Commercial Area'), ('null', 'Unknown'),
+    ('Public Area', 'Public Area')"""
+
+PREMISE2_VALUES = "('SMALL', 'Residential Area'), ('ECONOMY', 'Recreational Area')"
 
 
 RAW_CTE = r"""
@@ -99,10 +109,10 @@ raw_incidents AS (
 )"""
 
 DIM_CTE = f"""
-dim_sex(raw, target) AS (VALUES {_values(SEX_CODES.items())}),
-dim_descent(raw, target) AS (VALUES {_values(DESCENT_CODES.items())}),
-dim_premise1(raw, target) AS (SELECT DISTINCT raw, target FROM (VALUES {_values(PREMISE_PASS1)}) t(raw, target)),
-dim_premise2(raw, target) AS (VALUES {_values(PREMISE_PASS2)}),
+dim_sex(raw, target) AS (VALUES {SEX_VALUES}),
+dim_descent(raw, target) AS (VALUES {DESCENT_VALUES}),
+dim_premise1(raw, target) AS (SELECT DISTINCT raw, target FROM (VALUES {PREMISE1_VALUES}) t(raw, target)),
+dim_premise2(raw, target) AS (VALUES {PREMISE2_VALUES}),
 dim_crime AS (
   SELECT DISTINCT upper(p_name) AS raw,
          upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lower(substr(split_part(p_name, ' ', 2), 2)) AS target
@@ -332,12 +342,12 @@ def oracle_sql() -> dict[str, str]:
         "coalesce(p2.target, coalesce(p1.target, r.premis_desc))")
     q["recode_weapon"] = _recode("weapon_desc", "LEFT JOIN dim_weapon d ON r.weapon_desc = d.raw",
                                  "coalesce(d.target, r.weapon_desc)")
-    premise_all = (f"SELECT raw, target FROM (VALUES {_values(PREMISE_PASS1)}) t(raw, target)")
+    premise_all = (f"SELECT raw, target FROM (VALUES {PREMISE1_VALUES}) t(raw, target)")
     q["recode_dim_profile"] = f"""WITH dim_all(domain, raw, target) AS (
-        SELECT 'sex', * FROM (VALUES {_values(SEX_CODES.items())}) t(raw, target)
-        UNION ALL SELECT 'descent', * FROM (VALUES {_values(DESCENT_CODES.items())}) t(raw, target)
+        SELECT 'sex', * FROM (VALUES {SEX_VALUES}) t(raw, target)
+        UNION ALL SELECT 'descent', * FROM (VALUES {DESCENT_VALUES}) t(raw, target)
         UNION ALL SELECT 'premise', * FROM ({premise_all})
-        UNION ALL SELECT 'premise_pass2', * FROM (VALUES {_values(PREMISE_PASS2)}) t(raw, target)
+        UNION ALL SELECT 'premise_pass2', * FROM (VALUES {PREMISE2_VALUES}) t(raw, target)
         UNION ALL SELECT 'weapon', 'null', 'Unknown'
         UNION ALL SELECT 'crime', upper(p_name),
                upper(substr(split_part(p_name, ' ', 2), 1, 1)) || lower(substr(split_part(p_name, ' ', 2), 2))

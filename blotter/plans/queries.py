@@ -305,14 +305,22 @@ def event_baskets(spark, sf) -> DataFrame:
 
 
 _MODELS: dict = {}
+MODEL_TABLES = ["customer", "events", "lineitem", "nation", "orders", "part"]
+
+
+def _state(spark: SparkSession, sf: str) -> tuple:
+    """Count and hash of the names, sizes and times of the files that the models are fitted on (contents unread)."""
+    paths = [f"{sf.rstrip('/')}/{name}.parquet" for name in MODEL_TABLES]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    return tuple(files.agg(F.count(F.lit(1)), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)"))).first())
 
 
 def _memo(kind: str, spark: SparkSession, sf: str, build):
-    """One fitted model per (kind, session, scale): models are small driver-side objects."""
-    key = (kind, spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        _MODELS[key] = build()
-    return _MODELS[key]
+    """One fitted model per (kind, session, folder), fitted anew when the folder's files have changed."""
+    key, state = (kind, spark.sparkContext.applicationId, sf), _state(spark, sf)
+    if key not in _MODELS or _MODELS[key][0] != state:
+        _MODELS[key] = (state, build())
+    return _MODELS[key][1]
 
 
 def event_rule_model(spark, sf):

@@ -56,3 +56,18 @@ def test_forest_queries_run(spark, sf):
     imp = q["rf_importance"](spark, sf).collect()
     assert len(imp) == 9 and abs(sum(r.importance for r in imp) - 1) < 1e-9
     assert acc.accuracy > q["baseline_accuracy"](spark, sf).first().accuracy - 0.02
+
+
+def test_changed_files_are_fitted_anew(spark, sf, tmp_path):
+    import os
+    import shutil
+
+    from blotter.plans import queries
+    for name in queries.MODEL_TABLES:
+        shutil.copy(f"{sf}/{name}.parquet", tmp_path)
+    built = []
+    get = lambda: queries._memo("state-test", spark, str(tmp_path), lambda: built.append(1) or len(built))
+    assert (get(), get()) == (1, 1)
+    path = tmp_path / "orders.parquet"
+    os.utime(path, (path.stat().st_atime, path.stat().st_mtime + 60))
+    assert (get(), get()) == (2, 2)
