@@ -15,6 +15,10 @@ are anchors, short segments and answers.
 3. The windows of a repeated anchor stand next to one another: they are one
    segment of less than two windows.  Different segments go to the anchor's
    shard, each once per pack, with the smallest id that holds it.
+   The packs also tell how many different segments each anchor has: where they
+   may be more than SORT bytes together (the edge of a frequent passage has
+   another segment in each surroundings), the anchor's windows go singly, by
+   their contents, which equal windows share.  Each is then one entry per pack.
 4. A shard joins its different segments to one string, sorts its suffixes by
    induced sorting, and gets the places where neighbours in the array share
    WINDOW bytes in permuted order.  Windows between such neighbours are equal;
@@ -162,12 +166,15 @@ def _by_shard(shard: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(shard[first].tolist(), first.tolist(), [*first[1:].tolist(), len(shard)])
 
 
-def _told(shards: int):
-    """Packs -> (shard, pack, hashes): each different anchor once, its lowest bit set if two ids of the pack hold it."""
+def _told(shards: int, window: int):
+    """Packs -> (shard, pack, hashes, many, more): each different anchor once, its lowest bit set if two ids of the pack
+    hold it; the anchors of more than one different segment, and how many more."""
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in _rows(batches):
             pack = Pack(row)
-            h = pack.hashes(pack.sums())
+            sums = pack.sums()
+            h = pack.hashes(sums)
+            many, more = _different(pack, sums, h, window)
             order = np.lexsort((pack.ids[pack.doc], h))
             h, who = h[order], pack.ids[pack.doc][order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, dtype=np.int64)
@@ -177,29 +184,59 @@ def _told(shards: int):
             order = np.argsort(shard, kind="stable")
             mark, shard = mark[order], shard[order]
             cuts = list(_by_shard(shard))
+            to = _shard(many, shards)
+            order = np.argsort(to, kind="stable")
+            many, more, to = many[order], more[order], to[order]
+            at = [slice(*np.searchsorted(to, [c[0], c[0] + 1])) for c in cuts]
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([pack.number] * len(cuts), pa.int64()),
-                                              pa.array([mark[a:b].tobytes() for _, a, b in cuts], pa.binary())], ["shard", "pack", "hashes"])
+                                              pa.array([mark[a:b].tobytes() for _, a, b in cuts], pa.binary()),
+                                              *(pa.array([x[k].tobytes() for k in at], pa.binary()) for x in (many, more))],
+                                             ["shard", "pack", "hashes", "many", "more"])
     return make
 
 
+def _different(pack: Pack, sums: np.ndarray, h: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors of a pack that have more than one different segment, how many more)."""
+    from blotter.llm.textbytes import range_hash
+    ordered = np.sort(h)
+    again = np.flatnonzero(_in(h, np.unique(ordered[1:][ordered[1:] == ordered[:-1]])))
+    h, content = h[again], range_hash(sums, pack.first[again], pack.first[again] + pack.windows[again] + window - 1)
+    order = np.lexsort((content, h))
+    h, content = h[order], content[order]
+    many, more = np.unique(h[1:][(h[1:] == h[:-1]) & (content[1:] != content[:-1])], return_counts=True)
+    return many, more.astype(np.int32)
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def _repeated(group: pa.Table) -> pa.Table:
-    """A shard's anchors -> (pack, shard, hashes): those of each pack that more than one id holds."""
-    packs, blobs = group.column("pack").to_pylist(), group.column("hashes").to_pylist()
-    all_ = np.concatenate([np.frombuffer(b, dtype=U64) for b in blobs])
-    bare = np.sort(all_ & U64(0xFFFFFFFFFFFFFFFE))
-    twice = np.union1d(bare[1:][bare[1:] == bare[:-1]], all_[(all_ & U64(1)) == 1] & U64(0xFFFFFFFFFFFFFFFE))
-    out = []
-    for b in blobs:
-        h = np.frombuffer(b, dtype=U64) & U64(0xFFFFFFFFFFFFFFFE)
-        out.append(h[_in(h, twice)].tobytes())
-    shard = group.column("shard")[0].as_py()
-    return pa.table([pa.array(packs, pa.int64()), pa.array([shard] * len(packs), pa.int64()), pa.array(out, pa.binary())], names=["pack", "shard", "hashes"])
+def _repeated(window: int):
+    """A shard's anchors -> (pack, shard, hashes): those of each pack that more than one id holds, the lowest bit set if
+    the anchor's different segments may be more than SORT bytes."""
+    def repeated(group: pa.Table) -> pa.Table:
+        packs, blobs = group.column("pack").to_pylist(), group.column("hashes").to_pylist()
+        all_ = np.concatenate([np.frombuffer(b, dtype=U64) for b in blobs])
+        bare = np.sort(all_ & U64(0xFFFFFFFFFFFFFFFE))
+        again = bare[1:][bare[1:] == bare[:-1]]
+        twice = np.union1d(again, all_[(all_ & U64(1)) == 1] & U64(0xFFFFFFFFFFFFFFFE))
+        del all_, bare
+        # different segments beyond the first: one for each further pack, and what the packs tell
+        many, more = (np.concatenate([np.frombuffer(b, dtype=kind) for b in group.column(k).to_pylist()]) for k, kind in (("many", U64), ("more", np.int32)))
+        which, counts = np.unique(again, return_counts=True)
+        which, place = np.unique(np.concatenate((which, many)), return_inverse=True)
+        segments = 1 + np.bincount(place, np.concatenate((counts, more)), len(which))
+        heavy = which[segments * (2 * window - GRAM) > SORT]
+        out = []
+        for b in blobs:
+            h = np.frombuffer(b, dtype=U64) & U64(0xFFFFFFFFFFFFFFFE)
+            h = h[_in(h, twice)]
+            out.append((h | _in(h, heavy).astype(U64)).tobytes())
+        shard = group.column("shard")[0].as_py()
+        return pa.table([pa.array(packs, pa.int64()), pa.array([shard] * len(packs), pa.int64()), pa.array(out, pa.binary())], names=["pack", "shard", "hashes"])
+    return repeated
 
 
 def _in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -211,16 +248,28 @@ def _in(x: np.ndarray, among: np.ndarray) -> np.ndarray:
 
 
 class Segments:
-    """The different segments of a pack's repeated anchors, in the order of (shard, anchor, content)."""
+    """The different segments of a pack's repeated anchors, in the order of (shard, anchor, content).
+
+    A heavy anchor's windows are a segment each, and each content is an anchor of its own.
+    """
 
     def __init__(self, row: dict, shards: int, window: int):
-        from blotter.llm.textbytes import range_hash
+        from blotter.llm.textbytes import mix, range_hash
         pack = self.pack = Pack(row)
         sums = pack.sums()
         h = pack.hashes(sums)
-        told = [np.frombuffer(x["hashes"], dtype=U64) for x in row["repeated"] or []]
-        use = _in(h, np.sort(np.concatenate(told)) if told else np.zeros(0, dtype=U64))
+        told = np.sort(np.concatenate([np.zeros(0, dtype=U64), *(np.frombuffer(x["hashes"], dtype=U64) for x in row["repeated"] or [])]))
+        use = _in(h, told & U64(0xFFFFFFFFFFFFFFFE))
         h, self.doc, self.first, self.windows = h[use], pack.doc[use], pack.first[use], pack.windows[use]
+        heavy = _in(h | U64(1), told)
+        if heavy.any():
+            times = np.where(heavy, self.windows, 1)
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            h, heavy, self.doc, self.first, self.windows = (np.repeat(x, times) for x in (h, heavy, self.doc, self.first, self.windows))
+            self.first = self.first + nth
+            self.windows = np.where(heavy, 1, self.windows)
+            at = self.first[heavy]
+            h[heavy] = mix(h[heavy] ^ range_hash(sums, at, at + window))
         self.end = self.first + self.windows + window - 1
         content = range_hash(sums, self.first, self.end)
         shard = _shard(h, shards)
@@ -242,11 +291,9 @@ def _sent(shards: int, window: int):
             s = Segments(row, shards, window)
             lens = s.to - s.from_
             upto = np.concatenate(([0], np.cumsum(lens)))
-            take = np.repeat(s.from_ - upto[:-1], lens) + np.arange(upto[-1])
-            data = s.pack.data[take]
             cuts = list(_by_shard(s.shard))
             cells = [[x[a:b].tobytes() for _, a, b in cuts] for x in (s.hash, s.least, lens.astype(np.int16))]
-            cells.append([data[upto[a]:upto[b]].tobytes() for _, a, b in cuts])
+            cells.append([s.pack.data[np.repeat(s.from_[a:b] - upto[a:b], lens[a:b]) + np.arange(upto[a], upto[b])].tobytes() for _, a, b in cuts])
             yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([s.pack.number] * len(cuts), pa.int64()),
                                               *(pa.array(c, pa.binary()) for c in cells)], ["shard", "pack", "hashes", "least", "lens", "data"])
     return make
@@ -309,7 +356,7 @@ def _answers(window: int):
         while i < len(pick):
             nxt = anchor[np.searchsorted(ends[anchor], ends[i] + SORT, side="right") - 1] if len(anchor) else len(pick)
             j = len(pick) if ends[-1] - ends[i] <= SORT else int(nxt)
-            if j <= i:  # one anchor with more
+            if j <= i:  # one anchor with more: only if a single window is
                 after = np.searchsorted(anchor, i, side="right")
                 j = int(anchor[after]) if after < len(anchor) else len(pick)
             part = pick[i:j]
@@ -390,8 +437,8 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     try:
         copies = written(_copies(packs), "packs-copies")
         known = packs.join(copies.hint("shuffle_hash"), "pack", "left")
-        told = known.mapInArrow(_told(shards), "shard long, pack long, hashes binary")
-        repeated = told.groupBy("shard").applyInArrow(_repeated, "pack long, shard long, hashes binary").filter("length(hashes) > 0")
+        told = known.mapInArrow(_told(shards, window), "shard long, pack long, hashes binary, many binary, more binary")
+        repeated = told.groupBy("shard").applyInArrow(_repeated(window), "pack long, shard long, hashes binary").filter("length(hashes) > 0")
         repeated = written(repeated.groupBy("pack").agg(F.collect_list(F.struct("shard", "hashes")).alias("repeated")), "packs-repeated")
         known = known.join(repeated.hint("shuffle_hash"), "pack", "left")
         sent = known.mapInArrow(_sent(shards, window), "shard long, pack long, hashes binary, least binary, lens binary, data binary")

@@ -232,6 +232,42 @@ def test_repeats_against_brute_force(documents, odd, monkeypatch):
     assert substrings.remove_repeats(documents([])).count() == 0
 
 
+def test_one_passage_in_many_contexts(documents, monkeypatch, tmp_path):
+    """Its edges have one anchor and another segment in every document: no array and no group holds them all."""
+    rng = np.random.default_rng(12)
+    make = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage, rows = make(90), []
+    for i in range(600):
+        before, after = make(40), make(40)
+        rows.append((i, before + passage + after, "s"))
+    for i in range(600, 660):  # the passage with some of an earlier document's surroundings: windows over its edges repeat
+        old = rows[i - 600][1]
+        rows.append((i, make(9) + old[30 - i % 20:140 + i % 20] + make(9), "s"))
+    whole, answers, most = substrings.equal_windows, substrings._answers, 3000
+
+    def bounded(lens, data, least, window=50):
+        assert lens.sum() <= most
+        return whole(lens, data, least, window)
+
+    def measured(window, at=str(tmp_path)):
+        answer = answers(window)
+
+        def one(group):
+            size = sum(map(len, group.column("data").to_pylist()))
+            with open(f"{at}/{group.column('shard')[0]}", "w") as f:
+                f.write(str(size))
+            return answer(group)
+        return one
+
+    monkeypatch.setattr(substrings, "SORT", most)
+    monkeypatch.setattr(substrings, "equal_windows", bounded)
+    monkeypatch.setattr(substrings, "_answers", measured)
+    got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept"]) for r in rows_of(substrings.remove_repeats(documents(rows))))
+    assert got == Counter((*x[:4], hashlib.sha256(x[4]).hexdigest()) for x in brute_cut(rows).values())
+    groups = [int(f.read_text()) for f in tmp_path.iterdir()]
+    assert len(groups) == 8 and max(groups) <= 1.25 * np.mean(groups)
+
+
 def test_without_repeats(documents, odd):
     docs = documents(odd, clashing=True)
     out = substrings.without_repeats(docs)
