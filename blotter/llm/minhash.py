@@ -27,6 +27,7 @@ itself); null ids come first; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blotter.llm.common import written
+from blotter.session import shared_dir
 
 PERMUTATIONS, SHINGLE, SEED = 128, 5, 11
 BITS_KEPT = 8
@@ -156,13 +158,29 @@ def compare_each(texts: list[str], following: list[str]) -> dict[str, list]:
     return {k: [r[k][0] for r in rows] for k in rows[0]} if rows else compare([], [])
 
 
-def edited_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per document its fingerprint, the edited text's, and their likeness."""
-    spark = docs.sparkSession
+def edited_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: bool = False) -> DataFrame:
+    """Per document its fingerprint, the edited text's, and their likeness; with ``classes`` also its near-duplicate class_id."""
+    found = _edited(docs, id_column, text_column)
+    found = found.select("doc_id.*", *(c for c in found.columns if c != "doc_id"))
+    if classes:
+        found = found.join(text_classes(_keyed(docs, id_column, text_column)), "text_key")
+    return found.drop("text_key")
+
+
+def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, text, text_key)"""
     given = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    id_type = dict(given.dtypes)["doc_id"]
+    return given.withColumn("text_key", F.xxhash64("text"))
+
+
+def _edited(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """:func:`edited_table` with the struct (doc_id, text_key) as its doc_id."""
+    spark = docs.sparkSession
+    given = _keyed(docs, id_column, text_column).select(F.struct("doc_id", "text_key").alias("doc_id"), "text")
+    id_type = given.schema["doc_id"].dataType.simpleString()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = given.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    order = F.col("doc_id.doc_id").asc_nulls_first()
+    runs = given.repartitionByRange(n, order).sortWithinPartitions(order, "text")
     found = written(runs.withColumn("part", F.spark_partition_id()).mapInArrow(
         _sorted_pairs_of, f"doc_id {id_type}, part int, edge string, text string, {RESULT}"), "minhash-runs")
     main = found.filter("edge is null").drop("edge", "text", "part")
@@ -243,10 +261,26 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
     are verified against each other.  So a band of thousands of near copies costs as many pairs as it has members;
     a pair inside one class could not change the classes.
     """
+    given = _keyed(docs, id_column, text_column)
+    return given.select("doc_id", "text_key").join(text_classes(given, similarity), "text_key").select("doc_id", "class_id")
+
+
+def text_classes(given: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_key, class_id) of (doc_id, text, text_key), see :func:`near_duplicate_classes`. The different texts are a
+    bucketed table: the pairs come to it without moving it."""
+    spark = given.sparkSession
+    name = f"minhash_{uuid.uuid4().hex}"
+    texts = given.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
+    texts.write.option("path", shared_dir(spark, "minhash-texts")).option("compression", "zstd").bucketBy(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "text_key").saveAsTable(name)
+    try:
+        return written(_classes(spark.table(name), similarity), "minhash-classes")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _classes(texts: DataFrame, similarity: float) -> DataFrame:
     from blotter.llm.components import components
-    given = docs.select(docs[id_column].alias("doc_id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
-    given = given.withColumn("text_key", F.xxhash64("text"))
-    texts = written(given.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text")), "minhash-texts")
     bands = texts.select("text_key", "text").mapInArrow(_band_rows, "text_key long, size long, key long")
     bands = written(bands.filter("size > 0"), "minhash-bands")
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
@@ -268,4 +302,4 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
     roots = components(first.unionByName(_verified(across, texts, similarity)))
     named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
     classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return given.select("doc_id", "text_key").join(named.join(classes, "root").select("text_key", "class_id"), "text_key").select("doc_id", "class_id")
+    return named.join(classes, "root").select("text_key", "class_id")

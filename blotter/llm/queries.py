@@ -35,7 +35,7 @@ def op3_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blotter.llm.minhash import edited_table
-    return edited_table(table(spark, sf_dir, "documents"))
+    return edited_table(table(spark, sf_dir, "documents"), classes=True)
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

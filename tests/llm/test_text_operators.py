@@ -109,6 +109,23 @@ def test_minhash_classes(documents):
     assert got == {5: 3, 3: 3, 9: 3, 1: 1, 2: 2, 4: 2}
 
 
+def test_fingerprint_query_gives_classes(spark, documents, odd, tmp_path):
+    from blotter.llm.queries import op5_fingerprint
+    near = " ".join(f"w{i}" for i in range(100))
+    rows = [*odd, (20, near, "s"), (21, near + " more", "s"), (21, "other words in a row of the same id", "s"), (22, near, "s")]
+    documents(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = op5_fingerprint(spark, str(tmp_path))
+    assert out.columns[-1] == "class_id" and "text_key" not in out.columns
+    got = rows_of(out)
+    plain = minhash.edited_table(documents(rows))
+    key = lambda r: tuple(str(r[c]) for c in plain.columns)
+    assert sorted(map(key, got)) == sorted(map(key, rows_of(plain)))
+    want = minhash.near_duplicate_classes(documents(rows)).collect()
+    assert sorted(map(str, ((r["doc_id"], r["class_id"]) for r in got))) == sorted(str(tuple(r)) for r in want)
+    classes = {(r["doc_id"], r["n_chars"]): r["class_id"] for r in got}
+    assert classes[20, len(near)] == classes[21, len(near) + 5] == classes[22, len(near)] == 20 and classes[21, 35] == 21
+
+
 def test_minhash_classes_against_brute_force(documents):
     """Chains and stars of near copies: a band's least node links few of its members, others link to one another."""
     rng = np.random.default_rng(4)
