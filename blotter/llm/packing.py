@@ -1,14 +1,14 @@
 """Mixture-controlled packing of tokenised documents by deficit round-robin over source queues.
 
-Each source is a queue of whole documents.  In every round a queue's deficit
-grows by its quantum (its target share of a window), and it sends documents as
-long as its deficit covers them; what is left is carried to the next round.  A
-document whose queue has sent ``e`` tokens when it is through is therefore sent
-in round ``ceil(e / quantum)``: the rounds of all documents come from running
-sums alone, so deficits are carried across windows and partitions without any
-task seeing a whole queue.  In the order (round, source, place in the queue)
-the documents form one stream, which is cut every ``window`` tokens.  Over any
-run of windows a source's tokens differ from its share by about one document.
+Each source is a queue of documents, cut every quantum (its target share of a
+window).  In every round a queue sends its next quantum, so each round's pieces
+make one window: the piece that ends at token ``e`` of its queue is sent in
+round ``e / quantum``.  The rounds of all pieces come from running sums alone,
+so deficits are carried across windows and partitions without any task seeing
+a whole queue.  In the order (round, source, place in the queue) the pieces
+form one stream, which is cut every ``window`` tokens.  A quantum of under
+LEAST tokens is sent as several at once, every few rounds.  In every window a
+source's tokens differ from its share by a few tokens, or by LEAST.
 
 The stream's rest is cut at descending powers of two, so nothing is padded.
 
@@ -35,6 +35,7 @@ WINDOW, END = 2048, 1
 CHUNK = 4096     # documents of a queue summed in one task
 GROUP = 512      # rounds ordered in one task
 FAN = 4096       # groups summed in one task
+LEAST = 16       # tokens that a queue sends at once, at least
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -83,7 +84,8 @@ def _starts(sums: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float] | None = None, seed: int = 3) -> DataFrame:
-    """(row, at): where each document's tokens begin in the one stream. ``rows``: row, doc_id, source, tokens.
+    """(row, parts): where the parts of each document's tokens stand in the one stream, as structs (start, length, at).
+    ``rows``: row, doc_id, source, tokens.
 
     ``shares``: target share of the tokens by source (default: what each source has, so that all queues end together).
     """
@@ -106,11 +108,21 @@ def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float
     chunks = chunks.select("queue", "chunk", F.coalesce(F.sum("chunk_tokens").over(before(Window.partitionBy("queue").orderBy("chunk"))), F.lit(0)).alias("chunk_start"))
     own = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("queue", "chunk").orderBy("u", "row"))), F.lit(0))
     rows = rows.withColumn("own", own).join(chunks, ["queue", "chunk"]).withColumn("sent", F.col("chunk_start") + F.col("own"))
-    rows = rows.withColumn("round", F.ceil((F.col("sent") + F.col("tokens")) / F.col("quantum")))
-    rows = written(rows.select("row", "tokens", "queue", "sent", "round", F.expr(f"round div {GROUP}").alias("group")), "pack-rounds")
-    groups = _starts(rows.groupBy("group").agg(F.sum("tokens").alias("group_tokens")), "group", "group_tokens")
-    earlier = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("group").orderBy("round", "queue", "sent", "row"))), F.lit(0))
-    return rows.withColumn("earlier", earlier).join(groups, "group").select("row", (F.col("start") + F.col("earlier")).alias("at"))
+    # cut where the queue's numbered sendings end; those next to the first and last one absorb the rounding
+    every = F.ceil(F.lit(float(LEAST)) / F.col("quantum"))
+    rows = rows.withColumn("every", F.when(F.col("quantum") < LEAST, every).otherwise(F.lit(1)).cast("long"))
+    rows = rows.withColumn("step", F.col("quantum") * F.col("every"))
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.floor(F.col("sent") / F.col("step")), F.ceil((F.col("sent") + F.col("tokens")) / F.col("step")) + 1)))
+    bound = lambda nth: F.floor(nth * F.col("step"))
+    rows = rows.withColumn("from", F.greatest("sent", bound(F.col("nth") - 1))).withColumn("to", F.least(F.col("sent") + F.col("tokens"), bound(F.col("nth"))))
+    rows = rows.filter(F.col("to") > F.col("from")).withColumn("round", F.col("nth") * F.col("every"))
+    rows = written(rows.select("row", (F.col("from") - F.col("sent")).alias("start"), (F.col("to") - F.col("from")).alias("length"), "queue", F.col("from").alias("sent"),
+                               "round", F.expr(f"round div {GROUP}").alias("group")), "pack-rounds")
+    groups = _starts(rows.groupBy("group").agg(F.sum("length").alias("group_tokens")), "group", "group_tokens")
+    groups = groups.withColumnRenamed("start", "group_start")
+    earlier = F.coalesce(F.sum("length").over(before(Window.partitionBy("group").orderBy("round", "queue", "sent", "row"))), F.lit(0))
+    rows = rows.withColumn("earlier", earlier).join(groups, "group")
+    return rows.groupBy("row").agg(F.collect_list(F.struct("start", "length", (F.col("group_start") + F.col("earlier")).alias("at"))).alias("parts"))
 
 
 def tail_cuts(total: int, window: int) -> list[int]:
@@ -123,33 +135,45 @@ def tail_cuts(total: int, window: int) -> list[int]:
     return out
 
 
+def _stretches(parts: list[dict]) -> list[tuple[int, int, int]]:
+    """(from, to, place of the document's first token) in the stream; parts that follow one another in it are one."""
+    out: list[tuple[int, int, int]] = []
+    for p in sorted(parts, key=lambda p: p["start"]):
+        a, skip = p["at"], p["at"] - p["start"]
+        if out and out[-1][1] == a and out[-1][2] == skip:
+            out[-1] = (out[-1][0], a + p["length"], skip)
+        else:
+            out.append((a, a + p["length"], skip))
+    return out
+
+
 def pieces(rows: DataFrame, total: int, window: int = WINDOW) -> DataFrame:
-    """One row per piece of (doc_id, tokens, width, ids, at)."""
+    """One row per piece of (doc_id, tokens, width, ids, parts)."""
     full, tail = total // window, tail_cuts(total, window)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
         for batch in batches:
             out: dict[str, list] = {k: [] for k in ("doc", "start", "length", "crc", "tokens", "sequence", "offset")}
-            for i, (n, width, ids, at) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)))):
+            for i, (n, width, ids, parts) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3, 4)))):
                 ids = np.frombuffer(ids, dtype=f"<u{width}").astype("<u4")
-                a = at
-                while a < at + n:
-                    sequence = a // window
-                    first, last = sequence * window, (sequence + 1) * window
-                    if sequence >= full:  # in the rest
-                        k = next(k for k, x in enumerate(tail) if a < x)
-                        first, last, sequence = tail[k - 1] if k else full * window, tail[k], full + k
-                    b = min(last, at + n)
-                    for k, v in (("doc", i), ("start", a - at), ("length", b - a), ("crc", zlib.crc32(ids[a - at:b - at].tobytes())),
-                                 ("tokens", n), ("sequence", sequence), ("offset", a - first)):
-                        out[k].append(v)
-                    a = b
+                for a, end, skip in _stretches(parts):
+                    while a < end:
+                        sequence = a // window
+                        first, last = sequence * window, (sequence + 1) * window
+                        if sequence >= full:  # in the rest
+                            k = next(k for k, x in enumerate(tail) if a < x)
+                            first, last, sequence = tail[k - 1] if k else full * window, tail[k], full + k
+                        b = min(last, end)
+                        for k, v in (("doc", i), ("start", a - skip), ("length", b - a), ("crc", zlib.crc32(ids[a - skip:b - skip].tobytes())),
+                                     ("tokens", n), ("sequence", sequence), ("offset", a - first)):
+                            out[k].append(v)
+                        a = b
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
             docs = batch.column(0).take(pa.array(out.pop("doc"), pa.int64()))
             yield pa.RecordBatch.from_arrays([docs, *(pa.array(v, pa.int64()) for v in out.values())], names)
 
-    given = rows.select("doc_id", "tokens", "width", "ids", "at")
+    given = rows.select("doc_id", "tokens", "width", "ids", "parts")
     return given.mapInArrow(make, f"doc_id {dict(given.dtypes)['doc_id']}, start long, length long, ids_crc32 long, "
                                   "doc_tokens long, sequence_id long, offset long")
 

@@ -136,6 +136,23 @@ def test_pack_follows_the_mixture(documents):
         assert not full or abs(c["a"] / sum(c.values()) - a) < 0.1
 
 
+def test_every_window_has_the_mixture(documents, library):
+    """Documents longer than a window and a source of a few hundredths: each full window holds its share of each source."""
+    rows = [(i, f"some words of document {i} " * (1500 if i % 40 == 0 else 60), "a") for i in range(120)]
+    rows += [(1000 + i, f"other text {i} " * 300, "b") for i in range(12)] + [(2000 + i, f"tiny {i}", "c") for i in range(20)]
+    source, share, total = {i: s for i, _, s in rows}, defaultdict(Counter), Counter()
+    got = rows_of(packing.pack(documents(rows)))
+    check_pieces(got, [t for _, t, _ in rows], library)
+    for r in got:
+        share[r["sequence_id"]][source[r["doc_id"]]] += r["length"]
+        total[source[r["doc_id"]]] += r["length"]
+    full = [c for c in share.values() if sum(c.values()) == 2048]
+    assert len(full) > 10
+    for c in full:
+        for s in "abc":
+            assert abs(c[s] - 2048 * total[s] / sum(total.values())) <= packing.LEAST + 3
+
+
 def test_pieces_of_the_encoder(library):
     import random
 
