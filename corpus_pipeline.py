@@ -49,7 +49,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", simhash), ("suffix-array dedup", suffixes),
           ("mixing sources", mixing), ("packing", packing)]
 
-#: Gradient descent, suffix arrays and tokenizers have no SQL form; tests compare the stages with brute force.
+#: Gradient descent, suffix arrays and tokenizers have no SQL form; tests hold each stage against brute force or its labels.
 ORACLE_SQL = None
 
 
