@@ -17,15 +17,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the cluster's shared folder, read again.
+def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+    """``df`` as a Parquet table in the cluster's shared folder, read again (by folders of ``partition``, if given).
 
     This is the lineage cut of the subpackage: what is downstream reads files
     that every executor can reach, so a lost executor costs only its own tasks.
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,3 +46,21 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 def boxed(docs: DataFrame, **more: Column) -> DataFrame:
     """All columns of ``docs`` in one struct ``row``, beside columns of our own: no name can clash."""
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
+
+
+def lookup(left: DataFrame, right: DataFrame, on: list[str], most: int = 1000) -> DataFrame:
+    """Left join of ``left`` (read more than once: a written table) with ``right``, whose keys are unique.
+
+    Keys that hold more than one in ``most`` of the left rows would each land in
+    one task.  There are fewer than ``most`` of them by arithmetic, so their
+    right rows are broadcast; all other keys are joined by a shuffle.
+    """
+    rows = left.count()
+    keys = left.groupBy(*on).count().filter(F.col("count") * most > rows).select(*on).collect()
+    if not keys:
+        return left.join(right, on, "left")
+    marks = F.broadcast(left.sparkSession.createDataFrame(keys, left.select(*on).schema).withColumn("_hot", F.lit(True)))
+    marked = left.join(marks, on, "left")
+    few = F.broadcast(right.join(marks, on, "left_semi"))
+    often = marked.filter("_hot").drop("_hot").join(few, on, "left")
+    return marked.filter("_hot is null").drop("_hot").join(right, on, "left").unionByName(often)

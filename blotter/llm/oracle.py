@@ -110,4 +110,103 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_remo
 FROM texts JOIN joined USING (rid)
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_license_scan": _LICENSE, "op7_suffix_dedup": _REPEATS}
+# Keys: ends stripped, A-Z lower-cased; every row is a document.
+_LINES = r"""
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines AS (
+  SELECT rid, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM texts),
+keyed AS MATERIALIZED (
+  SELECT rid, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines),
+frequent AS (
+  SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT rid) >= 10),
+marked AS (
+  SELECT k.rid, k.pos, k.line, f.key IS NOT NULL AS gone FROM keyed k LEFT JOIN frequent f USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked JOIN texts USING (rid) GROUP BY rid, doc_id
+"""
+
+# CRC-32 of the decimal id bit by bit; nodes are prefixes by the hash of all their turns; subtrees by the members' paths.
+_TRIE = r"""
+WITH RECURSIVE ids AS MATERIALIZED (
+  SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL),
+crc(c, s, i, r) AS (
+  SELECT c, s, 0, CAST(4294967295 AS BIGINT) FROM ids
+  UNION ALL
+  SELECT c, s, i + 1,
+         xor(mixed // 2, CASE WHEN mixed % 2 = 1 THEN 3988292384 ELSE 0 END)
+  FROM (SELECT *, xor(r, CASE WHEN i % 8 = 0 THEN CAST(ascii(substr(s, i // 8 + 1, 1)) AS BIGINT) ELSE 0 END) AS mixed
+        FROM crc WHERE i < 8 * length(s))),
+shares AS (
+  SELECT c, c - c % 20 AS base, xor(r, CAST(4294967295 AS BIGINT)) % 4 AS h FROM crc WHERE i = 8 * length(s)),
+turns AS MATERIALIZED (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS rank
+  FROM conversations WHERE conv_id IS NOT NULL),
+heads AS (
+  SELECT s.c, t.rank AS pos, t.role, t.text FROM shares s JOIN turns t ON t.c = s.base AND t.rank <= s.h),
+n_heads AS (SELECT c, count(*) AS n FROM heads GROUP BY c),
+rebuilt AS (
+  SELECT * FROM heads
+  UNION ALL
+  SELECT s.c, coalesce(n, 0) + t.rank - s.h, t.role, t.text
+  FROM shares s JOIN turns t ON t.c = s.c AND t.rank > s.h LEFT JOIN n_heads n ON n.c = s.c),
+hashed AS (
+  SELECT c, pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words, sha256(length(role) || ':' || role || text) AS turn
+  FROM rebuilt),
+paths AS MATERIALIZED (
+  SELECT c, pos, words, sha256(string_agg(turn, '') OVER (PARTITION BY c ORDER BY pos)) AS node FROM hashed
+  UNION ALL
+  SELECT c, 0, 0, 'root' FROM ids),
+ends AS (SELECT c, max_by(node, pos) AS node FROM paths GROUP BY c),
+end_lists AS (SELECT node, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ids FROM ends GROUP BY node),
+nodes AS MATERIALIZED (
+  SELECT node, pos AS depth, count(*) AS n_convs, min(c) AS conv_id, min(words) AS words FROM paths GROUP BY node, pos),
+above AS MATERIALIZED (
+  SELECT n.node, p.node AS parent FROM nodes n JOIN paths p ON p.c = n.conv_id AND p.pos = n.depth - 1),
+children AS (SELECT parent AS node, count(*) AS n_children FROM above GROUP BY parent),
+valued AS (
+  SELECT n.node, n.conv_id, n.depth, CASE WHEN n_children IS NULL THEN 1 ELSE 0 END AS leaf, (n_convs - 1) * words AS saved
+  FROM nodes n LEFT JOIN children USING (node)),
+totals AS (
+  SELECT p.node, sum(v.leaf) AS n_leaves, sum(v.saved) AS saved_tokens
+  FROM valued v JOIN paths p ON p.c = v.conv_id AND p.pos <= v.depth GROUP BY p.node)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, n.n_convs, coalesce(n_children, 0) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ids, sha256('')) AS ends_sha256
+FROM nodes n JOIN totals USING (node) LEFT JOIN children USING (node) LEFT JOIN above a USING (node)
+LEFT JOIN nodes u ON u.node = a.parent LEFT JOIN end_lists e ON e.node = n.node
+"""
+
+_RANKED = r"""
+WITH texts AS (
+  SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents),
+terms AS (
+  SELECT rid, doc_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM texts),
+counted AS MATERIALIZED (SELECT rid, doc_id, term, count(*) AS tf FROM terms GROUP BY rid, doc_id, term),
+docs AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY rid),
+whole AS (SELECT count(*) AS N_docs, CAST(sum(n) AS BIGINT) AS L FROM docs),
+norms AS (SELECT rid, 25 + (75 * n * N_docs) // L AS m FROM docs, whole),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(N_docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM counted, whole GROUP BY term),
+items AS (
+  SELECT row_number() OVER () AS iid, item_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM benchmark),
+asked AS (
+  SELECT iid, item_id, term, count(*) AS times
+  FROM (SELECT iid, item_id, unnest(regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM items)
+  GROUP BY iid, item_id, term),
+scored AS (
+  SELECT iid, item_id, c.rid, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM asked JOIN counted c USING (term) JOIN weights USING (term) JOIN norms USING (rid)
+  GROUP BY iid, item_id, c.rid, doc_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST, rid) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_license_scan": _LICENSE, "op7_suffix_dedup": _REPEATS, "op11_line_dedup": _LINES,
+                              "op12_prefix_trie": _TRIE, "op13_lexical_search": _RANKED}
