@@ -4,7 +4,8 @@ The ids are those of the ``tokenizers`` library for the given vocabulary file.
 That library spends its time on the same few pieces again and again, so texts
 are first cut into pieces (the byte-level pattern's words, in numpy over code
 points), each different piece is encoded once, and the ids of a text are put
-together from its pieces.  Where the vocabulary's ids are the ranks of its
+together from its pieces.  Pieces are looked up by a hash and then compared
+character by character; one that has another piece's hash is encoded by itself.  Where the vocabulary's ids are the ranks of its
 merges, ``tiktoken`` encodes the pieces from the same ranks, four times as
 fast; this is tried against the library on the vocabulary itself.  Texts with characters beyond those
 whose class never changes between Unicode versions go to the library whole.
@@ -66,6 +67,24 @@ def cut(cp: np.ndarray, begin: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _equal(a: np.ndarray, a_at: np.ndarray, a_size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Which ranges of ``a`` hold the same values as their ranges of ``b``; a part of the ranges at a time."""
+    out = a_size == b_size
+    rows = np.flatnonzero(out & (a_size > 0))
+    upto = np.concatenate(([0], np.cumsum(a_size[rows])))
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + CHUNK, side="right")) - 1)
+        part = rows[i:j]
+        size = a_size[part]
+        first = upto[i:j] - upto[i]
+        step = np.arange(upto[j] - upto[i]) - np.repeat(first, size)
+        differs = a[np.repeat(a_at[part], size) + step] != b[np.repeat(b_at[part], size) + step]
+        out[part] = ~np.logical_or.reduceat(differs, first)
+        i = j
+    return out
+
+
 def _ranked(library, vocabulary: dict[str, int]):
     """The vocabulary as a tiktoken encoding, or None if that gives other ids."""
     import tiktoken
@@ -100,12 +119,16 @@ class Encoder:
     def _clear(self) -> None:
         self.keys, self.at, self.size = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
+        self.text, self.text_used = np.zeros(1 << 16, dtype=np.uint16), 0    # the pieces' code points
+        self.text_at, self.text_size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
         if self.ranked is not None:
-            ids = list(map(self.ranked.encode_ordinary, pieces))
-        else:
-            ids = [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+            return list(map(self.ranked.encode_ordinary, pieces))
+        return [e.ids for e in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+        ids = self._ids(pieces)
         size = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         new = np.fromiter((x for i in ids for x in i), dtype=np.int32, count=int(size.sum()))
         while self.used + len(new) > len(self.flat):
@@ -113,7 +136,15 @@ class Encoder:
         self.flat[self.used:self.used + len(new)] = new
         at = self.used + np.cumsum(size) - size
         self.used += len(new)
+        letters = np.frombuffer("".join(pieces).encode("utf-32-le"), dtype=np.uint32).astype(np.uint16)
+        while self.text_used + len(letters) > len(self.text):
+            self.text = np.concatenate((self.text, np.zeros_like(self.text)))
+        self.text[self.text_used:self.text_used + len(letters)] = letters
+        length = np.fromiter(map(len, pieces), dtype=np.int64, count=len(pieces))
+        text_at = self.text_used + np.cumsum(length) - length
+        self.text_used += len(letters)
         where = np.searchsorted(self.keys, keys)
+        self.text_at, self.text_size = np.insert(self.text_at, where, text_at), np.insert(self.text_size, where, length)
         self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -141,9 +172,17 @@ class Encoder:
             self._learn(key[~known], [joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
             place = np.searchsorted(self.keys, key)
         entry = place[back]
-        size = self.size[entry]
+        flat, at, size = self.flat, self.at[entry], self.size[entry]
+        # A hash is no proof: every piece is compared with the one whose ids it would get.
+        same = _equal(cp, start, end - start, self.text, self.text_at[entry], self.text_size[entry])
+        if not same.all():
+            bad = np.flatnonzero(~same)
+            own = self._ids([joined[a:b] for a, b in zip(start[bad].tolist(), end[bad].tolist())])
+            size[bad] = [len(x) for x in own]
+            at[bad] = self.used + np.cumsum(size[bad]) - size[bad]
+            flat = np.concatenate((flat[:self.used], np.array([x for ids in own for x in ids], dtype=np.int32)))
         upto = np.cumsum(size)
-        ids = self.flat[np.repeat(self.at[entry] - (upto - size), size) + np.arange(upto[-1])]
+        ids = flat[np.repeat(at - (upto - size), size) + np.arange(upto[-1])]
         total = np.concatenate(([0], upto))
         text_at = np.searchsorted(start, np.append(begin, len(cp)))
         return ids, np.diff(total[text_at])

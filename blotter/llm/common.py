@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import math
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,39 @@ from blotter.session import shared_dir
 UNIT = 1 << 53
 
 
+#: Setting under which Spark removes a query's shuffle files when the query ends, not when the driver collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes inside go as soon as each is done: what reads the written table doesn't need them."""
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the tables that :func:`written` has made inside it; results must have been written by then."""
+    n = len(_made)
+    try:
+        yield
+    finally:
+        own, _made[n:] = _made[n:], []
+        for path in own:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -25,7 +61,9 @@ def written(df: DataFrame, name: str, partition: str | None = None) -> DataFrame
     """
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    with tidy(spark):
+        (df.write.partitionBy(partition) if partition else df.write).parquet(path)
+    _made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,14 +86,14 @@ def boxed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), *(c.alias(n) for n, c in more.items()))
 
 
-def lookup(left: DataFrame, right: DataFrame, on: list[str], most: int = 1000) -> DataFrame:
-    """Left join of ``left`` (read more than once: a written table) with ``right``, whose keys are unique.
+def lookup(left: DataFrame, right: DataFrame, on: list[str], most: int = 1000, rows: int | None = None) -> DataFrame:
+    """Left join of ``left`` (read more than once: a written table of ``rows`` rows) with ``right``, whose keys are unique.
 
     Keys that hold more than one in ``most`` of the left rows would each land in
     one task.  There are fewer than ``most`` of them by arithmetic, so their
     right rows are broadcast; all other keys are joined by a shuffle.
     """
-    rows = left.count()
+    rows = left.count() if rows is None else rows
     keys = left.groupBy(*on).count().filter(F.col("count") * most > rows).select(*on).collect()
     if not keys:
         return left.join(right, on, "left")

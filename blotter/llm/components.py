@@ -11,21 +11,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import written
+from blotter.llm.common import lookup, written
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node's larger neighbours are linked to the smallest node of its neighbourhood."""
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return lookup(both.filter("v > u"), least, ["u"], rows=n).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
     """Each node and its smaller neighbours are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    linked = lookup(down, least, ["u"], rows=n).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return linked.union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -38,6 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
         if now == seen or now[0] == 0:
             break
         seen = now
-        edges = written(_small_star(_large_star(edges)), "cc-round")
+        starred = written(_large_star(edges, now[0]), "cc-large")
+        edges = written(_small_star(starred, now[0]), "cc-small")
     stars = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm.common import text_of
+from blotter.llm.common import text_of, written
 
 # Fixed values of the contract: phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -53,6 +53,8 @@ NOTICES = (
 
 #: Words of a text whose A-Z have been lowered: runs of digits, a-z and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The letters that are lowered; all others stay as they are.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SHORT, SHORT_K, LONG_K = 4, 2, 4
 LONG_SHARE = 0.6
 
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     spark, of = docs.sparkSession, of or templates()
     text = text_of(docs, text_column)
     words = docs.select(docs[id_column].alias("doc_id"), F.xxhash64(text).alias("text_key"),
-                        F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)).alias("words"))
+                        F.regexp_extract_all(F.translate(text, UPPER, UPPER.lower()), F.lit(WORD), F.lit(0)).alias("words"))
     words = words.withColumn("n_words", F.size("words"))
     # One row per word position, and position -1 as the document's own row.
     at = words.select("*", F.explode(F.sequence(F.lit(-1), F.greatest(F.col("n_words") - SHORT_K, F.lit(-1)))).alias("pos"))
@@ -128,6 +130,7 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                         (F.col("pos") - F.col("hit.t_pos")).alias("diagonal"))
                # the document's own row is seen once for either k-gram length
                .agg(F.collect_set("hit.t_pos").alias("seen"), F.expr("count(*) div 2").alias("copies")))
+    votes = written(votes, "license-votes")  # read twice: the texts are scanned once
     documents = votes.filter("tid is null").select("doc_id", "text_key", "n_words", "copies")
     return documents, spans(spark, votes.filter("tid is not null"), of)
 

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from blotter.llm.common import boxed, text_of, written
+from blotter.llm.common import boxed, remove, text_of, written
 from blotter.session import shared_dir
 
 #: Documents that must hold a line before it goes.
@@ -102,10 +102,12 @@ class LineRuns:
         self.spark, self.least, self.fan = spark, least, fan
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def _write(self, rows: DataFrame) -> str:
         name = f"line_run_{uuid.uuid4().hex}"
-        (rows.select("h1", "h2", "docs").write.format("parquet").option("path", shared_dir(self.spark, "line-run"))
+        self.paths[name] = shared_dir(self.spark, "line-run")
+        (rows.select("h1", "h2", "docs").write.format("parquet").option("path", self.paths[name])
          .bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").saveAsTable(name))
         return name
 
@@ -147,6 +149,7 @@ class LineRuns:
     def _drop(self, names: list[str]) -> None:
         for name in names:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, self.paths.pop(name))
 
     def close(self) -> None:
         self._drop(self.runs())

@@ -11,7 +11,9 @@ what chance makes equal, an estimate of the Jaccard similarity of the shingle
 sets (the b-bit estimator).
 
 :func:`near_duplicate_classes` cuts signatures into bands, groups equal bands
-in Spark, and verifies the Jaccard similarity of the shingle sets.
+in Spark, and verifies the Jaccard similarity of the shingle sets.  There is no
+table of the texts: bands and sizes are carried out of the pass that makes the signatures,
+and only the texts of candidates are fetched again, each to the centres that it is compared with.
 
 :func:`edited_table` compares each document with an edited version of itself
 and with the next document.  The documents are sorted over the cluster by id
@@ -27,7 +29,6 @@ itself); null ids come first; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 from functools import cache
 
@@ -36,14 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import written
-from blotter.session import shared_dir
+from blotter.llm.common import lookup, written
 
 PERMUTATIONS, SHINGLE, SEED = 128, 5, 11
 BITS_KEPT = 8
 BANDS, ROWS = 21, 6            # of 126 values: a pair of similarity 0.8 shares a band with probability 0.998
 SIMILARITY = 0.8
 CHUNK = 1 << 18                # bytes hashed at a time
+STAR = 500                     # texts that one task compares with the same centre
+ROLES = 500_000                # candidates (32 bytes each) that are broadcast to the scan of the texts, at most
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -56,13 +58,13 @@ def permutations(n: int = PERMUTATIONS, seed: int = SEED) -> tuple[np.ndarray, n
 
 def shingle_hashes(offsets: np.ndarray, data: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of the word shingles of concatenated texts, in text order."""
-    from blotter.llm.textbytes import range_hash, running, shingles, words
+    from blotter.llm.textbytes import shingles, word_hashes, words
     start, end, text = words(data, offsets)
-    return shingles(range_hash(running(data), start, end), text, len(offsets) - 1, size)
+    return shingles(word_hashes(data, start, end), text, len(offsets) - 1, size)
 
 
-def signatures(texts: list[bytes], n: int = PERMUTATIONS, size: int = SHINGLE) -> np.ndarray:
-    """One row of ``n`` least values (upper 32 bits) per text."""
+def signatures(texts: list[bytes], n: int = PERMUTATIONS, size: int = SHINGLE, different: np.ndarray | None = None) -> np.ndarray:
+    """One row of ``n`` least values (upper 32 bits) per text; ``different`` is filled with the number of different shingles."""
     from blotter.llm.textbytes import spans
     a, b = permutations(n)
     offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
@@ -74,6 +76,11 @@ def signatures(texts: list[bytes], n: int = PERMUTATIONS, size: int = SHINGLE) -
             continue
         first = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
         rows = who[first] + i
+        if different is not None:
+            order = np.lexsort((h, who))
+            x, y = h[order], who[order]
+            new = np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+            different[i:j] = np.bincount(y[new], minlength=j - i)
         for p in range(n):
             out[rows, p] = np.minimum.reduceat(h * a[p] + b[p], first)
     return (out >> np.uint64(32)).astype(np.uint32)
@@ -81,16 +88,35 @@ def signatures(texts: list[bytes], n: int = PERMUTATIONS, size: int = SHINGLE) -
 
 def fingerprint(signature: np.ndarray) -> str:
     """The low bits of each value, as hex."""
-    return (signature & np.uint32(0xFF)).astype(np.uint8).tobytes().hex()
+    return _kept_bits(signature).hex()
+
+
+def _kept_bits(signature: np.ndarray) -> bytes:
+    return (signature & np.uint32((1 << BITS_KEPT) - 1)).astype(f"<u{BITS_KEPT // 8}").tobytes()
+
+
+def band_keys(signature: np.ndarray) -> np.ndarray:
+    """(text, band): the hash of each band of the signatures."""
+    from blotter.llm.textbytes import mix
+    sig = signature.astype(np.uint64)
+    keys = np.zeros((len(sig), BANDS), dtype=np.uint64)
+    for b in range(BANDS):
+        h = np.full(len(sig), b + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            h = mix(h * np.uint64(0x100000001B3) + sig[:, b * ROWS + r])
+        keys[:, b] = h
+    return keys
 
 
 def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """0 to 1 for each pair of rows; 1 for equal fingerprints."""
     chance = 1 / (1 << BITS_KEPT)
-    return np.clip((((x ^ y) & np.uint32(0xFF)) == 0).mean(axis=1) - chance, 0, None) / (1 - chance)
+    return np.clip((((x ^ y) & np.uint32((1 << BITS_KEPT) - 1)) == 0).mean(axis=1) - chance, 0, None) / (1 - chance)
 
 
-RESULT = "n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+# The results as they are stored: fingerprints and bands as bytes, half as long as hex.
+RESULT = "n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double, bands binary, size long"
+NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "bands", "size"]
 
 
 def compare(texts: list[str], following: list[str]) -> dict[str, list]:
@@ -100,22 +126,24 @@ def compare(texts: list[str], following: list[str]) -> dict[str, list]:
         cut = len(t) // 4
         edited.append((t[:len(t) - cut] + nxt[:cut]).encode())
     alone = following[-1:] if texts else []
-    own = signatures([t.encode() for t in [*texts, *alone]])
+    size = np.zeros(len(texts) + len(alone), dtype=np.int64)
+    own = signatures([t.encode() for t in [*texts, *alone]], different=size)
     # following is texts shifted by one, unless the caller pairs texts that don't follow one another
     if following[:-1] == texts[1:]:
         nexts, own = own[1:], own[:-1]
     else:
         nexts, own = signatures([t.encode() for t in following]), own[:len(texts)]
     after = signatures(edited)
-    return {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e).hexdigest() for e in edited],
-            "fingerprint": [fingerprint(s) for s in own], "edited_fingerprint": [fingerprint(s) for s in after],
-            "near_edited": likeness(own, after).tolist(), "near_next": likeness(own, nexts).tolist()}
+    return {"n_chars": [len(t) for t in texts], "edited_sha256": [hashlib.sha256(e).digest() for e in edited],
+            "fingerprint": [_kept_bits(s) for s in own], "edited_fingerprint": [_kept_bits(s) for s in after],
+            "near_edited": likeness(own, after).tolist(), "near_next": likeness(own, nexts).tolist(),
+            "bands": [k.astype("<i8").tobytes() for k in band_keys(own).view(np.int64)], "size": size[:len(texts)].tolist()}
 
 
 def _sorted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over a partition sorted by id: results of all rows but the last; the first and last rows as they are."""
     held: tuple | None = None
-    none = {name: None for name in ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
+    none = {name: None for name in NAMES}
 
     def edge(kind: str, doc_id, text: str) -> dict:
         return {"doc_id": doc_id, "edge": kind, "text": text} | none
@@ -143,8 +171,8 @@ def _sorted_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _schema(id_type: pa.DataType) -> pa.Schema:
     return pa.schema([("doc_id", id_type), ("edge", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()),
-                      ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
-                      ("near_edited", pa.float64()), ("near_next", pa.float64())])
+                      ("edited_sha256", pa.binary()), ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()),
+                      ("near_edited", pa.float64()), ("near_next", pa.float64()), ("bands", pa.binary()), ("size", pa.int64())])
 
 
 def _one_pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,11 +188,22 @@ def compare_each(texts: list[str], following: list[str]) -> dict[str, list]:
 
 def edited_table(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", classes: bool = False) -> DataFrame:
     """Per document its fingerprint, the edited text's, and their likeness; with ``classes`` also its near-duplicate class_id."""
-    found = _edited(docs, id_column, text_column)
-    found = found.select("doc_id.*", *(c for c in found.columns if c != "doc_id"))
+    found = _edited(docs, id_column, text_column).select("doc_id.*", *NAMES)
     if classes:
-        found = found.join(text_classes(_keyed(docs, id_column, text_column)), "text_key")
-    return found.drop("text_key")
+        found = _with_class(found, text_classes(found.select("doc_id", "text_key", "bands", "size"), _keyed(docs, id_column, text_column)))
+    text = lambda c: F.lower(F.hex(c)).alias(c)
+    return found.select("doc_id", "n_chars", text("edited_sha256"), text("fingerprint"), text("edited_fingerprint"), "near_edited", "near_next",
+                        *(["class_id"] if classes else []))
+
+
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """``rows`` with class_id: that of the text's class, or the row's own id for a text that is alone."""
+    if classes.count() <= ROLES:
+        found = rows.join(F.broadcast(classes), "text_key", "left")
+    else:
+        found = lookup(rows, classes, ["text_key"])
+    alone = F.col("class_of").isNull()
+    return found.withColumn("class_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_of.id"))).drop("class_of")
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -192,7 +231,7 @@ def _edited(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     last = found.filter("edge = 'last'").select("part", "doc_id", "text")
     first = found.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     pairs = last.join(follows, "part").join(first, "next_part").select("doc_id", "text", "next_text")
-    return main.unionByName(pairs.mapInArrow(_one_pair, f"doc_id {id_type}, {RESULT}"))
+    return main.unionByName(written(pairs.mapInArrow(_one_pair, f"doc_id {id_type}, {RESULT}"), "minhash-edges"))
 
 
 def _sorted_pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,44 +250,70 @@ def _sorted_pairs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 # --- near-duplicate classes --------------------------------------------------
+def _signed(given: DataFrame) -> DataFrame:
+    """(doc_id, text_key, bands, size) of (doc_id, text, text_key)."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                size = np.zeros(part.num_rows, dtype=np.int64)
+                keys = band_keys(signatures([t.encode() for t in part.column(2).to_pylist()], different=size)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([k.astype("<i8").tobytes() for k in keys], pa.binary()),
+                                                  pa.array(size)], ["doc_id", "text_key", "bands", "size"])
+
+    id_type = given.schema["doc_id"].dataType.simpleString()
+    return given.select("doc_id", "text_key", "text").mapInArrow(lambda b: make(x.select(["doc_id", "text_key", "text"]) for x in b),
+                                                                 f"doc_id {id_type}, text_key long, bands binary, size long")
+
+
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text_key, size, key): the hash of each band of the signature, and the number of different shingles."""
-    from blotter.llm.textbytes import mix
+    """(text_key, size, bands) -> (text_key, size, key), one row for each band."""
     for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            part = batch.slice(i, 512)
-            texts = [t.encode() for t in part.column(1).to_pylist()]
-            sig = signatures(texts).astype(np.uint64)
-            keys = np.zeros((len(sig), BANDS), dtype=np.uint64)
-            for b in range(BANDS):
-                h = np.full(len(sig), b + 1, dtype=np.uint64)
-                for r in range(ROWS):
-                    h = mix(h * np.uint64(0x100000001B3) + sig[:, b * ROWS + r])
-                keys[:, b] = h
-            size = np.array([len(_shingle_set(t)) for t in texts], dtype=np.int64)
-            who = np.repeat(part.column(0).to_numpy(zero_copy_only=False), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(np.repeat(size, BANDS)),
-                                              pa.array(keys.reshape(-1).view(np.int64))], ["text_key", "size", "key"])
+        keys = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype="<i8")
+        rows = np.repeat(np.arange(batch.num_rows), BANDS)
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), batch.column(1).take(pa.array(rows)), pa.array(keys)],
+                                         ["text_key", "size", "key"])
 
 
 def _shingle_set(text: bytes) -> np.ndarray:
     return np.unique(shingle_hashes(np.array([0, len(text)]), np.frombuffer(text, dtype=np.uint8))[0])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) of text keys whose shingle sets are as similar as that."""
+def _verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) of text keys, a written table, whose shingle sets are as similar as that.
+
+    ``u`` is a centre.  Each text goes from the scan to the centres that it is compared with, those of a centre in
+    slices of about STAR texts, the centre's own text to each slice; a slice is streamed past its centre's set.
+    """
+    stars = written(pairs.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / STAR).alias("slices")), "minhash-centres")
+    at = F.pmod(F.xxhash64("v"), F.col("slices")).alias("slice")
+    others = lookup(pairs, stars, ["u"]).select(F.col("v").alias("text_key"), "u", at, F.lit(1).alias("place"))
+    centres = stars.select(F.col("u").alias("text_key"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("place"))
+    roles = others.unionByName(centres).join(nodes.select("text_key", "rep"), "text_key")
+    roles = written(roles, "minhash-roles")
+    if roles.count() <= ROLES:
+        roles = F.broadcast(roles)
+    texts = given.join(roles, (given["text_key"] == roles["text_key"]) & given["doc_id"].eqNullSafe(roles["rep"])) \
+        .select("u", "slice", "place", roles["text_key"].alias("v"), "text")
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        star, mine = None, np.zeros(0, dtype=np.uint64)
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                one, two = _shingle_set(a.encode()), _shingle_set(b.encode())
-                both = len(np.intersect1d(one, two, assume_unique=True))
-                keep.append(both >= similarity * (len(one) + len(two) - both) and both > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
-
-    x = texts.select(F.col("text_key").alias("u"), F.col("text").alias("a"))
-    y = texts.select(F.col("text_key").alias("v"), F.col("text").alias("b"))
-    return pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b").mapInArrow(verify, "u long, v long")
+            u, v = [], []
+            for centre, part, place, other, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if place == 0:
+                    if star != (centre, part):
+                        star, mine = (centre, part), _shingle_set(text.encode())
+                    continue
+                own = _shingle_set(text.encode())
+                both = len(np.intersect1d(mine, own, assume_unique=True))
+                if both >= similarity * (len(mine) + len(own) - both) and both > 0:
+                    u.append(centre)
+                    v.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    n = int(given.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(n, "u", "slice").sortWithinPartitions("u", "slice", "place", "v").mapInArrow(verify, "u long, v long")
 
 
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
@@ -256,50 +321,47 @@ def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_colu
     """(doc_id, class_id): the smallest id reachable over texts of at least this Jaccard similarity.
 
     Equal texts are one node.  Nodes that share a band are candidates, in two steps that miss none of them: first
-    every node is verified against its band's least node, which makes one class of what belongs together in all but
-    rare cases; then the nodes of a band that are still in different classes (and whose sizes allow the similarity)
-    are verified against each other.  So a band of thousands of near copies costs as many pairs as it has members;
-    a pair inside one class could not change the classes.
+    every node is verified against the band's least node with which it shares most bands, which makes one class of what
+    belongs together in all but rare cases; then the nodes of a band that are still in different classes (and whose
+    sizes allow the similarity) are verified against each other.  So a band of thousands of near copies costs no more
+    pairs than it has members; a pair inside one class could not change the classes.
     """
     given = _keyed(docs, id_column, text_column)
-    return given.select("doc_id", "text_key").join(text_classes(given, similarity), "text_key").select("doc_id", "class_id")
-
+    rows = written(_signed(given), "minhash-signed")
+    return _with_class(rows.select("doc_id", "text_key"), text_classes(rows, given, similarity)).select("doc_id", "class_id")
 
-def text_classes(given: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(text_key, class_id) of (doc_id, text, text_key), see :func:`near_duplicate_classes`. The different texts are a
-    bucketed table: the pairs come to it without moving it."""
-    spark = given.sparkSession
-    name = f"minhash_{uuid.uuid4().hex}"
-    texts = given.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("text").alias("text"))
-    texts.write.option("path", shared_dir(spark, "minhash-texts")).option("compression", "zstd").bucketBy(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), "text_key").saveAsTable(name)
-    try:
-        return written(_classes(spark.table(name), similarity), "minhash-classes")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
 
+def text_classes(rows: DataFrame, given: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(text_key, class_of): the struct holds the class's smallest id; only texts that are not alone.
 
-def _classes(texts: DataFrame, similarity: float) -> DataFrame:
+    ``rows``: doc_id, text_key, bands, size of each document; ``given``: doc_id, text, text_key, read again for candidates."""
     from blotter.llm.components import components
-    bands = texts.select("text_key", "text").mapInArrow(_band_rows, "text_key long, size long, key long")
-    bands = written(bands.filter("size > 0"), "minhash-bands")
+    nodes = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
+                                                 F.first("bands").alias("bands")), "minhash-nodes")
+    bands = nodes.filter("size > 0").select("text_key", "size", "bands").mapInArrow(_band_rows, "text_key long, size long, key long")
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
     # the least node of each band, beside its size; a band of one has no pair
     least = bands.groupBy("key").agg(F.min(F.struct("text_key", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    stars = bands.join(least, "key").filter((F.col("text_key") != F.col("least.text_key")) & fits(F.col("size"), F.col("least.size")))
-    stars = stars.select(F.col("least.text_key").alias("u"), F.col("text_key").alias("v")).distinct()
-    first = written(_verified(stars, texts, similarity), "minhash-stars")
+    least = written(least.select("key", "least"), "minhash-least")
+    shared = bands.join(least, "key").filter((F.col("text_key") != F.col("least.text_key")) & fits(F.col("size"), F.col("least.size"))) \
+        .groupBy(F.col("text_key").alias("v"), F.col("least.text_key").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    stars = written(shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"), "minhash-pairs")
+    first = written(_verified(stars, nodes, given, similarity), "minhash-stars")
     roots = written(components(first), "minhash-roots")
     # what shares a band and is in different classes still
-    named = bands.join(roots, bands["text_key"] == roots["node"], "left").select(
+    named = bands.join(least.select("key"), "key").join(roots, F.col("text_key") == F.col("node"), "left").select(
         "key", "text_key", "size", F.coalesce("root", "text_key").alias("class"))
+    named = written(named, "minhash-named")
     mixed = named.groupBy("key").agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").select("key")
     named = written(named.join(mixed, "key"), "minhash-mixed")
     x, y = named.alias("x"), named.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
                     & (F.col("x.text_key") < F.col("y.text_key")) & fits(F.col("x.size"), F.col("y.size")))
-    across = across.select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct().join(stars, ["u", "v"], "left_anti")
-    roots = components(first.unionByName(_verified(across, texts, similarity)))
-    named = texts.join(roots, texts["text_key"] == roots["node"], "left").select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
-    classes = named.groupBy("root").agg(F.min("rep").alias("class_id"))
-    return named.join(classes, "root").select("text_key", "class_id")
+    across = across.select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct()
+    known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    across = written(across.join(known, ["u", "v"], "left_anti"), "minhash-across")
+    roots = written(components(first.unionByName(_verified(across, nodes, given, similarity))), "minhash-classes")
+    named = nodes.join(roots, nodes["text_key"] == roots["node"], "left").filter("root is not null or copies > 1") \
+        .select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
+    classes = named.groupBy("root").agg(F.struct(F.min("rep").alias("id")).alias("class_of"))
+    return written(named.join(classes, "root").select("text_key", "class_of"), "minhash-members")

@@ -37,6 +37,8 @@ TOKEN = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST = 3.0
 CHUNK = 200
+#: Repeated rows that one task numbers.
+RUN = 1000
 
 
 def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
@@ -102,15 +104,26 @@ def _fold(level: DataFrame, seed: int, id_type: str) -> DataFrame:
                 .select("source", "chunk", "s.open", "s.done")
 
 
+def numbered(sized: DataFrame) -> DataFrame:
+    """``sized`` with nth, the number of a row among its repetitions; many repetitions are counted, and dealt again in runs."""
+    same = sized.groupBy("doc_id", "source", "text_key", "size").agg(F.count(F.lit(1)).alias("times"))
+    runs = same.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(times - 1) div {RUN}"))))
+    many = runs.filter(F.col("times") > RUN).repartition("doc_id", "text_key", "run")
+    rows = runs.filter(F.col("times") <= RUN).unionByName(many)
+    first = F.col("run") * RUN
+    return rows.withColumn("nth", F.explode(F.sequence(first, F.least(first + RUN, "times") - 1))).drop("times", "run")
+
+
 def rounded(sized: DataFrame, weights=WEIGHTS, most: float = MOST, seed: int = 7, chunk: int = CHUNK) -> DataFrame:
     """Per document (doc_id, source, text_key, size, source_size, target, copies)."""
     id_type = dict(sized.dtypes)["doc_id"]
     sources = written(source_targets(sized, weights, most), "mix-sources")
     largest = sources.agg(F.max("rows")).first()[0] or 0
-    rows = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+    rows = numbered(sized)
+    rows = rows.join(sources, rows["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.withColumn("whole", F.floor(rate)).withColumn("p", rate - F.floor(rate))
-    key = F.xxhash64(F.lit(seed), "doc_id", "text_key", "size")
+    key = F.xxhash64(F.lit(seed), "doc_id", "text_key", "size", "nth")
     item = F.struct(key.alias("key"), "doc_id", "text_key", "size", "p", "whole", "source_size", "target")
     rows = rows.select("source", F.pmod(F.xxhash64(key), F.ceil(F.col("rows") / chunk)).alias("chunk"), item.alias("item"))
     sure = (F.col("item.p") <= 0) | (F.col("item.size") <= 0)

@@ -17,7 +17,9 @@ documents, rounds into groups; the sums of the parts are few.
 
 Defined cases: a null text is empty; every document ends with the id END, so
 an empty one is one token; null is a source like any other; repeated rows are
-packed once each; an empty table gives an empty result; null ids are allowed.
+packed once each; an empty table gives an empty result; null ids are allowed.  A share
+of 0 (or less) counts as :data:`NO_SHARE`: that source's documents are packed too, in
+pieces far apart.
 """
 
 from __future__ import annotations
@@ -36,6 +38,7 @@ CHUNK = 4096     # documents of a queue summed in one task
 GROUP = 512      # rounds ordered in one task
 FAN = 4096       # groups summed in one task
 LEAST = 16       # tokens that a queue sends at once, at least
+NO_SHARE = 1e-6  # what a share of 0 counts as: all documents are packed
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -83,7 +86,7 @@ def _starts(sums: DataFrame, key: str, value: str) -> DataFrame:
     return sums.withColumn("within", within).join(blocks, "block").select(key, (F.col("block_start") + F.col("within")).alias("start"))
 
 
-def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float] | None = None, seed: int = 3) -> DataFrame:
+def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float] | None = None, seed: int = 3, least: int = LEAST) -> DataFrame:
     """(row, parts): where the parts of each document's tokens stand in the one stream, as structs (start, length, at).
     ``rows``: row, doc_id, source, tokens.
 
@@ -101,7 +104,7 @@ def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float
         named = spark.createDataFrame([("" if k is None else f"={k}", float(v)) for k, v in shares.items()], "queue string, share double")
         queues = queues.join(named, "queue", "left")
         share = F.coalesce("share", F.col("queue_tokens") / F.lit(float(max(total, 1))))
-    queues = queues.select("queue", (share * window).alias("quantum"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
+    queues = queues.select("queue", (F.greatest(share, F.lit(NO_SHARE)) * window).alias("quantum"), F.ceil(F.col("n") / CHUNK).alias("chunks"))
     rows = rows.join(queues, "queue").withColumn("chunk", F.floor(F.col("u") * F.col("chunks")))
     # place in the queue: what the earlier chunks hold, and the earlier documents of the chunk
     chunks = rows.groupBy("queue", "chunk").agg(F.sum("tokens").alias("chunk_tokens"))
@@ -109,13 +112,14 @@ def placed(rows: DataFrame, window: int = WINDOW, shares: dict[str | None, float
     own = F.coalesce(F.sum("tokens").over(before(Window.partitionBy("queue", "chunk").orderBy("u", "row"))), F.lit(0))
     rows = rows.withColumn("own", own).join(chunks, ["queue", "chunk"]).withColumn("sent", F.col("chunk_start") + F.col("own"))
     # cut where the queue's numbered sendings end; those next to the first and last one absorb the rounding
-    every = F.ceil(F.lit(float(LEAST)) / F.col("quantum"))
-    rows = rows.withColumn("every", F.when(F.col("quantum") < LEAST, every).otherwise(F.lit(1)).cast("long"))
+    every = F.ceil(F.lit(float(least)) / F.col("quantum"))
+    rows = rows.withColumn("every", F.when(F.col("quantum") < least, every).otherwise(F.lit(1)).cast("long"))
     rows = rows.withColumn("step", F.col("quantum") * F.col("every"))
     rows = rows.withColumn("nth", F.explode(F.sequence(F.floor(F.col("sent") / F.col("step")), F.ceil((F.col("sent") + F.col("tokens")) / F.col("step")) + 1)))
     bound = lambda nth: F.floor(nth * F.col("step"))
     rows = rows.withColumn("from", F.greatest("sent", bound(F.col("nth") - 1))).withColumn("to", F.least(F.col("sent") + F.col("tokens"), bound(F.col("nth"))))
-    rows = rows.filter(F.col("to") > F.col("from")).withColumn("round", F.col("nth") * F.col("every"))
+    rows = rows.filter(F.col("to") > F.col("from")).withColumn(
+        "round", F.col("nth") * F.col("every") + F.pmod(F.xxhash64("queue"), F.col("every")))  # queues of one pace take turns
     rows = written(rows.select("row", (F.col("from") - F.col("sent")).alias("start"), (F.col("to") - F.col("from")).alias("length"), "queue", F.col("from").alias("sent"),
                                "round", F.expr(f"round div {GROUP}").alias("group")), "pack-rounds")
     groups = _starts(rows.groupBy("group").agg(F.sum("length").alias("group_tokens")), "group", "group_tokens")
@@ -179,10 +183,11 @@ def pieces(rows: DataFrame, total: int, window: int = WINDOW) -> DataFrame:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, end: int = END,
-         shares: dict[str | None, float] | None = None) -> DataFrame:
-    """Pieces of all documents in sequences of at most ``window`` tokens."""
+         shares: dict[str | None, float] | None = None, least: int = LEAST) -> DataFrame:
+    """Pieces of all documents in sequences of at most ``window`` tokens. ``least``: tokens that a source sends at once, at
+    least; more give longer pieces, and windows that differ from the shares by as much."""
     coded = tokenised(docs, path or vocabulary_path(), end)
     coded = written(coded, "pack-ids")
-    at = placed(coded.select("row", "doc_id", "source", "tokens"), window, shares)
+    at = placed(coded.select("row", "doc_id", "source", "tokens"), window, shares, least=least)
     total = coded.agg(F.sum("tokens")).first()[0] or 0
     return pieces(coded.select("row", "doc_id", "tokens", "width", "ids").join(at, "row"), total, window)

@@ -27,8 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from blotter.llm.common import text_of
+from blotter.llm.common import boxed, text_of
 
 BITS = 15
 SHAPES = 8
@@ -158,31 +159,31 @@ def rated_sample(docs: DataFrame, ratings: DataFrame, most: int = SAMPLE) -> tup
     chosen = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade"))
     chosen = chosen.orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(most)  # bounded by ``most``
     rows = docs.select("doc_id", text_of(docs).alias("text")).filter(F.octet_length("text") <= LONGEST)
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("grade").cast("int").alias("grade"))
-    got = sorted(got.limit(2 * most).collect())
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", F.col("grade").cast("int").alias("grade")) \
+        .agg(F.min("text").alias("text"))                                                  # one text an id: ``most`` at most
+    got = sorted(got.select("doc_id", "text", "grade").collect())
     return [r.text.encode() for r in got], np.array([r.grade for r in got], dtype=np.int64)
 
 
 def graded(docs: DataFrame, ratings: DataFrame, keep: float = KEEP) -> DataFrame:
-    """``docs`` with expected_grade, tail (P(grade >= 1)) and keep."""
+    """``row`` (all columns of ``docs``, whatever their names) with expected_grade, tail (P(grade >= 1)) and keep."""
     model = fit(*rated_sample(docs, ratings))
-    names = ["expected_grade", "tail"]
+    own = boxed(docs)
+    schema = T.StructType([own.schema["row"], T.StructField("expected_grade", T.DoubleType()), T.StructField("tail", T.DoubleType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from blotter.llm.textbytes import text_bytes
         for batch in batches:
-            offsets, data = text_bytes(batch.column(batch.schema.names.index("text")))
+            offsets, data = text_bytes(batch.column("row").field("text"))
             if len(model.thresholds):
                 t = tails(model, offsets, data)
                 grade, tail = t.sum(axis=1), t[:, 0]
             else:
                 grade = np.full(batch.num_rows, model.only)
                 tail = np.ones(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(grade), pa.array(tail)], [*batch.schema.names, *names])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(grade), pa.array(tail)], schema.names)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    out = docs.mapInArrow(score, f"{schema}, expected_grade double, tail double")
-    return out.withColumn("keep", F.col("tail") >= keep)
+    return own.mapInArrow(score, schema).withColumn("keep", F.col("tail") >= keep)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

@@ -57,7 +57,7 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blotter.llm.quality import graded, ratings_of
     scored = graded(table(spark, sf_dir, "documents").select("doc_id", "text"), ratings_of(table(spark, sf_dir, "labels")))
-    return scored.select("doc_id", "expected_grade", "tail", "keep")
+    return scored.select("row.doc_id", "expected_grade", "tail", "keep")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,26 +45,48 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blotter.llm.common import boxed, text_of, written
+from blotter.llm.common import boxed, remove, text_of, written
 from blotter.session import shared_dir
 
 WINDOW, GRAM = 50, 16
 PACK = 4_000_000
 SORT = 1_000_000     # bytes of one suffix array
 SLICE = 1 << 17      # bytes of anchors found at a time
+SHARD = 8_000_000    # bytes of text for each shard: what one group holds does not grow with the input
 NO_ID = np.int64((1 << 63) - 1)
 U64 = np.uint64
 
 
 # --- anchors -----------------------------------------------------------------
 def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchors per text, gap from the anchor before, windows of each anchor) of concatenated texts."""
+    """(anchors per text, gap from the anchor before, windows of each anchor) of concatenated texts.
+
+    A single text of more than SLICE bytes is taken in slices that overlap by a window less one byte, so that each window is in one.
+    """
+    if len(offsets) == 2 and len(data) > 2 * SLICE:
+        each = [_places(data[a:a + SLICE + window - 1], np.array([0, len(data[a:a + SLICE + window - 1])]), window) for a in range(0, len(data) - window + 1, SLICE)]
+        place = np.concatenate([p + k * SLICE for k, (p, _, _) in enumerate(each)])
+        windows = np.concatenate([w for _, _, w in each])
+        new = np.concatenate(([True], place[1:] != place[:-1]))      # an anchor's windows may go on in the next slice
+        windows = np.add.reduceat(windows, np.flatnonzero(new))
+        place, text = place[new], np.zeros(int(new.sum()), dtype=np.int64)
+    else:
+        place, text, windows = _places(data, offsets, window)
+    counts = np.bincount(text, minlength=len(offsets) - 1).astype(np.int32)
+    if not len(place):
+        return counts, np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.uint8)
+    new = np.concatenate(([True], text[1:] != text[:-1]))
+    gap = np.where(new, place - offsets[text], np.diff(place, prepend=0))
+    return counts, gap.astype(np.uint8), windows.astype(np.uint8)
+
+
+def _places(data: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, text, windows) of the anchors."""
     from blotter.llm.textbytes import range_hash, running
     n, span = len(data), window - GRAM + 1
-    counts = np.zeros(len(offsets) - 1, dtype=np.int32)
-    none = np.zeros(0, dtype=np.uint8)
+    none = np.zeros(0, dtype=np.int64)
     if n < window:
-        return counts, none, none
+        return none, none, none
     at = np.arange(n - GRAM + 1)
     least = (range_hash(running(data), at, at + GRAM) & U64(0xFFFFFFFF00000000)) | at.astype(U64)
     width = 1
@@ -78,14 +100,9 @@ def anchors(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW) -> tupl
     whole = np.arange(len(place)) + window <= offsets[text + 1]
     place, text = place[whole], text[whole]
     if not len(place):
-        return counts, none, none
+        return none, none, none
     first = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (text[1:] != text[:-1]))))
-    windows = np.diff(np.append(first, len(place)))
-    place, text = place[first], text[first]
-    counts += np.bincount(text, minlength=len(counts)).astype(np.int32)
-    new = np.concatenate(([True], text[1:] != text[:-1]))
-    gap = np.where(new, place - offsets[text], np.diff(place, prepend=0))
-    return counts, gap.astype(np.uint8), windows.astype(np.uint8)
+    return place[first], text[first], np.diff(np.append(first, len(place)))
 
 
 def _packs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
@@ -105,8 +122,8 @@ def _packs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         parts = [np.concatenate([f[k] for f in found]) for k in range(3)]
         digests = b"".join(hashlib.sha256(x).digest()[:16] for x in raw)
         cells = [np.array(ids, dtype=np.int64).tobytes(), lens.tobytes(), digests, *(p.tobytes() for p in parts), data.tobytes()]
-        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)],
-                                         ["pack", "ids", "lens", "digests", "counts", "gaps", "windows", "data"])
+        out = pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([len(data)], pa.int64()), *(pa.array([c], pa.binary()) for c in cells)],
+                                         ["pack", "bytes", "ids", "lens", "digests", "counts", "gaps", "windows", "data"])
         number, ids, raw, held = number + 1, [], [], 0
         return out
 
@@ -428,12 +445,15 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     if not GRAM + 8 <= window <= 128:
         raise ValueError("windows of 24 to 128 bytes")
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     given = docs.select(docs[id_column].cast("long").alias("doc_id"), text_of(docs, text_column).alias("text"))
-    packed = given.mapInArrow(lambda b: _packs(b, window), "pack long, ids binary, lens binary, digests binary, counts binary, gaps binary, windows binary, data binary")
+    packed = given.mapInArrow(lambda b: _packs(b, window), "pack long, bytes long, ids binary, lens binary, digests binary, counts binary, gaps binary, windows binary, data binary")
     name = f"packs_{uuid.uuid4().hex}"
-    packed.write.option("path", shared_dir(spark, "packs")).option("compression", "zstd").bucketBy(shards, "pack").saveAsTable(name)
+    path = shared_dir(spark, "packs")
+    packed.write.option("path", path).option("compression", "zstd").bucketBy(parts, "pack").saveAsTable(name)
     packs = spark.table(name)
+    shards = max(parts, -(-(packs.agg(F.sum("bytes")).first()[0] or 0) // SHARD))
+    packs = packs.drop("bytes")
     try:
         copies = written(_copies(packs), "packs-copies")
         known = packs.join(copies.hint("shuffle_hash"), "pack", "left")
@@ -449,6 +469,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
         return written(known.mapInArrow(_cut(shards, window, texts), "doc_id long, n_bytes long, n_removed long, n_spans long, digest string, kept string"), "packs-kept")
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove(spark, path)
 
 
 def _copies(packs: DataFrame) -> DataFrame:

@@ -16,8 +16,6 @@ from __future__ import annotations
 
 import numpy as np
 
-from blotter.llm.textbytes import mix, powers
-
 U64 = np.uint64
 SMALL = 1024  # symbols of a recursive alphabet that is still scanned bucket by bucket
 
@@ -112,6 +110,22 @@ def _doubled(names: np.ndarray) -> np.ndarray:
             return order
 
 
+def _as_before(s: np.ndarray, at: np.ndarray, size: np.ndarray, most: int = 1 << 18) -> np.ndarray:
+    """Which of the substrings equal the one before them (the first: none), symbol by symbol, a part of them at a time."""
+    out = np.concatenate(([False], size[1:] == size[:-1]))
+    rows = np.flatnonzero(out)
+    upto = np.concatenate(([0], np.cumsum(size[rows])))
+    i = 0
+    while i < len(rows):
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + most, side="right")) - 1)
+        part = rows[i:j]
+        first = upto[i:j] - upto[i]
+        step = np.arange(upto[j] - upto[i]) - np.repeat(first, size[part])
+        out[part] = ~np.logical_or.reduceat(s[np.repeat(at[part], size[part]) + step] != s[np.repeat(at[part - 1], size[part]) + step], first)
+        i = j
+    return out
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of symbols 0.., whose last one is 0 and the only 0."""
     n = len(s)
@@ -128,12 +142,8 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     ordered = first[is_lms[first]]
     end = np.full(n, n, dtype=np.int64)
     end[lms[:-1]] = lms[1:] + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, dtype=U64)
-    np.cumsum((s.astype(U64) + U64(1)) * up[:n], out=sums[1:])
-    print_ = mix((sums[end[ordered]] - sums[ordered]) * down[ordered])
-    size = end[ordered] - ordered
-    differs = np.concatenate(([False], (print_[1:] != print_[:-1]) | (size[1:] != size[:-1])))
+    differs = ~_as_before(s, ordered, end[ordered] - ordered)
+    differs[0] = False
     name_of = np.zeros(n, dtype=np.int64)
     name_of[ordered] = np.cumsum(differs)
     names = name_of[lms]

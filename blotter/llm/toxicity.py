@@ -237,7 +237,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> t
     order = (F.xxhash64(F.lit(9), "doc_id"), F.col("doc_id"))
     chosen = rated.filter("toxic = 1").orderBy(*order).limit(most).union(rated.filter("toxic = 0").orderBy(*order).limit(most))
     rows = docs.select("doc_id", text_of(docs).alias("text")).filter(F.octet_length("text") <= LONGEST)
-    got = sorted(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").limit(4 * most).collect())  # chosen: 2 * most rows
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # one text an id
+    got = sorted(got.select("doc_id", "text", "toxic").collect())                                               # 2 * most at most
     rate = sizes.get(1, 0) / max(1, sum(sizes.values()))
     got = list({r.text: r for r in got}.values())  # copies would count as so many witnesses
     return [r.text.encode() for r in got], np.array([r.toxic == 1 for r in got], dtype=bool), rate

@@ -268,7 +268,7 @@ def test_forward_backward_against_enumeration():
 
 def test_quality_grades(spark, documents):
     docs, labels, truth = labelled(spark, documents)
-    got = {r["doc_id"]: r for r in rows_of(quality.graded(docs, quality.ratings_of(labels)))}
+    got = {r["row"]["doc_id"]: r for r in rows_of(quality.graded(docs, quality.ratings_of(labels)))}
     assert np.mean([got[i]["keep"] == bool(q) for i, q, _ in truth]) > 0.99
     assert all(0 <= r["tail"] <= 1 and 0 <= r["expected_grade"] <= 2 for r in got.values())
 
@@ -279,7 +279,9 @@ def test_classifiers_on_odd_input(spark, documents, odd):
     for labels in (none, nulls):
         docs = documents(odd, clashing=True)
         assert {r["score"] for r in rows_of(toxicity.toxicity(docs, labels))} == {0.0}
-        out = rows_of(quality.graded(documents(odd), quality.ratings_of(labels)))
+        clash = documents(odd, clashing=True).selectExpr("*", "'mine' as keep", "'mine' as tail", "'mine' as expected_grade")
+        out = rows_of(quality.graded(clash, quality.ratings_of(labels)))
+        assert all(r["row"][c] == "mine" for r in out for c in ("keep", "tail", "expected_grade"))
         assert len(out) == len(odd) and all(r["keep"] for r in out)
     docs, labels, _ = labelled(spark, documents, 200)
     assert toxicity.toxicity(documents(odd), labels).count() == len(odd)
@@ -289,14 +291,15 @@ def test_classifiers_on_odd_input(spark, documents, odd):
 
 
 # --- SQL ----------------------------------------------------------------------
-@pytest.mark.parametrize("name", ["op1_license_scan", "op7_suffix_dedup"])
+@pytest.mark.parametrize("name", ["op1_license_scan", "op7_suffix_dedup", "op11_line_dedup", "op12_prefix_trie", "op13_lexical_search"])
 def test_query_matches_its_sql(spark, sf, name):
     import duckdb
 
     from blotter.llm.oracle import ORACLE_SQL
     from blotter.llm.queries import QUERIES
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet')")
+    for t in ("documents", "conversations", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
     res = con.execute(ORACLE_SQL[name])
     columns = [d[0] for d in res.description]
     want = sorted(map(repr, res.fetchall()))
