@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.llm.common import table, written
+from blotter.llm.common import scope, table, tidy
+from blotter.session import shared_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ordinal grades learnt from the rated documents; those that are probably of the lowest grade go."""
     from blotter.llm.quality import graded, ratings_of
-    return graded(docs, ratings_of(table(spark, sf_dir, "labels"))).filter("keep").select(*docs.columns)
+    return graded(docs, ratings_of(table(spark, sf_dir, "labels"))).filter("keep").select("row.*")
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,5 +57,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage-{i}")
+        path = shared_dir(spark, f"stage-{i}")
+        with scope(spark):  # what the stage wrote on its way goes, its result stays
+            out = stage(spark, docs, sf_dir)
+            with tidy(spark):
+                out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
     return docs
