@@ -1,23 +1,19 @@
 """Baskets, frequent itemsets, association rules and rule application.
 
-Mining is Spark ML's distributed FP-growth.  Its outputs have a size bound
-that follows from the parameters, checked before anything is collected:
-a basket of at most ``k`` distinct items contains ``2**k - 1`` non-empty
-itemsets, and an itemset is frequent only if at least ``min_support * N``
-baskets contain it, so at most ``(2**k - 1) / min_support`` itemsets are
-frequent and at most ``k`` times as many rules exist.  Rule application
-broadcasts the rules (Spark ML does), which that bound makes safe.
+Mining is Spark ML's distributed FP-growth.  Rules are applied by
+:func:`blotter.operators.itemsets.predict`, which counts them first: few are
+broadcast, more meet the baskets by a join.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
 from pyspark.ml.fpm import FPGrowth, FPGrowthModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blotter.operators import itemsets
+
 ITEMS = "items"
 
 
@@ -33,16 +29,9 @@ def items_text(c: str | Column) -> Column:
     return F.array_join(F.array_sort(col), ",")
 
 
-def itemset_bound(max_items: int, min_support: float) -> int:
-    """Upper bound on the number of frequent itemsets (see module doc)."""
-    if not 0 < min_support <= 1:
-        raise ValueError("min_support must be in (0, 1]")
-    return math.floor((2 ** max_items - 1) / min_support)
-
-
-def mine(baskets: DataFrame, min_support: float, min_confidence: float, max_items: int | None = None,
+def mine(baskets: DataFrame, min_support: float, min_confidence: float,
          items_col: str = ITEMS, num_partitions: int | None = None) -> FPGrowthModel:
-    """Fit FP-growth.  ``max_items``: the largest basket size, for :func:`itemset_bound`; nothing is refused by it."""
+    """Fit FP-growth; its itemsets stay persisted until :func:`release`."""
     fp = FPGrowth(itemsCol=items_col, minSupport=min_support, minConfidence=min_confidence)
     if num_partitions:
         fp = fp.setNumPartitions(num_partitions)
@@ -76,4 +65,9 @@ def assoc_rules(model: FPGrowthModel, digits: int = 6) -> DataFrame:
 def apply_rules(model: FPGrowthModel, baskets: DataFrame) -> DataFrame:
     """Adds ``prediction``: consequents of every rule whose antecedent the basket holds,
     minus items it already holds; a NULL basket predicts ``[]``."""
-    return model.transform(baskets)
+    return itemsets.predict(model.associationRules, baskets, model.getItemsCol())
+
+
+def release(model: FPGrowthModel) -> None:
+    """Drop the persisted itemsets."""
+    model.freqItemsets.unpersist()

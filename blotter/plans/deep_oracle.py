@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from blotter.plans.oracle import _IN_TRAIN, EVENT_ITEMS_CTE, RAW_CTE, with_clean, with_raw
+from blotter.plans.oracle import _IN_TRAIN, EVENT_ITEMS_CTE, RAW, RAW_CTE, with_clean, with_raw
 from blotter.plans.oracle import oracle_sql as base_sql
-from blotter.schema import RAW
 
 
 def deep_sql() -> dict[str, str]:
@@ -31,7 +30,7 @@ def deep_sql() -> dict[str, str]:
         UNION ALL SELECT 'month_trend', CAST(month({d}) AS VARCHAR), count(*) FROM clean
             WHERE {d} >= DATE '1995-01-01' AND {d} < DATE '1998-01-01' GROUP BY month({d})
         UNION ALL SELECT 'weekday_trend', dayname({d}), count(*) FROM clean WHERE {d} IS NOT NULL GROUP BY dayname({d})
-        UNION ALL SELECT 'count_by_area_hispanic_latin', {text('area_name')}, count(*) FROM clean
+        UNION ALL SELECT 'count_by_area_hispanic', {text('area_name')}, count(*) FROM clean
             WHERE vict_descent = 'Hispanic/Latin' GROUP BY area_name""")
     scorer = f"""WITH {RAW_CTE},
 known AS (SELECT dr_no, premis_desc, vict_sex, status_desc, {_IN_TRAIN} AS in_train FROM raw_incidents),

@@ -89,7 +89,7 @@ def q_incremental_report(spark: SparkSession, sf: str) -> DataFrame:
             state.fold(with_calendar(layer.with_partition_year(again)), newest)
     tables = state.report(base.MONTH_RANGE, exclude_year=base.EXCLUDED_YEAR)
     out = None
-    for name in ("top_crime", "count_by_sex", "age_sex_dist", "year_trend", "month_trend", "weekday_trend", "count_by_area_hispanic_latin"):
+    for name in ("top_crime", "count_by_sex", "age_sex_dist", "year_trend", "month_trend", "weekday_trend", "count_by_area_hispanic"):
         df = tables[name]
         keys = [c for c in df.columns if c not in ("count", "crime_count")]
         one = df.select(F.lit(name).alias("report"), F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in keys)).alias("key"),

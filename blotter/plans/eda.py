@@ -21,9 +21,26 @@ REPORT_SETS = [["crm_cd_desc"], ["weapon_desc"], ["area_name"], ["vict_descent"]
                ["vict_age"], ["vict_age", "vict_sex"], ["area_name", "vict_descent"], ["day_of_week"]]
 
 
+class Report(dict):
+    """Tables by name; :meth:`release` drops what they share."""
+
+    grouped: trends.GroupedCounts | None = None
+
+    def release(self) -> None:
+        if self.grouped is not None:
+            self.grouped.release()
+
+
+def area_names(groups: list[str]) -> dict[str, str]:
+    """The table name of each group: its first word, or all of it where two groups begin alike."""
+    first = {v: trends.slug(v).split("_")[0] for v in groups}
+    short = list(first.values())
+    return {v: f"count_by_area_{s if short.count(s) == 1 else trends.slug(v)}" for v, s in first.items()}
+
+
 def eda_report(spark: SparkSession, clean: DataFrame, month_range: tuple[str, str],
                exclude_year: int | None = None, k: int = 10,
-               groups: list[str] = AREA_GROUPS, single_pass: bool = False) -> dict[str, DataFrame]:
+               groups: list[str] = AREA_GROUPS, single_pass: bool = False) -> Report:
     """Every table behind the charts.
 
     With ``single_pass`` the eleven plain group-by tables and the weekday trend
@@ -34,7 +51,7 @@ def eda_report(spark: SparkSession, clean: DataFrame, month_range: tuple[str, st
     if single_pass:
         with_day = clean.withColumn("day_of_week", trends.day_name(trends._date(clean, "date_occ")))
         g = trends.GroupedCounts(with_day, REPORT_SETS)
-        report = {
+        report = Report({
             "top_crime": g.top_k("crm_cd_desc", k),
             "top_weapon": g.top_k("weapon_desc", k),
             "top_area": g.top_k("area_name", k),
@@ -46,11 +63,12 @@ def eda_report(spark: SparkSession, clean: DataFrame, month_range: tuple[str, st
             "month_trend": trends.month_trend(clean, *month_range),
             "weekday_trend": g.weekday(weekday_dim(spark)),
             "area_by_group_wide": g.area_wide(groups),
-        }
-        for v in groups:
-            report[f"count_by_area_{trends.slug(v).split('_')[0]}"] = g.by_area(v)
+        })
+        report.grouped = g
+        for v, name in area_names(groups).items():
+            report[name] = g.by_area(v)
         return report
-    report = {
+    report = Report({
         "top_crime": trends.top_k(clean, "crm_cd_desc", k),
         "top_weapon": trends.top_k(clean, "weapon_desc", k),
         "top_area": trends.top_k(clean, "area_name", k),
@@ -62,7 +80,7 @@ def eda_report(spark: SparkSession, clean: DataFrame, month_range: tuple[str, st
         "month_trend": trends.month_trend(clean, *month_range),
         "weekday_trend": trends.weekday_trend(clean, weekday_dim(spark)),
         "area_by_group_wide": trends.area_by_group_wide(clean, groups),
-    }
-    for g in groups:
-        report[f"count_by_area_{trends.slug(g).split('_')[0]}"] = trends.by_area(clean, g)
+    })
+    for v, name in area_names(groups).items():
+        report[name] = trends.by_area(clean, v)
     return report

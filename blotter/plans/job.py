@@ -7,7 +7,8 @@
 Steps (each result is written as Parquet below ``--out``; nothing is
 collected except small summaries printed at the end):
 
-1. parse the raw CSV once into ``raw/`` (all text), profile it:
+1. split the raw CSV into rows (``raw/``, all text) and malformed lines (``quarantine/lines`` with file and
+   reason, ``quarantine/counts``), profile the rows:
    ``profile/nulls``, ``profile/distinct``, ``profile/unmapped``, ``profile/filter_counts``;
 2. clean into ``clean/`` (partitioned by ``occ_year``);
 3. the exploratory report: ``report/<name>`` for every table behind the charts;
@@ -38,6 +39,7 @@ from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.sources import layer
 from blotter.session import size_to_input
 from blotter.sources.csv import read_raw_csv
+from blotter.sources.quarantine import split_csv
 
 
 DISTINCT_COLUMNS = ["crm_cd_desc", "premis_desc", "weapon_desc", "status_desc"]
@@ -57,7 +59,10 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
         min_support: float = 0.2, min_confidence: float = 0.5,
         location_encoding: str = "hashed") -> dict:
     out = out.rstrip("/")
-    layer.write_raw_layer(read_raw_csv(spark, raw_csv), f"{out}/raw")
+    split = split_csv(spark, raw_csv)
+    layer.write_raw_layer(split.rows(), f"{out}/raw")
+    _write(split.rejected(), f"{out}/quarantine/lines")
+    _write(split.counts(), f"{out}/quarantine/counts")
     raw = layer.read_layer(spark, f"{out}/raw")
     dim = recode.check_dim(dictionary)
     if dim.has("premise_pass2"):
@@ -74,8 +79,10 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     layer.write_layer(clean_incidents(raw, dim, passes, keep=("dr_no",)), f"{out}/clean")
     clean = layer.read_layer(spark, f"{out}/clean")
 
-    for name, df in eda_report(spark, clean, month_range, exclude_year=exclude_year, single_pass=True).items():
+    report = eda_report(spark, clean, month_range, exclude_year=exclude_year, single_pass=True)
+    for name, df in report.items():
         _write(df, f"{out}/report/{name}")
+    report.release()
 
     key = classify.row_key("dr_no")
     baskets = incident_baskets(clean.withColumn("dr_no", key), "dr_no")
@@ -85,6 +92,7 @@ def run(spark: SparkSession, raw_csv: str, dictionary: DataFrame, out: str,
     _write(rm.predictions().select("dr_no", F.array_join(F.array_sort("items"), ",").alias("items"),
                                    F.array_join(F.array_sort("prediction"), ",").alias("prediction")),
            f"{out}/rules/predictions")
+    rm.release()
 
     forest = train_classifier(raw, key, location_encoding=location_encoding)
     _write(forest.predictions(), f"{out}/forest/predictions")

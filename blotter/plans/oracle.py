@@ -1,8 +1,8 @@
 """Independent SQL (DuckDB dialect) for every SQL-expressible registered query.
 
 The stand-in incident table, the dictionaries and the cleaning rules are
-restated here in plain SQL, codes included; a query and its oracle share the test
-tables, the column lists and the thresholds.  Two-pass recoding is written as two sequential lookups (not as the
+restated here in plain SQL, codes, column lists and thresholds included; a query and its oracle share
+the test tables alone.  Two-pass recoding is written as two sequential lookups (not as the
 merged dictionary the library builds); frequent itemsets come from a
 ``GROUP BY CUBE`` (each basket holds one distinct item per column), rules
 from self-joins of the itemsets.
@@ -10,19 +10,20 @@ from self-joins of the itemsets.
 
 from __future__ import annotations
 
-from blotter.plans.queries import (
-    EXCLUDED_YEAR,
-    MIN_CONFIDENCE,
-    MIN_SUPPORT,
-    MONTH_RANGE,
-    TOP_K,
-    TRAIN_PERCENT,
-    INCIDENT_CONFIDENCE,
-    INCIDENT_SUPPORT,
-)
-from blotter.operators.classify import HASH_WIDTH
-from blotter.schema import BASKET_COLUMNS, DROPPED, RAW
-
+# --- fixed values: parameters of the queries, stated anew ---------------------
+EXCLUDED_YEAR = 2001
+MONTH_RANGE = ("1995-01-01", "1998-01-01")
+TOP_K = 10
+TRAIN_PERCENT = 80
+MIN_SUPPORT, MIN_CONFIDENCE = 0.1, 0.5
+INCIDENT_SUPPORT, INCIDENT_CONFIDENCE = 0.2, 0.5
+HASH_WIDTH = 64
+RAW = ["dr_no", "date_rptd", "date_occ", "time_occ", "area", "area_name", "rpt_dist_no", "part_1_2", "crm_cd", "crm_cd_desc", "mocodes",
+       "vict_age", "vict_sex", "vict_descent", "premis_cd", "premis_desc", "weapon_used_cd", "weapon_desc", "status", "status_desc",
+       "crm_cd_1", "crm_cd_2", "crm_cd_3", "crm_cd_4", "location", "cross_street", "lat", "lon"]
+DROPPED = ["dr_no", "area", "rpt_dist_no", "part_1_2", "crm_cd", "mocodes", "premis_cd", "weapon_used_cd", "status",
+           "crm_cd_1", "crm_cd_2", "crm_cd_3", "crm_cd_4", "cross_street"]
+BASKET_COLUMNS = ["area_name", "crm_cd_desc", "premis_desc", "weapon_desc", "vict_descent"]
 
 # --- fixed values: the dictionaries, as SQL of their own ---------------------
 SEX_VALUES = "('F', 'Female'), ('M', 'Male'), ('X', 'Unknown')"

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.fpm import FPGrowthModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -319,6 +320,11 @@ def _memo(kind: str, spark: SparkSession, sf: str, build):
     """One fitted model per (kind, session, folder), fitted anew when the folder's files have changed."""
     key, state = (kind, spark.sparkContext.applicationId, sf), _state(spark, sf)
     if key not in _MODELS or _MODELS[key][0] != state:
+        old = _MODELS.pop(key, (None, None))[1]
+        if isinstance(old, FPGrowthModel):
+            patterns.release(old)
+        elif hasattr(old, "release"):
+            old.release()
         _MODELS[key] = (state, build())
     return _MODELS[key][1]
 
@@ -326,7 +332,7 @@ def _memo(kind: str, spark: SparkSession, sf: str, build):
 def event_rule_model(spark, sf):
     def build():
         train, _ = classify.key_split(event_baskets(spark, sf), "event_id", TRAIN_PERCENT)
-        return patterns.mine(train, MIN_SUPPORT, MIN_CONFIDENCE, max_items=len(EVENT_ITEM_COLUMNS))
+        return patterns.mine(train, MIN_SUPPORT, MIN_CONFIDENCE)
     return _memo("fpgrowth", spark, sf, build)
 
 

@@ -33,6 +33,9 @@ class RuleMining:
     def predictions(self) -> DataFrame:
         return patterns.apply_rules(self.model, self.test)
 
+    def release(self) -> None:
+        patterns.release(self.model)
+
 
 def incident_baskets(clean: DataFrame, key: str | Column, columns: list[str] = BASKET_COLUMNS) -> DataFrame:
     """(``key``, ``items``) for every incident with five known, non-placeholder values."""
@@ -41,8 +44,8 @@ def incident_baskets(clean: DataFrame, key: str | Column, columns: list[str] = B
 
 
 def mine_rules(baskets: DataFrame, key: str, min_support: float = 0.2, min_confidence: float = 0.5,
-               max_items: int = len(BASKET_COLUMNS), train_percent: int = 80, salt: int = 0) -> RuleMining:
+               train_percent: int = 80, salt: int = 0) -> RuleMining:
     """Defaults are the reference's thresholds (support 0.2, confidence 0.5, 80/20 split)."""
     train, test = classify.key_split(baskets, key, train_percent, salt)
-    model = patterns.mine(train, min_support, min_confidence, max_items)
+    model = patterns.mine(train, min_support, min_confidence)
     return RuleMining(model, train, test)

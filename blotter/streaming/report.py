@@ -25,7 +25,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from blotter.operators import trends
 from blotter.operators.recode import CheckedDim
-from blotter.plans.eda import AREA_GROUPS, REPORT_SETS
+from blotter.plans.eda import AREA_GROUPS, REPORT_SETS, area_names
 from blotter.sources.dims import weekday_dim
 from blotter.sources.layer import PARTITION_COLUMN
 from blotter.streaming.ingest import clean_stream
@@ -128,7 +128,7 @@ class CountState:
             "year_trend": trends._small_sorted(year, "year"), "month_trend": trends._small_sorted(month, "month"),
             "weekday_trend": g.weekday(weekday_dim(self.spark)), "area_by_group_wide": g.area_wide(groups),
         }
-        return out | {f"count_by_area_{trends.slug(v)}": g.by_area(v) for v in groups}
+        return out | {name: g.by_area(v) for v, name in area_names(groups).items()}
 
 
 def start_report(spark: SparkSession, source_dir: str, state_path: str, checkpoint_location: str, dim: DataFrame | CheckedDim,

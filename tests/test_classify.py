@@ -135,3 +135,70 @@ def test_skipped_rows_counted(spark):
     from pyspark.ml.feature import VectorAssembler
     kept = VectorAssembler(inputCols=["a", "b"], outputCol="v", handleInvalid="skip").transform(df).count()
     assert kept == r.rows - r.skipped
+
+
+# --- the forest, checked node by node ---------------------------------------------
+def _walk(node):
+    """A tree node of the fitted model as plain numbers: (counts, gain, None) or (counts, gain, (feature, test, left, right))."""
+    counts = [float(x) for x in node.impurityStats().stats()]
+    if node.subtreeDepth() == 0:
+        return counts, 0.0, None
+    split = node.split()
+    if "Categorical" in split.getClass().getSimpleName():
+        left = set(float(x) for x in split.leftCategories())
+        test = lambda v, left=left: v in left
+    else:
+        at = split.threshold()
+        test = lambda v, at=at: v <= at
+    return counts, float(node.gain()), (split.featureIndex(), test, _walk(node.leftChild()), _walk(node.rightChild()))
+
+
+def test_forest_scores_and_importances_follow_from_its_trees(spark, sf):
+    """Predictions, confusion and importances recomputed in Python from the exported nodes."""
+    from collections import Counter, defaultdict
+
+    from blotter.plans.classification import train_classifier
+    from blotter.sources.standin import raw_incidents
+    got = train_classifier(raw_incidents(spark, sf), classify.row_key("dr_no"))
+    forest = got.model.stages[-1]
+    trees = [_walk(t._java_obj.rootNode()) for t in forest.trees]
+    labels = classify.label_names(got.model)
+    rows = got.assembled.select("features", "label", "prediction", "status_desc").collect()
+    assert len(rows) > 500
+    matrix = Counter()
+    for r in rows:
+        votes = [0.0] * len(labels)
+        for tree in trees:
+            counts, _, split = tree
+            while split:
+                feature, test, left, right = split
+                counts, _, split = left if test(float(r.features[feature])) else right
+            total = sum(counts)
+            votes = [v + c / total for v, c in zip(votes, counts)]
+        best = max(votes)
+        assert votes[int(r.prediction)] >= best - 1e-9 and labels[int(r.label)] == r.status_desc
+        matrix[int(r.label), int(r.prediction)] += 1
+    assert {(r.label, r.prediction): r["count"] for r in got.confusion().collect()} == matrix
+    acc = got.accuracy().first()
+    assert acc.scored == len(rows) and acc.correct == sum(n for (a, b), n in matrix.items() if a == b)
+    total = defaultdict(float)
+    for tree in trees:
+        own, todo = defaultdict(float), [tree]
+        while todo:
+            counts, gain, split = todo.pop()
+            if split:
+                own[split[0]] += gain * sum(counts)
+                todo += [split[2], split[3]]
+        whole = sum(own.values())
+        for f, x in own.items():
+            total[f] += x / whole
+    whole = sum(total.values())
+    owners = classify.slot_owners(got.assembled.schema, got.features)
+    want = defaultdict(float)
+    for f, x in total.items():
+        want[owners[f]] += x / whole
+    for name, x in got.importances():
+        assert abs(x - want[name]) < 1e-9, name
+    shown = got.predictions()
+    assert shown.columns[-2:] == ["prediction", "predicted"] and shown.count() == len(rows)
+    assert all(labels[r.prediction] == r.predicted for r in shown.select("prediction", "predicted").collect())

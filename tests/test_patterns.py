@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from blotter.operators.patterns import apply_rules, assoc_rules, basket, freq_itemsets, itemset_bound, mine
+from blotter.operators.patterns import apply_rules, assoc_rules, basket, freq_itemsets, mine
 
 
 def test_basket_drops_null_and_repeats(spark):
@@ -29,7 +29,7 @@ def test_fpgrowth_matches_brute_force(spark):
             ("y", "q", "v"), ("x", "p", "u"), ("y", "p", "v")]
     df = spark.createDataFrame(rows, "a string, b string, c string")
     baskets = df.select(basket(["a", "b", "c"]).alias("items"))
-    model = mine(baskets, 0.25, 0.6, max_items=3)
+    model = mine(baskets, 0.25, 0.6)
     got = {r.items: r.freq for r in freq_itemsets(model).collect()}
     assert got == _brute_force([set(r) for r in rows], 0.25)
     n = len(rows)
@@ -43,17 +43,13 @@ def test_fpgrowth_matches_brute_force(spark):
 def test_rule_application_and_null(spark):
     rows = [("x", "p"), ("x", "p"), ("x", "p"), ("y", "q")]
     df = spark.createDataFrame(rows, "a string, b string")
-    model = mine(df.select(basket(["a", "b"]).alias("items")), 0.5, 0.5, max_items=2)
+    model = mine(df.select(basket(["a", "b"]).alias("items")), 0.5, 0.5)
     test = spark.createDataFrame([(["x"],), (None,), (["x", "p"],)], "items array<string>")
     preds = [r.prediction for r in apply_rules(model, test).collect()]
     assert preds == [["p"], [], []]
 
 
-def test_itemset_bound():
-    assert itemset_bound(5, 0.1) == 310
-
-
 def test_mine_does_not_refuse_by_a_bound(spark):
     df = spark.createDataFrame([(["a", "b"],), (["a", "c", "d", "b"],)] * 25, "items array<string>")
-    model = mine(df, 0.2, 0.5, max_items=24)
+    model = mine(df, 0.2, 0.5)
     assert freq_itemsets(model).count() == 15

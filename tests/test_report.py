@@ -15,3 +15,10 @@ def test_single_pass_report_equals_separate_queries(spark, sf):
         assert [tuple(r) for r in a.collect()] == [tuple(r) for r in b.collect()] or \
             sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str), name
     df.unpersist()
+
+
+def test_groups_that_begin_alike_have_tables_of_their_own():
+    from blotter.plans.eda import area_names
+    assert area_names(["Hispanic/Latin", "Black", "Other Asian", "Other"]) == {
+        "Hispanic/Latin": "count_by_area_hispanic", "Black": "count_by_area_black",
+        "Other Asian": "count_by_area_other_asian", "Other": "count_by_area_other"}
