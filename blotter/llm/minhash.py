@@ -360,7 +360,10 @@ def text_classes(rows: DataFrame, given: DataFrame, similarity: float = SIMILARI
     across = across.select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct()
     known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     across = written(across.join(known, ["u", "v"], "left_anti"), "minhash-across")
-    roots = written(components(first.unionByName(_verified(across, nodes, given, similarity))), "minhash-classes")
+    if not across.isEmpty():
+        more = written(_verified(across, nodes, given, similarity), "minhash-more")
+        if not more.isEmpty():
+            roots = written(components(first.unionByName(more)), "minhash-classes")
     named = nodes.join(roots, nodes["text_key"] == roots["node"], "left").filter("root is not null or copies > 1") \
         .select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
     classes = named.groupBy("root").agg(F.struct(F.min("rep").alias("id")).alias("class_of"))
