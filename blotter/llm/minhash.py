@@ -45,7 +45,8 @@ BANDS, ROWS = 21, 6            # of 126 values: a pair of similarity 0.8 shares
 SIMILARITY = 0.8
 CHUNK = 1 << 18                # bytes hashed at a time
 STAR = 500                     # texts that one task compares with the same centre
-ROLES = 500_000                # candidates (32 bytes each) that are broadcast to the scan of the texts, at most
+ROLES = 200_000                # candidates (32 bytes each) that are broadcast to the scan of the texts, at most
+BLOCK = 30_000                 # shingles on either side of a block of members that are compared
 NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -290,11 +291,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, similarity:
     others = lookup(pairs, stars, ["u"]).select(F.col("v").alias("text_key"), "u", at, F.lit(1).alias("place"))
     centres = stars.select(F.col("u").alias("text_key"), "u", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("place"))
     roles = others.unionByName(centres).join(nodes.select("text_key", "rep"), "text_key")
-    roles = written(roles, "minhash-roles")
-    if roles.count() <= ROLES:
-        roles = F.broadcast(roles)
-    texts = given.join(roles, (given["text_key"] == roles["text_key"]) & given["doc_id"].eqNullSafe(roles["rep"])) \
-        .select("u", "slice", "place", roles["text_key"].alias("v"), "text")
+    texts = _texts_of(written(roles, "minhash-roles"), given).select("u", "slice", "place", F.col("text_key").alias("v"), "text")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         star, mine = None, np.zeros(0, dtype=np.uint64)
@@ -316,15 +313,91 @@ def _verified(pairs: DataFrame, nodes: DataFrame, given: DataFrame, similarity:
     return texts.repartition(n, "u", "slice").sortWithinPartitions("u", "slice", "place", "v").mapInArrow(verify, "u long, v long")
 
 
+def _texts_of(roles: DataFrame, given: DataFrame) -> DataFrame:
+    """``roles`` (text_key, rep and others; a written table) with the text, from another scan."""
+    if roles.count() <= ROLES:
+        roles = F.broadcast(roles)
+    return given.join(roles, (given["text_key"] == roles["text_key"]) & given["doc_id"].eqNullSafe(roles["rep"])).drop(given["text_key"], given["doc_id"])
+
+
+def _across(shared: DataFrame, roots: DataFrame, nodes: DataFrame, given: DataFrame, similarity: float) -> DataFrame:
+    """(u, v): the links between different classes of one band.
+
+    Members outside of the band's main class meet all members, in blocks of about BLOCK shingles on either side: a task
+    has two slices of shingle sets, counts their intersections from the shingles they share, and gives back links only.
+    """
+    named = lookup(shared, roots.select(F.col("node").alias("text_key"), "root"), ["text_key"]) \
+        .select("key", "text_key", "size", F.coalesce("root", "text_key").alias("class"))
+    named = written(named, "minhash-named")
+    per = named.groupBy("key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    per = per.groupBy("key").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("n"),
+                                 F.sum("size").alias("all_size"), F.max_by("size", F.struct("n", "class")).alias("main_size"))
+    cuts = lambda c: F.ceil(c / BLOCK)
+    mixed = per.filter("most < n").select("key", "main", cuts(F.col("all_size") - F.col("main_size")).alias("few_cuts"), cuts(F.col("all_size")).alias("cuts"))
+    named = lookup(named, written(mixed, "minhash-mixed"), ["key"]).filter("main is not null")
+    named = written(named, "minhash-members")
+    roles = written(named.select("text_key").distinct().join(nodes.select("text_key", "rep"), "text_key"), "minhash-members-ids")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_shingle_set(t.encode()).tobytes() for t in batch.column(1).to_pylist()], pa.binary())],
+                                             ["text_key", "shingles"])
+
+    found = _texts_of(roles, given).select("text_key", "text").mapInArrow(sets, "text_key long, shingles binary")
+    found = written(found.groupBy("text_key").agg(F.first("shingles").alias("shingles")), "minhash-sets")
+    at = lambda n: F.pmod(F.xxhash64("text_key"), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    columns = ["key", "class", "text_key", "side", "i", "j"]
+    few = named.filter("class <> main").withColumn("side", F.lit(0)).withColumn("i", at(F.col("few_cuts"))).withColumn("j", every(F.col("cuts")))
+    all_ = named.withColumn("side", F.lit(1)).withColumn("j", at(F.col("cuts"))).withColumn("i", every(F.col("few_cuts")))
+    placed = written(few.select(*columns).unionByName(all_.select(*columns)), "minhash-blocks")
+
+    def links(block: pa.Table) -> pa.Table:
+        side = block.column("side").to_numpy()
+        parts = [block.filter(pa.array(side == k)) for k in (0, 1)]
+        u, v = _block_links(*([p.column(c).to_pylist() for c in ("text_key", "class", "shingles")] for p in parts), similarity)
+        return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return lookup(placed, found, ["text_key"]).groupBy("key", "i", "j").applyInArrow(links, "u long, v long").distinct()
+
+
+def _block_links(few: list[list], all_: list[list], similarity: float) -> tuple[list[int], list[int]]:
+    """The pairs of ``few`` and ``all_`` (keys, classes, shingle sets) of different classes that are as similar as that."""
+    a, b = ([np.frombuffer(x, dtype=np.uint64) for x in rows[2]] for rows in (few, all_))
+    if not a or not b:
+        return [], []
+    size_a, size_b = (np.array([len(x) for x in xs]) for xs in (a, b))
+    x, y = np.concatenate(a), np.concatenate(b)
+    who_a, who_b = np.repeat(np.arange(len(a)), size_a), np.repeat(np.arange(len(b)), size_b)
+    order = np.argsort(y, kind="stable")
+    y, who_b = y[order], who_b[order]
+    low, high = np.searchsorted(y, x, side="left"), np.searchsorted(y, x, side="right")
+    both = np.zeros(len(a) * len(b), dtype=np.int64)
+    times = high - low
+    upto = np.concatenate(([0], np.cumsum(times)))
+    i = 0
+    while i < len(x):                                   # a few million meetings of equal shingles at a time
+        j = max(i + 1, int(np.searchsorted(upto, upto[i] + (1 << 22), side="right")) - 1)
+        n = times[i:j]
+        at = np.repeat(low[i:j] - (upto[i:j] - upto[i]), n) + np.arange(upto[j] - upto[i])
+        both += np.bincount(np.repeat(who_a[i:j], n) * len(b) + who_b[at], minlength=len(both))
+        i = j
+    both = both.reshape(len(a), len(b))
+    alike = (both > 0) & (both >= similarity * (size_a[:, None] + size_b[None, :] - both))
+    alike &= np.array(few[1])[:, None] != np.array(all_[1])[None, :]
+    u, v = np.nonzero(alike)
+    return [few[0][k] for k in u], [all_[0][k] for k in v]
+
+
 def near_duplicate_classes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                            similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id): the smallest id reachable over texts of at least this Jaccard similarity.
 
     Equal texts are one node.  Nodes that share a band are candidates, in two steps that miss none of them: first
-    every node is verified against the band's least node with which it shares most bands, which makes one class of what
-    belongs together in all but rare cases; then the nodes of a band that are still in different classes (and whose
-    sizes allow the similarity) are verified against each other.  So a band of thousands of near copies costs no more
-    pairs than it has members; a pair inside one class could not change the classes.
+    every node is verified against one centre, the best known member of its bands, which makes one class of what
+    belongs together in all but rare cases; then the members of a band outside of its main class are
+    compared with all members, inside blocks that give back links only.  So a band of thousands of near copies costs no
+    more pairs than it has members; a pair inside one class could not change the classes.
     """
     given = _keyed(docs, id_column, text_column)
     rows = written(_signed(given), "minhash-signed")
@@ -339,31 +412,21 @@ def text_classes(rows: DataFrame, given: DataFrame, similarity: float = SIMILARI
     nodes = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"),
                                                  F.first("bands").alias("bands")), "minhash-nodes")
     bands = nodes.filter("size > 0").select("text_key", "size", "bands").mapInArrow(_band_rows, "text_key long, size long, key long")
-    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-    # the least node of each band, beside its size; a band of one has no pair
-    least = bands.groupBy("key").agg(F.min(F.struct("text_key", "size")).alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    least = written(least.select("key", "least"), "minhash-least")
-    shared = bands.join(least, "key").filter((F.col("text_key") != F.col("least.text_key")) & fits(F.col("size"), F.col("least.size"))) \
-        .groupBy(F.col("text_key").alias("v"), F.col("least.text_key").alias("u")).agg(F.count(F.lit(1)).alias("n"))
-    stars = written(shared.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"), "minhash-pairs")
+    held = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")     # a band of one has no pair
+    shared = written(bands.join(held, "key"), "minhash-shared")
+    # A band's centre is its member that shares most bands with others: of a text and its edited copies, the text.
+    fame = shared.groupBy("text_key").agg(F.sum("n").alias("fame"))
+    shared = written(shared.join(fame, "text_key"), "minhash-fame")
+    centre = shared.groupBy("key").agg(F.max_by(F.struct("text_key", "size"), F.struct("fame", "text_key")).alias("centre"))
+    fits = F.least("size", "centre.size") >= similarity * F.greatest("size", "centre.size")
+    near = lookup(shared, centre, ["key"]).filter((F.col("text_key") != F.col("centre.text_key")) & fits) \
+        .groupBy(F.col("text_key").alias("v"), F.col("centre.text_key").alias("u")).agg(F.count(F.lit(1)).alias("n"))
+    stars = written(near.groupBy("v").agg(F.max_by("u", F.struct("n", "u")).alias("u")).select("u", "v"), "minhash-pairs")
     first = written(_verified(stars, nodes, given, similarity), "minhash-stars")
     roots = written(components(first), "minhash-roots")
-    # what shares a band and is in different classes still
-    named = bands.join(least.select("key"), "key").join(roots, F.col("text_key") == F.col("node"), "left").select(
-        "key", "text_key", "size", F.coalesce("root", "text_key").alias("class"))
-    named = written(named, "minhash-named")
-    mixed = named.groupBy("key").agg((F.min("class") != F.max("class")).alias("mixed")).filter("mixed").select("key")
-    named = written(named.join(mixed, "key"), "minhash-mixed")
-    x, y = named.alias("x"), named.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.class") != F.col("y.class"))
-                    & (F.col("x.text_key") < F.col("y.text_key")) & fits(F.col("x.size"), F.col("y.size")))
-    across = across.select(F.col("x.text_key").alias("u"), F.col("y.text_key").alias("v")).distinct()
-    known = stars.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    across = written(across.join(known, ["u", "v"], "left_anti"), "minhash-across")
-    if not across.isEmpty():
-        more = written(_verified(across, nodes, given, similarity), "minhash-more")
-        if not more.isEmpty():
-            roots = written(components(first.unionByName(more)), "minhash-classes")
+    more = written(_across(shared, roots, nodes, given, similarity), "minhash-more")
+    if not more.isEmpty():
+        roots = written(components(first.unionByName(more)), "minhash-classes")
     named = nodes.join(roots, nodes["text_key"] == roots["node"], "left").filter("root is not null or copies > 1") \
         .select("text_key", "rep", F.coalesce("root", "text_key").alias("root"))
     classes = named.groupBy("root").agg(F.struct(F.min("rep").alias("id")).alias("class_of"))
