@@ -95,9 +95,9 @@ near AS (SELECT u.domain, u.value, u.n, k.raw AS suggestion, levenshtein(upper(u
 least AS (SELECT domain, value, min(distance) AS distance FROM near GROUP BY domain, value)
 SELECT domain, value, n, suggestion, CAST(distance AS INTEGER) AS distance
 FROM near JOIN least USING (domain, value, distance) WHERE distance <= 2"""
-    others = " || '|' || ".join(f"coalesce({c}, '')" for c in RAW if c != "dr_no")
+    whole = " || '|' || ".join(f"coalesce({c}, '')" for c in RAW)
     q["stratified_split"] = with_raw(f"""SELECT dr_no, status_desc,
-        row_number() OVER (PARTITION BY status_desc ORDER BY CAST('0x' || substr(md5(coalesce(dr_no, {others})), 1, 15) AS BIGINT))
+        row_number() OVER (PARTITION BY status_desc ORDER BY CAST('0x' || substr(md5({whole}), 1, 15) AS BIGINT))
         <= count(*) OVER (PARTITION BY status_desc) * 80 // 100 AS in_train FROM raw_incidents""")
     q["clustered_area_dates"] = with_clean(f"""SELECT area_name, crm_cd_desc, count(*) AS count FROM clean
         WHERE area_name = 'NATION_3' AND {d} >= DATE '1995-01-01' AND {d} < DATE '1995-07-01' GROUP BY ALL""")

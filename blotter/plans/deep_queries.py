@@ -157,8 +157,7 @@ def q_repair_suggestions(spark, sf):
 
 def q_stratified_split(spark, sf):
     rows = base.raw(spark, sf)
-    others = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in rows.columns if c != "dr_no"))
-    key = F.coalesce("dr_no", others)
+    key = F.concat_ws("|", *(F.coalesce(F.col(c), F.lit("")) for c in rows.columns))    # some incident numbers come twice
     out = evaluate.stratified_flag(rows, "status_desc", key, base.TRAIN_PERCENT)
     return out.select("dr_no", "status_desc", "in_train")
 
