@@ -8,8 +8,10 @@ the words that occur in far more toxic than clean training documents are
 toxic tokens, all others are clean ones.  The likelihood is maximised by
 gradient steps on expected counts from forward-backward.
 
-A document is cut into runs of RUN words, each one chain, so whole texts are
-scored.  Marginals of being toxic give the offending spans (maximal runs of
+A document is one chain.  It is computed in runs of RUN words, many runs of many
+documents at once: each run's steps are multiplied to one matrix, the matrices carry the
+messages from run to run, and every run then starts from the messages of its neighbours.  (Training
+takes the runs as chains of their own.)  Marginals of being toxic give the offending spans (maximal runs of
 words at HALF or more) and, through a logistic link fitted on the training
 documents, the document's score.
 
@@ -75,22 +77,55 @@ def chains(text: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(per) - per, counts) + place // RUN, place % RUN
 
 
-def forward_backward(odds: np.ndarray, length: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of the toxic state (chain, step), and expected transitions (2 x 2).
+def carried(odds: np.ndarray, length: np.ndarray, trans: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The messages that enter each run of a longer chain from before and from after it, as shares of the toxic state.
 
-    ``odds``: exp of the evidence. Messages are scaled to sum to one at every step.
+    ``number``: 0, 1, 2 ... for the runs of a chain, which follow one another.
+    """
+    t = np.exp(trans)
+    p = [np.ones(len(odds)), np.zeros(len(odds)), np.zeros(len(odds)), np.ones(len(odds))]     # row by row
+    for s in range(odds.shape[1]):
+        move = [[t[a, b] if s else np.where(number > 0, t[a, b], float(a == b)) for b in (0, 1)] for a in (0, 1)]
+        q = [(p[2 * a] * move[0][b] + p[2 * a + 1] * move[1][b]) * (odds[:, s] if b else 1.0) for a in (0, 1) for b in (0, 1)]
+        z, live = q[0] + q[1] + q[2] + q[3], s < length
+        p = [np.where(live, x / z, y) for x, y in zip(q, p)]
+    before, after = np.full(len(odds), 0.5), np.full(len(odds), 0.5)
+    order = np.argsort(number, kind="stable")
+    level = np.searchsorted(number[order], np.arange(int(number.max()) + 2 if len(number) else 1))
+    rows = [order[a:b] for a, b in zip(level[:-1], level[1:])]
+    for here in rows[1:]:
+        x, k = before[here - 1], here - 1
+        y0, y1 = (1 - x) * p[0][k] + x * p[2][k], (1 - x) * p[1][k] + x * p[3][k]
+        before[here] = y1 / (y0 + y1)
+    for here in rows[:0:-1]:
+        x = after[here]
+        y0, y1 = p[0][here] * (1 - x) + p[1][here] * x, p[2][here] * (1 - x) + p[3][here] * x
+        after[here - 1] = y1 / (y0 + y1)
+    return before, after
+
+
+def forward_backward(odds: np.ndarray, length: np.ndarray, trans: np.ndarray, number: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of the toxic state (chain, step), and expected transitions (2 x 2) inside of the rows.
+
+    ``odds``: exp of the evidence. Messages are scaled to sum to one at every step. ``number``: where rows are runs of
+    longer chains, their places there (see :func:`carried`).
     """
     n, steps = odds.shape
     t = np.exp(trans)
+    before, after = (None, np.full(n, 0.5)) if number is None else carried(odds, length, trans, number)
     a1 = np.empty((steps, n))
     a1[0] = odds[:, 0] / (1 + odds[:, 0])
+    if before is not None:
+        y0 = (1 - before) * t[0, 0] + before * t[1, 0]
+        y1 = ((1 - before) * t[0, 1] + before * t[1, 1]) * odds[:, 0]
+        a1[0] = np.where(number > 0, y1 / (y0 + y1), a1[0])
     for s in range(1, steps):
         x1 = a1[s - 1]
         x0 = 1 - x1
         y0 = x0 * t[0, 0] + x1 * t[1, 0]
         y1 = (x0 * t[0, 1] + x1 * t[1, 1]) * odds[:, s]
         a1[s] = y1 / (y0 + y1)
-    b1 = np.full(n, 0.5)
+    b1 = after
     marginal = np.empty((steps, n))
     pairs = np.zeros((2, 2))
     for s in range(steps - 1, -1, -1):
@@ -98,7 +133,7 @@ def forward_backward(odds: np.ndarray, length: np.ndarray, trans: np.ndarray) ->
         m0 = (1 - a1[s]) * (1 - b1)
         marginal[s] = m1 / (m0 + m1)
         if s:
-            live = s < length                        # beyond its end a chain's message stays even
+            live = s < length                        # beyond its end a chain's message stays as it is
             f0, f1 = (1 - b1), b1 * odds[:, s]
             x1 = a1[s - 1]
             x0 = 1 - x1
@@ -106,7 +141,7 @@ def forward_backward(odds: np.ndarray, length: np.ndarray, trans: np.ndarray) ->
             z = p[0] + p[1] + p[2] + p[3]
             pairs += np.array([[(v / z)[live].sum() for v in p[:2]], [(v / z)[live].sum() for v in p[2:]]])
             y0, y1 = t[0, 0] * f0 + t[0, 1] * f1, t[1, 0] * f0 + t[1, 1] * f1
-            b1 = np.where(live, y1 / (y0 + y1), 0.5)
+            b1 = np.where(live, y1 / (y0 + y1), after)
     return marginal.T, pairs
 
 
@@ -121,7 +156,10 @@ def marginals(model: Model, features: np.ndarray, text: np.ndarray, n_texts: int
     chain, step = chains(text, n_texts)
     odds = np.ones((int(chain[-1]) + 1, RUN))
     odds[chain, step] = np.exp(np.clip(evidence(model.weights, model.bias, features), -25, 25))
-    m, _ = forward_backward(odds, np.bincount(chain), model.trans)
+    first = np.flatnonzero(step == 0)
+    new = np.concatenate(([True], text[first][1:] != text[first][:-1]))
+    number = np.arange(len(first)) - np.maximum.accumulate(np.where(new, np.arange(len(first)), 0))
+    m, _ = forward_backward(odds, np.bincount(chain), model.trans, number)
     return m[chain, step]
 
 

@@ -169,6 +169,26 @@ def test_index_rows_move_once_whatever_the_queries(spark):
     assert seen == [800 * ann.TABLES, 800] * 2
 
 
+# --- toxicity ---------------------------------------------------------------------------------------
+def test_messages_are_carried_across_runs(monkeypatch):
+    """The marginals of long chains do not depend on where they are cut."""
+    rng = np.random.default_rng(20)
+    trans = np.array([[0.4, -1.3], [-0.7, 1.1]])
+    model = toxicity.Model(rng.normal(size=(3, 1 << toxicity.BITS)), -0.3, trans, np.zeros(5), np.zeros(4), np.ones(4))
+    counts = [300, 1, 64, 65, 128, 7, 200]
+    text = np.repeat(np.arange(len(counts) + 1), [*counts, 0])
+    features = rng.integers(0, 1 << toxicity.BITS, (len(text), 3))
+    got = {}
+    for run in (1, 7, 64, 400):
+        monkeypatch.setattr(toxicity, "RUN", run)
+        got[run] = toxicity.marginals(model, features, text, len(counts) + 1)
+    for run in (1, 7, 64):
+        assert np.allclose(got[run], got[400], atol=1e-9)
+    odds = np.exp(toxicity.evidence(model.weights, model.bias, features[:300]))[None, :]
+    whole, _ = toxicity.forward_backward(odds, np.array([300]), trans)
+    assert np.allclose(got[64][:300], whole[0], atol=1e-9)
+
+
 # --- license scan --------------------------------------------------------------------------------
 def test_only_ascii_letters_are_lowered(documents):
     text = "This wor\u212a is licensed under a creative commons attribution 4 0 international license"
