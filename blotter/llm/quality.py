@@ -99,6 +99,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
+def slopes(w: np.ndarray, v: np.ndarray, steps: np.ndarray, grams: tuple, z: np.ndarray, grades: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The loss (mean negative log likelihood and ridge) and its gradients by the shared weights of hashed grams ``w`` and
+    shapes ``v`` and by the thresholds: the first, and the logs of the steps between them."""
+    row, col, value = grams
+    n, top = len(grades), len(steps)
+    score = np.bincount(row, w[col] * value, minlength=n) + z @ v
+    cuts = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
+    tail = np.concatenate((np.ones((n, 1)), _sigmoid(score[:, None] - cuts), np.zeros((n, 1))), axis=1)
+    p = np.maximum(tail[np.arange(n), grades] - tail[np.arange(n), grades + 1], 1e-9)
+    slope = tail * (1 - tail)
+    up, down = slope[np.arange(n), grades], slope[np.arange(n), grades + 1]
+    g_score = -(up - down) / p                         # of the loss, by the score
+    g_cut = np.zeros((n, top + 2))
+    g_cut[np.arange(n), grades] += up / p
+    g_cut[np.arange(n), grades + 1] -= down / p
+    g_cuts = g_cut[:, 1:-1].sum(axis=0)
+    g_steps = np.cumsum(g_cuts[::-1])[::-1].copy()
+    g_steps[1:] *= np.exp(steps[1:])
+    loss = -np.log(p).mean() + RIDGE * (w @ w + v @ v) / 2
+    return loss, [np.bincount(col, g_score[row] * value, minlength=len(w)) / n + RIDGE * w, z.T @ g_score / n + RIDGE * v, g_steps / n]
+
+
 def fit(texts: list[bytes], grades: np.ndarray) -> Model:
     """Cumulative-link regression by gradient descent with per-weight rates."""
     seen = np.unique(grades)
@@ -112,28 +134,12 @@ def fit(texts: list[bytes], grades: np.ndarray) -> Model:
     col, value = np.concatenate(idx), np.concatenate(val)
     w, v = np.zeros(1 << BITS), np.zeros(SHAPES)
     steps = np.concatenate(([0.0], np.zeros(top - 1)))  # first threshold, then logs of the steps between thresholds
-    above = grades[:, None] > np.arange(top)[None, :]   # grade > k
     got = [np.full_like(x, 1e-6) for x in (w, v, steps)]
-    n = len(texts)
     for _ in range(STEPS):
-        score = np.bincount(row, w[col] * value, minlength=n) + z @ v
-        cuts = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
-        tail = np.concatenate((np.ones((n, 1)), _sigmoid(score[:, None] - cuts), np.zeros((n, 1))), axis=1)
-        p = np.maximum(tail[np.arange(n), grades] - tail[np.arange(n), grades + 1], 1e-9)
-        slope = tail * (1 - tail)
-        up, down = slope[np.arange(n), grades], slope[np.arange(n), grades + 1]
-        g_score = -(up - down) / p                         # of the loss, by the score
-        g_cut = np.zeros((n, top + 2))
-        g_cut[np.arange(n), grades] += up / p
-        g_cut[np.arange(n), grades + 1] -= down / p
-        g_cuts = g_cut[:, 1:-1].sum(axis=0)
-        g_steps = np.cumsum(g_cuts[::-1])[::-1].copy()
-        g_steps[1:] *= np.exp(steps[1:])
-        grads = (np.bincount(col, g_score[row] * value, minlength=1 << BITS) / n + RIDGE * w, z.T @ g_score / n + RIDGE * v, g_steps / n)
+        _, grads = slopes(w, v, steps, (row, col, value), z, grades)
         for x, g, s in zip((w, v, steps), grads, got):
             s += g * g
             x -= RATE * g / np.sqrt(s)
-    del above
     cuts = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
     return Model(np.concatenate((w, v)), mean, scale, cuts, 0.0)
 

@@ -189,6 +189,38 @@ def test_messages_are_carried_across_runs(monkeypatch):
     assert np.allclose(got[64][:300], whole[0], atol=1e-9)
 
 
+# --- quality ------------------------------------------------------------------------------------------
+def test_ordinal_gradients_equal_differences():
+    rng = np.random.default_rng(21)
+    n, width = 30, 1 << quality.BITS
+    col = rng.integers(0, 12, 150)
+    grams = (np.sort(rng.integers(0, n, 150)), col, rng.normal(size=150))
+    z, grades = rng.normal(size=(n, quality.SHAPES)), rng.integers(0, 4, n)
+    w = np.zeros(width)
+    w[:12] = rng.normal(size=12)
+    params = [w, rng.normal(size=quality.SHAPES), np.array([-0.8, 0.1, -0.4])]
+    _, grads = quality.slopes(*params, grams, z, grades)
+    for k, x in enumerate(params):
+        for i in range(min(len(x), 12)):
+            old, values = x[i], []
+            for e in (1e-5, -1e-5):
+                x[i] = old + e
+                values.append(quality.slopes(*params, grams, z, grades)[0])
+            x[i] = old
+            assert abs((values[0] - values[1]) / 2e-5 - grads[k][i]) < 1e-6
+
+
+def test_fitting_lowers_the_loss_and_orders_the_grades():
+    rng = np.random.default_rng(22)
+    grades = rng.integers(0, 3, 240)
+    texts = [(" ".join(rng.choice(["poor", "noise"] if g == 0 else ["fine", "words"] if g == 1 else ["good", "great"], 30))).encode() for g in grades]
+    model = quality.fit(texts, grades)
+    assert (np.diff(model.thresholds) > 0).all()
+    offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    expected = quality.tails(model, offsets, np.frombuffer(b"".join(texts), dtype=np.uint8)).sum(axis=1)
+    assert expected[grades == 0].max() < expected[grades == 1].min() and expected[grades == 1].max() < expected[grades == 2].min()
+
+
 # --- license scan --------------------------------------------------------------------------------
 def test_only_ascii_letters_are_lowered(documents):
     text = "This wor\u212a is licensed under a creative commons attribution 4 0 international license"
