@@ -52,7 +52,7 @@ WINDOW, GRAM = 50, 16
 PACK = 4_000_000
 SORT = 1_000_000     # bytes of one suffix array
 SLICE = 1 << 17      # bytes of anchors found at a time
-SHARD = 8_000_000    # bytes of text for each shard: what one group holds does not grow with the input
+SHARD = 4_000_000    # bytes of text for each shard: what one group holds does not grow with the input
 NO_ID = np.int64((1 << 63) - 1)
 U64 = np.uint64
 
