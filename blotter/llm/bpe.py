@@ -22,7 +22,7 @@ PLAIN = 0x250           # code points below: Latin scripts
 # Fixed value: the pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CHUNK = 1 << 19         # characters cut at a time
-MOST_PIECES = 4_000_000  # known pieces kept by a worker (about 100 MB); beyond it starts anew, with the same results
+MOST_PIECES = 1_000_000  # known pieces kept by a worker (about 60 MB); beyond it starts anew, with the same results
 
 
 def _classes() -> np.ndarray:
@@ -117,10 +117,10 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.keys, self.at, self.size = np.zeros(0, dtype=U64), np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
         self.flat, self.used = np.zeros(1 << 16, dtype=np.int32), 0
         self.text, self.text_used = np.zeros(1 << 16, dtype=np.uint16), 0    # the pieces' code points
-        self.text_at, self.text_size = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.text_at, self.text_size = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
 
     def _ids(self, pieces: list[str]) -> list[list[int]]:
         if self.ranked is not None:
@@ -172,9 +172,9 @@ class Encoder:
             self._learn(key[~known], [joined[a:b] for a, b in zip(start[new].tolist(), end[new].tolist())])
             place = np.searchsorted(self.keys, key)
         entry = place[back]
-        flat, at, size = self.flat, self.at[entry], self.size[entry]
+        flat, at, size = self.flat, self.at[entry].astype(np.int64), self.size[entry].astype(np.int64)
         # A hash is no proof: every piece is compared with the one whose ids it would get.
-        same = _equal(cp, start, end - start, self.text, self.text_at[entry], self.text_size[entry])
+        same = _equal(cp, start, end - start, self.text, self.text_at[entry].astype(np.int64), self.text_size[entry].astype(np.int64))
         if not same.all():
             bad = np.flatnonzero(~same)
             own = self._ids([joined[a:b] for a, b in zip(start[bad].tolist(), end[bad].tolist())])
