@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from blotter.session import stored
+
 #: Bits of one column's bucket number.
 BITS = 6
 #: Rows that bounds are taken from, about.
@@ -54,7 +56,11 @@ def morton(buckets: list[Column], bits: int = BITS) -> Column:
 
 
 def write_clustered(df: DataFrame, path: str, columns: list[str], files: int, bits: int = BITS) -> None:
-    """Write ``df`` as about ``files`` files along the curve, and their manifest."""
+    """Write ``df`` as about ``files`` files along the curve, and their manifest.
+
+    The rows are computed once, into the shared folder: the bounds and the range sort read them several times.
+    """
+    df = stored(df, "unclustered")
     kinds = {f.name: f.dataType for f in df.schema.fields}
     key = morton([bucket(c, bounds(df, c, bits), kinds[c]) for c in columns], bits)
     # equal keys (one crowded cell) are still dealt over several files, by a hash of the row
