@@ -29,3 +29,21 @@ def test_clustered_rows_are_computed_once(spark, counted):
     zlayer.write_clustered(df, path, ["a", "b"], files=4)
     assert seen.value == 2000
     assert zlayer.Clustered(spark, path, df.schema).read(b="3").count() == sum(i % 7 == 3 for i in range(2000))
+
+
+def test_mining_deals_baskets_by_their_number(spark, monkeypatch):
+    rows = [[f"{c}{i % n}" for c, n in zip("abc", (2, 3, 40))] for i in range(1, 481)] + [[], [None, "a0"]]
+    df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "items array<string>").coalesce(1)
+    fits, fit = [], patterns.FPGrowth.fit
+    monkeypatch.setattr(patterns.FPGrowth, "fit", lambda self, d: fits.append((d.rdd.getNumPartitions(), d.storageLevel.useMemory)) or fit(self, d))
+    model = patterns.mine(df, 0.15, 0.5, baskets_per_task=30)
+    assert fits[0][0] >= 16 and fits[0][1]
+    want = Counter(",".join(s) for r in rows for k in (1, 2, 3) for s in itertools.combinations(sorted(x for x in r if x), k))
+    assert {r["items"]: r.freq for r in patterns.freq_itemsets(model).collect()} == {k: n for k, n in want.items() if n >= 0.15 * len(rows)}
+    left = patterns.frequent_part(df.filter("items is not null"), "items", 100)
+    assert left.count() == len(rows) and {x for r in left.collect() for x in r["items"]} == {"a0", "a1", "b0", "b1", "b2", None}
+
+
+def test_an_item_named_twice_is_still_refused(spark):
+    with pytest.raises(Exception, match="unique"):
+        patterns.mine(spark.createDataFrame([(["a", "b"],), (["a", "z", "z"],)], "items array<string>"), 0.9, 0.5)
