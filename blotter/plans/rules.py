@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from blotter.operators import classify, patterns
 from blotter.operators.clean import filter_placeholders
 from blotter.schema import BASKET_COLUMNS
+from blotter.session import stored
 
 
 @dataclass
@@ -45,7 +46,11 @@ def incident_baskets(clean: DataFrame, key: str | Column, columns: list[str] = B
 
 def mine_rules(baskets: DataFrame, key: str, min_support: float = 0.2, min_confidence: float = 0.5,
                train_percent: int = 80, salt: int = 0) -> RuleMining:
-    """Defaults are the reference's thresholds (support 0.2, confidence 0.5, 80/20 split)."""
+    """Defaults are the reference's thresholds (support 0.2, confidence 0.5, 80/20 split).
+
+    The baskets are computed once, into the shared folder: mining reads them several times, and the rules are applied to their test part.
+    """
+    baskets = stored(baskets, "rule-baskets")
     train, test = classify.key_split(baskets, key, train_percent, salt)
     model = patterns.mine(train, min_support, min_confidence)
     return RuleMining(model, train, test)

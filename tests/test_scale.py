@@ -31,6 +31,16 @@ def test_clustered_rows_are_computed_once(spark, counted):
     assert zlayer.Clustered(spark, path, df.schema).read(b="3").count() == sum(i % 7 == 3 for i in range(2000))
 
 
+def test_rule_baskets_are_computed_once(spark, counted):
+    from blotter.plans.rules import mine_rules
+    passed, seen = counted
+    df = spark.range(1000).select("id", F.array(passed(F.concat(F.lit("a"), (F.col("id") % 2).cast("string"))), F.lit("b")).alias("items"))
+    mined = mine_rules(df, "id")
+    assert {r.items for r in mined.itemsets().collect()} == {"a0", "a1", "b", "a0,b", "a1,b"}
+    assert mined.rules().count() > 0 and mined.predictions().count() == mined.test.count()
+    assert seen.value == 1000
+
+
 def test_mining_deals_baskets_by_their_number(spark, monkeypatch):
     rows = [[f"{c}{i % n}" for c, n in zip("abc", (2, 3, 40))] for i in range(1, 481)] + [[], [None, "a0"]]
     df = spark.createDataFrame([(r,) for r in rows] + [(None,)], "items array<string>").coalesce(1)
