@@ -8,6 +8,7 @@ with split statistics aggregated on executors.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -138,19 +139,34 @@ def build_pipeline(categorical: Sequence[str] = CATEGORICAL, features: Sequence[
     return Pipeline(stages=[*stages, asm, rf])
 
 
+#: Bytes of binned rows that one training task keeps, about.
+TASK_BYTES = 128 * 1024 * 1024
+
+
+def training_tasks(rows: int, slots: int, task_bytes: int = TASK_BYTES) -> int:
+    """Tasks over which training rows are dealt: the forest keeps four bytes for every slot of a row, and some 200 besides."""
+    return max(1, math.ceil(rows * (4 * slots + 200) / task_bytes))
+
+
 def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     """Fit the feature stages, then the forest on persisted (features, label) rows.
 
     The forest reads its input several times (row count, split sampling,
     binning); persisting only the two columns it needs keeps the indexer,
-    hasher and assembler from re-running each time.  A lost block is
+    hasher and assembler from re-running each time.  The forest then keeps every row
+    with all its slots in memory or on disk, one block per task, so many rows are first dealt
+    over as many tasks as :func:`training_tasks` says.  A lost block is
     recomputed from its lineage, so the persist costs no fault tolerance.
     Returns one PipelineModel.
     """
     stages = pipeline.getStages()
     prep = Pipeline(stages=stages[:-1]).fit(train)
     learner = stages[-1]
-    feats = prep.transform(train).select(learner.getFeaturesCol(), learner.getLabelCol())
+    of = lambda rows: prep.transform(rows).select(learner.getFeaturesCol(), learner.getLabelCol())
+    feats = of(train)
+    tasks = training_tasks(train.count(), feats.schema[learner.getFeaturesCol()].metadata["ml_attr"]["num_attrs"])
+    if tasks > train.sparkSession.sparkContext.defaultParallelism:
+        feats = of(train.repartition(tasks))
     feats = feats.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         forest = learner.fit(feats)

@@ -57,3 +57,16 @@ def test_mining_deals_baskets_by_their_number(spark, monkeypatch):
 def test_an_item_named_twice_is_still_refused(spark):
     with pytest.raises(Exception, match="unique"):
         patterns.mine(spark.createDataFrame([(["a", "b"],), (["a", "z", "z"],)], "items array<string>"), 0.9, 0.5)
+
+
+def test_training_rows_are_dealt_by_their_width(spark, sf, monkeypatch):
+    assert classify.training_tasks(0, 100) == 1
+    assert classify.training_tasks(1000, 50, 4000) == 100 and classify.training_tasks(2000, 200, 4000) == 500
+    parts = []
+    fit = classify.RandomForestClassifier.fit
+    monkeypatch.setattr(classify, "training_tasks", lambda rows, slots: 2 * spark.sparkContext.defaultParallelism if rows and slots > 64 else 1)
+    monkeypatch.setattr(classify.RandomForestClassifier, "fit", lambda self, d: parts.append(d.rdd.getNumPartitions()) or fit(self, d))
+    from blotter.plans.classification import train_classifier
+    got = train_classifier(raw_incidents(spark, sf), classify.row_key("dr_no"), num_trees=2)
+    assert parts == [2 * spark.sparkContext.defaultParallelism]
+    assert got.accuracy().first().scored > 0
