@@ -32,7 +32,7 @@ from blotter.plans.classification import train_classifier
 from blotter.plans.rules import incident_baskets, mine_rules
 from blotter.session import shared_dir
 from blotter.sources import layer
-from blotter.sources.csv import read_raw_csv, write_csv
+from blotter.sources.csv import land_parts, read_raw_csv, write_csv
 from blotter.sources.dims import weekday_dim
 from blotter.sources.standin import (
     EVENT_ITEM_COLUMNS,
@@ -94,8 +94,7 @@ def q_clean_stream_roundtrip(spark, sf):
     src = shared_dir(spark, "landing")
     raw_text = raw_incidents(spark, sf, normalize=False)
     flag = classify.split_flag(classify.row_key("DR_NO"), 50)
-    write_csv(raw_text.filter(flag), f"{src}/part=1")
-    write_csv(raw_text.filter(~flag), f"{src}/part=2")
+    land_parts(raw_text, src, F.when(flag, 1).otherwise(2))
     out, ckpt = shared_dir(spark, "stream-layer"), shared_dir(spark, "stream-ckpt")
     q = start_ingest(spark, src, out, ckpt, dim(spark, sf))
     if not q.awaitTermination(1800):

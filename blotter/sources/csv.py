@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from blotter.schema import RAW_SCHEMA, normalize_names
@@ -30,6 +30,26 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def land_parts(df: DataFrame, path: str, part: Column) -> None:
+    """Write CSV files as :func:`write_csv` does, into one folder ``part=<value>`` per value of ``part``, in one pass over ``df``."""
+    df.withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
+
+
+def has_folder(spark: SparkSession, path: str) -> bool:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
+def move_folder(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder within one file system, its parent made first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    src, dst = path(source), path(target)
+    fs = src.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(dst.getParent())
+    if not fs.rename(src, dst):
+        raise OSError(f"{source} was not moved to {target}")
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """Write with a header; every value as its text; NULL as an empty field."""
     df.write.mode(mode).option("header", True).csv(path)

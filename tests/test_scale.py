@@ -70,3 +70,19 @@ def test_training_rows_are_dealt_by_their_width(spark, sf, monkeypatch):
     got = train_classifier(raw_incidents(spark, sf), classify.row_key("dr_no"), num_trees=2)
     assert parts == [2 * spark.sparkContext.defaultParallelism]
     assert got.accuracy().first().scored > 0
+
+
+@pytest.mark.parametrize("name", ["clean_stream_roundtrip"])
+def test_the_raw_rows_are_built_once(spark, sf, counted, monkeypatch, name):
+    import __spark_entry__ as entry
+    from blotter.plans import deep_queries, queries
+    passed, seen = counted
+
+    def build(*args, normalize=True):
+        raw = raw_incidents(*args, normalize=normalize)
+        key = "dr_no" if normalize else "DR_NO"
+        return raw.withColumn(key, passed(key))
+    monkeypatch.setattr(queries, "raw_incidents", build)
+    monkeypatch.setattr(deep_queries, "raw_incidents", build)
+    assert entry.queries()[name](spark, sf).count() > 0
+    assert seen.value == raw_incidents(spark, sf).count()
