@@ -16,7 +16,7 @@ from blotter.plans.cleaning import RECODE_DOMAINS
 from blotter.schema import RAW_COLUMNS
 from blotter.session import shared_dir, stored
 from blotter.sources import layer, zlayer
-from blotter.sources.csv import write_csv
+from blotter.sources.csv import has_folder, land_parts, move_folder, read_raw_csv, write_csv
 from blotter.sources.quarantine import split_csv
 from blotter.sources.standin import raw_incidents
 
@@ -66,13 +66,17 @@ def q_csv_quarantine(spark: SparkSession, sf: str) -> DataFrame:
 def q_incremental_report(spark: SparkSession, sf: str) -> DataFrame:
     """The raw file lands in three parts, the third one after the state has been compacted; a batch is folded twice."""
     from blotter.streaming.report import start_report
-    landing, state_dir, ckpt = (shared_dir(spark, n) for n in ("report-landing", "report-state", "report-ckpt"))
+    arriving, landing, state_dir, ckpt = (shared_dir(spark, n) for n in ("report-arriving", "report-landing", "report-state", "report-ckpt"))
     raw = raw_incidents(spark, sf, normalize=False)
     third = F.pmod(F.coalesce(classify.row_key("DR_NO"), F.lit(0)), F.lit(3))
     dim = recode.check_dim(base.dim(spark, sf))
+    land_parts(raw, arriving, third)
     state = None
     for part in range(3):
-        write_csv(raw.filter(third == part), f"{landing}/part={part}")
+        if has_folder(spark, f"{arriving}/part={part}"):    # a part without rows has no folder
+            move_folder(spark, f"{arriving}/part={part}", f"{landing}/part={part}")
+        else:
+            write_csv(raw.limit(0), f"{landing}/part={part}")
         query, state = start_report(spark, landing, state_dir, ckpt, dim)
         if not query.awaitTermination(1800):
             query.stop()
@@ -83,9 +87,8 @@ def q_incremental_report(spark: SparkSession, sf: str) -> DataFrame:
             state.compact(keep=1)
             newest = int(state.folders()[1][-1].rsplit("=", 1)[1])
             from blotter.plans.cleaning import clean_incidents
-            from blotter.schema import normalize_names
             from blotter.streaming.report import with_calendar
-            again = clean_incidents(normalize_names(raw.filter(third == part)), dim)
+            again = clean_incidents(read_raw_csv(spark, f"{landing}/part={part}"), dim)
             state.fold(with_calendar(layer.with_partition_year(again)), newest)
     tables = state.report(base.MONTH_RANGE, exclude_year=base.EXCLUDED_YEAR)
     out = None
