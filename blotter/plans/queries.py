@@ -30,7 +30,7 @@ from blotter.plans.cleaning import RECODE_DOMAINS, clean_incidents, recoded_inci
 from blotter.schema import BASKET_COLUMNS, CLEAN_COLUMNS, RAW
 from blotter.plans.classification import train_classifier
 from blotter.plans.rules import incident_baskets, mine_rules
-from blotter.session import shared_dir
+from blotter.session import shared_dir, stored
 from blotter.sources import layer
 from blotter.sources.csv import land_parts, read_raw_csv, write_csv
 from blotter.sources.dims import weekday_dim
@@ -423,7 +423,9 @@ def q_address_hashed(spark, sf):
 def q_assemble_nine(spark, sf):
     """The classifier's input vector of every row it keeps, read back slot by slot."""
     from pyspark.ml import Pipeline
-    df = classify.typed_features(raw(spark, sf)).filter("location is not null")
+    inputs = [c for c in classify.FEATURES if not c.endswith("_encoded")]
+    rows = classify.typed_features(raw(spark, sf)).filter("location is not null")
+    df = stored(rows.select(*dict.fromkeys(["dr_no", *classify.CATEGORICAL, "status_desc", *inputs])), "assembler-rows")
     indexed = [c for c in classify.CATEGORICAL if c != "location"]
     stages = classify.build_pipeline(indexed, label_source="status_desc", hashed=["location"]).getStages()[:-1]
     out = Pipeline(stages=stages).fit(df).transform(df)

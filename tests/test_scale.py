@@ -72,7 +72,7 @@ def test_training_rows_are_dealt_by_their_width(spark, sf, monkeypatch):
     assert got.accuracy().first().scored > 0
 
 
-@pytest.mark.parametrize("name", ["clean_stream_roundtrip", "incremental_report"])
+@pytest.mark.parametrize("name", ["clean_stream_roundtrip", "incremental_report", "assemble_nine"])
 def test_the_raw_rows_are_built_once(spark, sf, counted, monkeypatch, name):
     import __spark_entry__ as entry
     from blotter.plans import deep_queries, queries
