@@ -60,9 +60,12 @@ def split_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA)
     """Split the CSV files below ``path`` (with headers, every column as text) into rows and rejected lines."""
     header = header_of(schema)
     lines = spark.read.option("recursiveFileLookup", "true").text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
-    bare = F.regexp_replace("line", _QUOTED, "")
-    fields = F.size(F.split(bare, ",", -1))
-    reason = (F.when(F.trim(F.regexp_replace("line", r"\s", "")) == "", "empty").when(F.contains(bare, F.lit('"')), "quote")
+    # columns of their own, each computed once a line; only a line with a quote needs the pattern
+    quoted = F.contains("line", F.lit('"'))
+    lines = lines.withColumn("bare", F.when(quoted, F.regexp_replace("line", _QUOTED, "")).otherwise(F.col("line")))
+    lines = lines.withColumn("n_fields", F.length("bare") - F.length(F.translate("bare", ",", "")) + 1)
+    fields, open_quote = F.col("n_fields"), F.contains("bare", F.lit('"'))
+    reason = (F.when(~F.rlike("line", F.lit(r"\S")), "empty").when(open_quote, "quote")
               .when(fields < len(schema), "few").when(fields > len(schema), "many"))
     checked = lines.withColumn("is_header", F.col("line") == header).withColumn("reason", F.when(~F.col("is_header"), reason))
     good, bad = ~F.col("is_header") & F.col("reason").isNull(), F.col("reason").isNotNull()

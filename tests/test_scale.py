@@ -86,3 +86,14 @@ def test_the_raw_rows_are_built_once(spark, sf, counted, monkeypatch, name):
     monkeypatch.setattr(deep_queries, "raw_incidents", build)
     assert entry.queries()[name](spark, sf).count() > 0
     assert seen.value == raw_incidents(spark, sf).count()
+
+
+def test_field_counts_of_odd_lines(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from blotter.sources.quarantine import split_csv
+    lines = ["a,b,c", "\t \x0b", ",,,", '"x,y",2', '"x ""q"" y",2,3', '"', "1,2,3", ",,"]
+    (tmp_path / "f.csv").write_text("\n".join(lines) + "\n")
+    split = split_csv(spark, str(tmp_path), T.StructType([T.StructField(c, T.StringType()) for c in "abc"]))
+    assert sorted((r.reason, r.fields) for r in split.rejected().collect()) == [("empty", 1), ("few", 2), ("many", 4), ("quote", 1)]
+    assert split.rows().count() == 3
