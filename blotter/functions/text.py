@@ -14,7 +14,7 @@ def date_text(c: str | Column) -> Column:
     Keeps the first ten characters (the date part) and turns every ``/``
     into ``-``.  NULL stays NULL.
     """
-    return F.regexp_replace(F.substring(_col(c), 1, 10), "/", "-")
+    return F.translate(F.substring(_col(c), 1, 10), "/", "-")
 
 
 def time_text(c: str | Column) -> Column:

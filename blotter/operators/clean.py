@@ -45,8 +45,8 @@ def normalize_time(df: DataFrame, column: str = "time_occ") -> DataFrame:
 
 def add_month_day(df: DataFrame, date_col: str = "date_occ") -> DataFrame:
     """``month`` / ``day``: full month and weekday names of the normalised date (NULL if invalid)."""
-    d = parse_date(date_col)
-    return df.withColumns({"month": month_name(d), "day": day_name(d)})
+    named = df.withColumn("__date", parse_date(date_col))      # a projection of its own: the text is parsed once
+    return named.withColumns({"month": month_name(F.col("__date")), "day": day_name(F.col("__date"))}).drop("__date")
 
 
 def not_in(c: str, values: list) -> Column:

@@ -23,8 +23,7 @@ def with_partition_year(df: DataFrame, date_col: str = "date_occ") -> DataFrame:
     date-range filters reach the Parquet row-group statistics and spares every
     query a text parse per row.
     """
-    d = parse_date(date_col)
-    return df.withColumns({DATE_COLUMN: d, PARTITION_COLUMN: F.year(d)})
+    return df.withColumn(DATE_COLUMN, parse_date(date_col)).withColumn(PARTITION_COLUMN, F.year(DATE_COLUMN))
 
 
 def write_layer(df: DataFrame, path: str, date_col: str = "date_occ",

@@ -97,6 +97,13 @@ def test_lineitem_is_not_dealt_by_customer(spark, sf):
     assert "o_orderkey" in below and "l_orderkey" not in below
 
 
+def test_dates_are_parsed_once(spark, sf):
+    from blotter.plans import queries
+    from blotter.sources import layer
+    df = layer.with_partition_year(queries.clean(spark, sf))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("gettimestamp") <= 2
+
+
 def test_field_counts_of_odd_lines(spark, tmp_path):
     from pyspark.sql import types as T
 
