@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blotter.functions import to_double, to_int
+from blotter.operators.forest import SlotForestModel, Slots, fit_forest
+from blotter.operators.index import ExactIndex
 
 
 # --- split ------------------------------------------------------------------
@@ -175,6 +177,42 @@ def fit(pipeline: Pipeline, train: DataFrame) -> PipelineModel:
     return PipelineModel(stages=[*prep.stages, forest])
 
 
+#: Bytes of binned rows up to which the forest lays out every slot of every row.
+LAID_OUT_BYTES = 2 * 1024 ** 3
+
+
+def too_wide(train: DataFrame, column: str, limit: int | None = None) -> bool:
+    """Whether the forest's rows with every value of ``column`` as a slot take more than ``limit`` bytes, about."""
+    n = train.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(column).alias("values")).first()
+    return n["rows"] * (4 * n["values"] + 200) > (LAID_OUT_BYTES if limit is None else limit)
+
+
+def fit_wide(pipeline: Pipeline, train: DataFrame, index: ExactIndex, column: str,
+             features: Sequence[str] = FEATURES) -> PipelineModel:
+    """:func:`fit` with one more one-hot input, ``column``, whose slots are never laid out.
+
+    ``pipeline`` holds the other inputs; ``train`` (and every table the model scores) has the
+    index of ``column`` as ``<column>_index``.  The vector's layout is that of ``features``: an index of a category is
+    its slot, the last one has none, as the one-hot encoder gives them.
+    Rows and inputs are the same as with the laid-out slots, the learner is :func:`fit_forest`.
+    """
+    stages = pipeline.getStages()
+    prep, learner = Pipeline(stages=stages[:-1]).fit(train), stages[-1]
+    rows = prep.transform(train)
+    inputs = []
+    for f in features:
+        source = f.removesuffix("_encoded")
+        if source == f:
+            inputs.append((f, f, None))
+        else:
+            width = max(0, index.sizes[column] - 1) if source == column else rows.schema[f].metadata["ml_attr"]["num_attrs"]
+            inputs.append((f, f"{source}_index", width))
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, training_tasks(train.count(), len(inputs)))
+    forest = fit_forest(rows, Slots(inputs), len(label_names(PipelineModel(stages=prep.stages))), learner.getNumTrees(),
+                        learner.getSeed(), learner.getMaxDepth(), learner.getBootstrap(), tasks)
+    return PipelineModel(stages=[*prep.stages, forest])
+
+
 def label_names(model: PipelineModel) -> list[str]:
     """Label texts in index order (the indexer's fitted labels for the ``label`` output)."""
     for stage in model.stages:
@@ -254,7 +292,9 @@ def slot_owners(schema, inputs: Sequence[str]) -> list[str]:
 def importances_by_input(model: PipelineModel, scored: DataFrame,
                          inputs: Sequence[str] = FEATURES) -> list[tuple[str, float]]:
     """Forest importances summed over the slots of each input column (sum is 1)."""
-    return fold_slots(model.stages[-1].featureImportances.toArray(), slot_owners(scored.schema, inputs), inputs)
+    forest = model.stages[-1]
+    owners = forest.owners() if isinstance(forest, SlotForestModel) else slot_owners(scored.schema, inputs)
+    return fold_slots(forest.featureImportances.toArray(), owners, inputs)
 
 
 def fold_slots(values: Sequence[float], owners: Sequence[str], inputs: Sequence[str]) -> list[tuple[str, float]]:

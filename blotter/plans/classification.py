@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blotter.operators import classify
+from blotter.operators.index import ExactIndex
 from blotter.session import stored
 
 
@@ -63,9 +64,11 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
     * ``"frequency"`` -- one numeric input, the address's incident count in the
       training rows (:func:`classify.frequency_encode`).
     * ``"onehot"`` -- the reference's form: indexed and one-hot encoded like
-      the other categories.  Exact, but the label list lives on the driver and
-      the forest bins every slot of every row, so it needs a driver that can
-      hold the addresses.
+      the other categories.  Spark ML keeps the label list on the driver and
+      bins every slot of every row; where that would take too much
+      (:func:`classify.too_wide`), the addresses are indexed by
+      :class:`~blotter.operators.index.ExactIndex` and the forest grows on the same slots without
+      laying them out (:mod:`blotter.operators.forest`).
 
     The raw rows are read once: key, inputs and label go to a table in the
     shared folder, which every later pass reads, so a lost executor costs its
@@ -82,16 +85,20 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
     train = rows.filter("in_train and location is not null").drop("in_train")
     test = held_out.filter("location is not null")
     categorical, features, hashed = classify.CATEGORICAL, classify.FEATURES, []
-    if location_encoding != "onehot":
+    wide = location_encoding == "onehot" and classify.too_wide(train, "location")
+    if location_encoding != "onehot" or wide:
         categorical = [c for c in categorical if c != "location"]
     if location_encoding == "hashed":
         hashed = ["location"]
     if location_encoding == "frequency":
         features = [f if f != "location_encoded" else "location_freq" for f in features]
         train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq")
-    pipeline = classify.build_pipeline(categorical, features, num_trees=num_trees, seed=seed,
-                                       hashed=hashed, hash_width=hash_width)
-    model = classify.fit(pipeline, train)
+    if wide:
+        index = ExactIndex(train, ["location"])
+        train, test = (index.transform(df, "location", "location_index") for df in (train, test))
+    pipeline = classify.build_pipeline(categorical, [f for f in features if not wide or f != "location_encoded"],
+                                       num_trees=num_trees, seed=seed, hashed=hashed, hash_width=hash_width)
+    model = classify.fit_wide(pipeline, train, index, "location", features) if wide else classify.fit(pipeline, train)
     assembled = model.transform(test)
     scored = stored(assembled.select(*needed, "label", "prediction"), "classifier-scored")
     return Classification(model, scored, features, held_out, assembled)
