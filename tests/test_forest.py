@@ -81,6 +81,24 @@ def test_wide_addresses_are_not_laid_out(spark, sf, monkeypatch):
     assert got.predictions().count() == acc.scored
 
 
+def test_the_importance_query_sums_slots_that_are_not_laid_out(spark, sf, monkeypatch):
+    from blotter.plans import queries
+    monkeypatch.setattr(classify, "LAID_OUT_BYTES", 0)
+    monkeypatch.setattr(queries, "_memo", lambda kind, spark, sf, build: build())
+    monkeypatch.setattr(classify.RandomForestClassifier, "fit", lambda *a: pytest.fail("slots were laid out"))
+    fits, fit = [], classify.fit_forest
+    monkeypatch.setattr(classify, "fit_forest", lambda *a: fits.append(fit(*a)) or fits[-1])
+    got = {r.feature: r.importance for r in queries.q_rf_onehot_importance(spark, sf).collect()}
+    model, = fits
+    want = dict.fromkeys(classify.FEATURES, 0.0)
+    for t in range(10):
+        own = [(slot, gain * sum(model.counts[at])) for at, (slot, gain) in model.gains.items() if at[0] == t]
+        for slot, x in own:
+            want[model.owners()[slot]] += x / sum(y for _, y in own)
+    whole = sum(want.values())
+    assert list(got) == classify.FEATURES and got == pytest.approx({f: x / whole for f, x in want.items()})
+
+
 def test_width_decides(spark):
     df = spark.createDataFrame([(f"a{i}",) for i in range(100)], "location string")
     assert classify.too_wide(df, "location", 100 * 500) and not classify.too_wide(df, "location", 100 * 700)
