@@ -188,16 +188,19 @@ def too_wide(train: DataFrame, column: str, limit: int | None = None) -> bool:
 
 
 def fit_wide(pipeline: Pipeline, train: DataFrame, index: ExactIndex, column: str,
-             features: Sequence[str] = FEATURES) -> PipelineModel:
+             features: Sequence[str] = FEATURES, plain: DataFrame | None = None) -> PipelineModel:
     """:func:`fit` with one more one-hot input, ``column``, whose slots are never laid out.
 
     ``pipeline`` holds the other inputs; ``train`` (and every table the model scores) has the
     index of ``column`` as ``<column>_index``.  The vector's layout is that of ``features``: an index of a category is
     its slot, the last one has none, as the one-hot encoder gives them.
     Rows and inputs are the same as with the laid-out slots, the learner is :func:`fit_forest`.
+
+    ``plain``: the rows of ``train`` before their indexes were joined, if the join kept all of them; the other
+    stages are then fitted and the rows counted there, and the join runs only for the forest's own rows.
     """
-    stages = pipeline.getStages()
-    prep, learner = Pipeline(stages=stages[:-1]).fit(train), stages[-1]
+    stages, plain = pipeline.getStages(), train if plain is None else plain
+    prep, learner = Pipeline(stages=stages[:-1]).fit(plain), stages[-1]
     rows = prep.transform(train)
     inputs = []
     for f in features:
@@ -207,7 +210,7 @@ def fit_wide(pipeline: Pipeline, train: DataFrame, index: ExactIndex, column: st
         else:
             width = max(0, index.sizes[column] - 1) if source == column else rows.schema[f].metadata["ml_attr"]["num_attrs"]
             inputs.append((f, f"{source}_index", width))
-    tasks = max(train.sparkSession.sparkContext.defaultParallelism, training_tasks(train.count(), len(inputs)))
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, training_tasks(plain.count(), len(inputs)))
     forest = fit_forest(rows, Slots(inputs), len(label_names(PipelineModel(stages=prep.stages))), learner.getNumTrees(),
                         learner.getSeed(), learner.getMaxDepth(), learner.getBootstrap(), tasks)
     return PipelineModel(stages=[*prep.stages, forest])

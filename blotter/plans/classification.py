@@ -94,11 +94,11 @@ def train_classifier(raw: DataFrame, key: Column, train_percent: int = 80, num_t
         features = [f if f != "location_encoded" else "location_freq" for f in features]
         train, (test,) = classify.frequency_encode(train, [test], "location", "location_freq")
     if wide:
-        index = ExactIndex(train, ["location"])
+        plain, index = train, ExactIndex(train, ["location"])     # every training address has an index
         train, test = (index.transform(df, "location", "location_index") for df in (train, test))
     pipeline = classify.build_pipeline(categorical, [f for f in features if not wide or f != "location_encoded"],
                                        num_trees=num_trees, seed=seed, hashed=hashed, hash_width=hash_width)
-    model = classify.fit_wide(pipeline, train, index, "location", features) if wide else classify.fit(pipeline, train)
+    model = classify.fit_wide(pipeline, train, index, "location", features, plain) if wide else classify.fit(pipeline, train)
     assembled = model.transform(test)
     scored = stored(assembled.select(*needed, "label", "prediction"), "classifier-scored")
     return Classification(model, scored, features, held_out, assembled)

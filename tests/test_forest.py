@@ -123,6 +123,31 @@ def test_cut_points():
     assert len(many) == 31 and many[0] == 9.5
 
 
+def test_thresholds_are_counted_in_one_pass(spark, monkeypatch):
+    df = spark.createDataFrame([(float(i % 3), float(i % 70), 1.0) for i in range(700)], "a double, b double, c double")
+    passes, one_by_one = [], type(df).toLocalIterator
+    monkeypatch.setattr(type(df), "toLocalIterator", lambda self, *a: passes.append(1) or one_by_one(self, *a))
+    got = forest.thresholds(df, ["b", "a", "c"], 700)
+    assert got["a"] == [0.5, 1.5] and got["c"] == [] and len(passes) == 1
+    assert got["b"] == forest.cut_points([(float(i), 10) for i in range(70)], 700) and len(got["b"]) == 31
+    assert forest.thresholds(df, [], 700) == {}
+
+
+def test_stages_beside_the_forest_do_not_join_the_address_indexes(spark, sf, monkeypatch):
+    from blotter.plans.classification import train_classifier
+    from blotter.plans.queries import raw
+    monkeypatch.setattr(classify, "LAID_OUT_BYTES", 0)
+    fitted, fit, wide, fit_wide = [], classify.Pipeline.fit, [], classify.fit_wide
+    monkeypatch.setattr(classify.Pipeline, "fit", lambda self, df: fitted.append(df.columns) or fit(self, df))
+    monkeypatch.setattr(classify, "fit_wide", lambda *a: wide.append(a) or fit_wide(*a))
+    got = train_classifier(raw(spark, sf), classify.row_key("dr_no"), location_encoding="onehot")
+    assert fitted and not any("location_index" in columns for columns in fitted)
+    (pipeline, joined, _, _, _, plain), = wide
+    assert joined.count() == plain.count() > 0
+    whole = fit(classify.Pipeline(stages=pipeline.getStages()[:-1]), joined)      # as on the joined rows
+    assert [list(x) for x in got.model.stages[0].labelsArray] == [list(x) for x in whole.stages[0].labelsArray]
+
+
 def test_rank_index_is_the_indexers(spark):
     df = _incidents(spark)
     labels = StringIndexer(inputCol="location", outputCol="i").fit(df).labels
