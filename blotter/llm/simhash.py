@@ -136,7 +136,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
     left = _keyed(distinct, False).select("key", F.col("fp").alias("u"))
     right = _keyed(distinct, True).select("key", F.col("fp").alias("v"))
     near = (left["u"] < right["v"]) & (F.bit_count(left["u"].bitwiseXOR(right["v"])) <= distance)
-    return left.join(right, (left["key"] == right["key"]) & near).select("u", "v")
+    # a fingerprint has dozens of keys, but Spark sizes both sides by the fingerprints alone: never a broadcast
+    return left.hint("merge").join(right.hint("merge"), (left["key"] == right["key"]) & near).select("u", "v")
 
 
 def components_of(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:

@@ -207,6 +207,16 @@ def test_simhash_components_against_brute_force(spark, documents, odd):
         assert got[i]["fp"] % (1 << 64) == fp and got[i]["component_id"] == order[root][0]
 
 
+def test_fingerprint_keys_are_not_broadcast(spark):
+    from blotter.llm.common import written
+    rows = [((1 << k) - 1,) for k in range(20)] + [((1 << 40) + 5,), ((1 << 40) + 1,)]
+    pairs = simhash.links(written(spark.createDataFrame(rows, "fp long"), "few-fingerprints"))
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()
+    fps = sorted(fp for fp, in rows)
+    want = {(u, v) for i, u in enumerate(fps) for v in fps[i + 1:] if (u ^ v).bit_count() <= 3}
+    assert {tuple(r) for r in pairs.collect()} == want
+
+
 def test_one_of_each(documents, odd):
     kept = rows_of(simhash.one_of_each(documents(odd)))
     ids = sorted(r["doc_id"] for r in kept)
