@@ -10,28 +10,15 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from blotter.session import shared_dir
+from blotter.session import shared_dir, tidy
 
 #: Two to the 53rd: hashes are reduced to this many values before they become doubles.
 UNIT = 1 << 53
 
 
-#: Setting under which Spark removes a query's shuffle files when the query ends, not when the driver collects garbage.
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _made: list[str] = []
 
 
-@contextmanager
-def tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the writes inside go as soon as each is done: what reads the written table doesn't need them."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Removes at its end the tables that :func:`written` has made inside it; results must have been written by then."""

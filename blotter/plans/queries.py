@@ -37,6 +37,7 @@ from blotter.sources.dims import weekday_dim
 from blotter.sources.standin import (
     EVENT_ITEM_COLUMNS,
     events_basket_columns,
+    in_turns,
     raw_incidents,
     standin_recode_dim,
     table,
@@ -73,7 +74,8 @@ def recoded(spark: SparkSession, sf: str) -> DataFrame:
 # --- sources / sinks ----------------------------------------------------------
 def q_csv_roundtrip(spark, sf):
     path = shared_dir(spark, "raw-csv")
-    write_csv(raw_incidents(spark, sf, normalize=False), path)
+    for share in in_turns(raw_incidents(spark, sf, normalize=False), sf):
+        write_csv(share, path, mode="append", packed=True)
     return read_raw_csv(spark, path)
 
 

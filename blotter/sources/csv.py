@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from blotter.schema import RAW_SCHEMA, normalize_names
+from blotter.session import tidy
+
+#: Rows of a packed file at most: it can't be split, so one task reads all of it.
+ROWS_PER_FILE = 100_000
 
 
 def read_raw_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
@@ -30,6 +34,10 @@ def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("inferSchema", False).csv(path)
 
 
+def _packing(packed: bool) -> dict[str, str | int]:
+    return {"compression": "gzip", "maxRecordsPerFile": ROWS_PER_FILE} if packed else {}
+
+
 def land_parts(df: DataFrame, path: str, part: Column) -> None:
     """Write CSV files as :func:`write_csv` does, into one folder ``part=<value>`` per value of ``part``, in one pass over ``df``."""
     df.withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
@@ -50,6 +58,7 @@ def move_folder(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"{source} was not moved to {target}")
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write with a header; every value as its text; NULL as an empty field."""
-    df.write.mode(mode).option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", packed: bool = False) -> None:
+    """Write with a header; every value as its text; NULL as an empty field. ``packed``: in gzip files of some rows each."""
+    with tidy(df.sparkSession):
+        df.write.mode(mode).options(header=True, **_packing(packed)).csv(path)

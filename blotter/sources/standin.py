@@ -40,6 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from blotter.schema import RAW_COLUMNS, normalize_names
+from blotter.session import input_bytes
 from blotter.sources.dims import DESCENT_CODES, SEX_CODES, recode_dim
 
 RAW_TEXT_FORMAT = "MM/dd/yyyy hh:mm:ss a"
@@ -48,6 +49,10 @@ RAW_TEXT_FORMAT = "MM/dd/yyyy hh:mm:ss a"
 DESCENT_STANDIN_CODES = list(DESCENT_CODES) + ["-"]
 
 
+#: Shares in which a raw file is written if the lineitem table has more bytes than ``ONE_TURN``.
+TURNS, ONE_TURN = 4, 1 << 30
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -67,10 +72,14 @@ def raw_incidents(spark: SparkSession, sf_dir: str, normalize: bool = True) -> D
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size")
 
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(c, o.o_custkey == c.c_custkey)
-           .join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
-           .join(p, li.l_partkey == p.p_partkey))
+    if normalize:  # the forest's bootstrap follows the order of the rows, and that the order of the joins
+        j = (li.join(o, li.l_orderkey == o.o_orderkey)
+               .join(c, o.o_custkey == c.c_custkey)
+               .join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+               .join(p, li.l_partkey == p.p_partkey))
+    else:  # for a file: lineitem, the largest, is dealt anew twice and not three times, and never with the customers' columns
+        placed = o.join(c, o.o_custkey == c.c_custkey).join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+        j = li.join(p, li.l_partkey == p.p_partkey).join(placed, li.l_orderkey == o.o_orderkey)
 
     ln = F.col("l_linenumber")
     st = F.col("o_orderstatus")
@@ -135,6 +144,17 @@ def raw_incidents(spark: SparkSession, sf_dir: str, normalize: bool = True) -> D
     return normalize_names(out) if normalize else out
 
 
+def in_turns(raw: DataFrame, sf_dir: str) -> list[DataFrame]:
+    """All rows of a raw file (``normalize=False``), in shares to be written one after the other if they are many.
+
+    What the joins of one share have shuffled is gone before the next one begins.  The shares go by a column that comes from
+    lineitem alone, so their filter is applied where lineitem is read.
+    """
+    if input_bytes(raw.sparkSession, f"{sf_dir.rstrip('/')}/lineitem.parquet") <= ONE_TURN:
+        return [raw]
+    return [raw.filter(F.pmod(F.xxhash64("Mocodes"), F.lit(TURNS)) == i) for i in range(TURNS)]
+
+
 # --- stand-in dictionaries -------------------------------------------------
 # Premise: first and second pass, with a repeated key (same target), an
 # identity entry, the text ``null``, and a second-pass key already handled

@@ -104,3 +104,43 @@ def test_field_counts_of_odd_lines(spark, tmp_path):
     split = split_csv(spark, str(tmp_path), T.StructType([T.StructField(c, T.StringType()) for c in "abc"]))
     assert sorted((r.reason, r.fields) for r in split.rejected().collect()) == [("empty", 1), ("few", 2), ("many", 4), ("quote", 1)]
     assert split.rows().count() == 3
+
+
+def test_a_raw_file_is_written_in_turns_and_packed(spark, sf, tmp_path, monkeypatch):
+    from blotter.plans import queries
+    from blotter.sources import csv, standin
+    assert len(standin.in_turns(raw_incidents(spark, sf, normalize=False), sf)) == 1
+    monkeypatch.setattr(standin, "ONE_TURN", 1)
+    monkeypatch.setattr(csv, "ROWS_PER_FILE", 100)
+    raw = raw_incidents(spark, sf, normalize=False)
+    shares = standin.in_turns(raw, sf)
+    assert len(shares) == standin.TURNS
+    plans = [s._jdf.queryExecution().optimizedPlan().toString() for s in shares]
+    lowest = [next(line for line in p.splitlines() if "xxhash64" in line) for p in plans]
+    assert all("l_suppkey" in line and p.splitlines()[p.splitlines().index(line) + 1].lstrip(" :+-").startswith("Relation") for p, line in zip(plans, lowest))
+    got = queries.q_csv_roundtrip(spark, sf)
+    assert got.count() == raw.count()
+    want = raw.toDF(*got.columns)
+    assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    files = got.inputFiles()
+    assert len(files) >= raw.count() / 100 and all(f.endswith(".csv.gz") for f in files)
+
+
+def test_shares_lose_no_row_where_keys_are_null(spark, tmp_path, monkeypatch):
+    from blotter.sources import standin
+    monkeypatch.setattr(standin, "ONE_TURN", 0)
+    spark.range(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    rows = spark.createDataFrame([(None, 1), ("a", 2), ("a", 2), ("", 3), ("7", 4)], "Mocodes string, n int")
+    got = [r for s in standin.in_turns(rows, str(tmp_path)) for r in s.collect()]
+    assert Counter(got) == Counter(rows.collect())
+
+
+def test_lineitem_is_dealt_twice_for_a_file(spark, sf):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = raw_incidents(spark, sf, normalize=False)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sum("Exchange hashpartitioning(" in line for line in lines) == 6       # lineitem 2, part, orders 2, customer
+    assert sum("Exchange hashpartitioning(l_" in line for line in lines) == 2
