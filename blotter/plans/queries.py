@@ -96,7 +96,8 @@ def q_clean_stream_roundtrip(spark, sf):
     src = shared_dir(spark, "landing")
     raw_text = raw_incidents(spark, sf, normalize=False)
     flag = classify.split_flag(classify.row_key("DR_NO"), 50)
-    land_parts(raw_text, src, F.when(flag, 1).otherwise(2))
+    for share in in_turns(raw_text, sf):
+        land_parts(share, src, F.when(flag, 1).otherwise(2))
     out, ckpt = shared_dir(spark, "stream-layer"), shared_dir(spark, "stream-ckpt")
     q = start_ingest(spark, src, out, ckpt, dim(spark, sf))
     if not q.awaitTermination(1800):

@@ -39,8 +39,9 @@ def _packing(packed: bool) -> dict[str, str | int]:
 
 
 def land_parts(df: DataFrame, path: str, part: Column) -> None:
-    """Write CSV files as :func:`write_csv` does, into one folder ``part=<value>`` per value of ``part``, in one pass over ``df``."""
-    df.withColumn("part", part).write.partitionBy("part").option("header", True).csv(path)
+    """Add packed CSV files as :func:`write_csv` writes them, into one folder ``part=<value>`` per value of ``part``, in one pass over ``df``."""
+    with tidy(df.sparkSession):
+        df.withColumn("part", part).write.mode("append").partitionBy("part").options(header=True, **_packing(True)).csv(path)
 
 
 def has_folder(spark: SparkSession, path: str) -> bool:

@@ -135,6 +135,26 @@ def test_shares_lose_no_row_where_keys_are_null(spark, tmp_path, monkeypatch):
     assert Counter(got) == Counter(rows.collect())
 
 
+@pytest.mark.parametrize("name", ["clean_stream_roundtrip"])
+def test_landed_parts_are_packed_and_whole_in_turns(spark, sf, monkeypatch, name):
+    import __spark_entry__ as entry
+    from blotter.plans import deep_queries, queries
+    from blotter.sources import csv, standin
+    query = entry.queries()[name]
+    want = Counter(query(spark, sf).collect())
+    files, land = [], csv.land_parts
+
+    def landed(df, path, part):
+        land(df, path, part)
+        files.append(spark.read.text(path).inputFiles())
+    monkeypatch.setattr(queries, "land_parts", landed)
+    monkeypatch.setattr(deep_queries, "land_parts", landed)
+    monkeypatch.setattr(standin, "ONE_TURN", 1)
+    assert Counter(query(spark, sf).collect()) == want
+    assert len(files) == standin.TURNS and len(files[0]) < len(files[-1])
+    assert all(f.endswith(".csv.gz") for f in files[-1])
+
+
 def test_lineitem_is_dealt_twice_for_a_file(spark, sf):
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
