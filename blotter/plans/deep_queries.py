@@ -18,7 +18,7 @@ from blotter.session import shared_dir, stored
 from blotter.sources import layer, zlayer
 from blotter.sources.csv import has_folder, land_parts, move_folder, read_raw_csv, write_csv
 from blotter.sources.quarantine import split_csv
-from blotter.sources.standin import raw_incidents
+from blotter.sources.standin import in_turns, raw_incidents
 
 #: Inputs whose values are permuted for their importance.
 SCORER_INPUT, OTHER_INPUT = "premis_desc", "vict_sex"
@@ -70,7 +70,8 @@ def q_incremental_report(spark: SparkSession, sf: str) -> DataFrame:
     raw = raw_incidents(spark, sf, normalize=False)
     third = F.pmod(F.coalesce(classify.row_key("DR_NO"), F.lit(0)), F.lit(3))
     dim = recode.check_dim(base.dim(spark, sf))
-    land_parts(raw, arriving, third)
+    for share in in_turns(raw, sf):
+        land_parts(share, arriving, third)
     state = None
     for part in range(3):
         if has_folder(spark, f"{arriving}/part={part}"):    # a part without rows has no folder
