@@ -217,6 +217,14 @@ def test_fingerprint_keys_are_not_broadcast(spark):
     assert {tuple(r) for r in pairs.collect()} == want
 
 
+def test_the_pipelines_stage_does_not_broadcast_keys(spark, documents, odd, monkeypatch):
+    import corpus_pipeline
+    plans, found = [], simhash.components
+    monkeypatch.setattr(simhash, "components", lambda edges: plans.append(edges._jdf.queryExecution().executedPlan().toString()) or found(edges))
+    assert corpus_pipeline.simhash(spark, documents(odd), "").count() > 0
+    assert len(plans) == 1 and "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
 def test_one_of_each(documents, odd):
     kept = rows_of(simhash.one_of_each(documents(odd)))
     ids = sorted(r["doc_id"] for r in kept)
